@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .hilbert import op2_hilbert_shards
+from .oph import op8_oph_minhash
+from .simhash import op10_simhash_near_dedup
 from .urls import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op8_oph_minhash": op8_oph_minhash,
     "op9_url_filter": op9_url_filter,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL = {"op9_url_filter": OP9_SQL}
