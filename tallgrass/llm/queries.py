@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .bytecnn import op1_byte_cnn_language
 from .hilbert import op2_hilbert_shards
 from .oph import op8_oph_minhash
 from .simhash import op10_simhash_near_dedup
+from .subword import op7_subword_quality
 from .urls import OP9_SQL, op9_url_filter
 
 QUERIES = {
+    "op1_byte_cnn_language": op1_byte_cnn_language,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op7_subword_quality": op7_subword_quality,
     "op8_oph_minhash": op8_oph_minhash,
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
