@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op5_byte_bpe
 from .bytecnn import op1_byte_cnn_language
 from .hilbert import op2_hilbert_shards
 from .oph import op8_oph_minhash
@@ -12,6 +13,7 @@ from .urls import OP9_SQL, op9_url_filter
 QUERIES = {
     "op1_byte_cnn_language": op1_byte_cnn_language,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_subword_quality": op7_subword_quality,
     "op8_oph_minhash": op8_oph_minhash,
     "op9_url_filter": op9_url_filter,
