@@ -9,10 +9,12 @@ from .oph import op8_oph_minhash
 from .simhash import op10_simhash_near_dedup
 from .subword import op7_subword_quality
 from .urls import OP9_SQL, op9_url_filter
+from .zframes import op3_zstd_frames
 
 QUERIES = {
     "op1_byte_cnn_language": op1_byte_cnn_language,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_zstd_frames": op3_zstd_frames,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_subword_quality": op7_subword_quality,
     "op8_oph_minhash": op8_oph_minhash,
