@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .avimedia import op4_avi_mjpeg
 from .bpe import op5_byte_bpe
 from .bytecnn import op1_byte_cnn_language
 from .hilbert import op2_hilbert_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_byte_cnn_language": op1_byte_cnn_language,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_zstd_frames": op3_zstd_frames,
+    "op4_avi_mjpeg": op4_avi_mjpeg,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_subword_quality": op7_subword_quality,
     "op8_oph_minhash": op8_oph_minhash,
