@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .avimedia import op4_avi_mjpeg
+from .bestfit import op6_best_fit_packing
 from .bpe import op5_byte_bpe
 from .bytecnn import op1_byte_cnn_language
 from .hilbert import op2_hilbert_shards
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_zstd_frames": op3_zstd_frames,
     "op4_avi_mjpeg": op4_avi_mjpeg,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_subword_quality": op7_subword_quality,
     "op8_oph_minhash": op8_oph_minhash,
     "op9_url_filter": op9_url_filter,
