@@ -5,13 +5,15 @@ characters (and tokens back to bytes); the character offsets that it reports are
 it has encoded, up to KEPT matches.
 
 Ranks name the result of a merge, not its two sides, so every split of a token into two tokens becomes a merge, in order of rank. Where several splits of one token meet
-in one match, a merge list may order them otherwise than ranks do; each new match is therefore compared once with the rank rule of the tiktoken library, whose ids win.
+in one match, a merge list may order them otherwise than ranks do; each new match of more than one token is therefore compared once with the rank rule of the tiktoken library,
+whose ids win.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 1 << 18
+KEPT, TOGETHER = 400_000, 500
 
 
 @functools.cache
@@ -36,44 +38,50 @@ class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = dict(zip(ranks.values(), ranks, strict=True))
-        self.table = {i: c for i, c in enumerate(byte_chars())}
+        self.table = dict(enumerate(byte_chars()))
         chars = {t: t.decode("latin-1").translate(self.table) for t in ranks}
         merges = [(chars[t[:i]], chars[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.bpe = Tokenizer(models.BPE(vocab={chars[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.char_bytes = {c: i for i, c in self.table.items()}
+        # a line end stands for no byte, so it can part matches that are encoded in one call
+        self.gap = max(ranks.values()) + 1
+        self.bpe = Tokenizer(models.BPE(vocab={chars[t]: r for t, r in ranks.items()} | {"\n": self.gap}, merges=merges, ignore_merges=True))
+        self.bpe.pre_tokenizer = pre_tokenizers.Split("\n", "isolated")
         self.rule = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.matches = regex.compile(pattern).findall
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
         self.differing = 0
 
     def _map(self, piece: str) -> str:
         return piece.encode("utf-8").decode("latin-1").translate(self.table)
 
-    def pieces(self, text: str) -> list[str]:
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), TOGETHER):
+            group = new[at : at + TOGETHER]
+            ids = np.array(self.bpe.encode("\n".join(map(self._map, group)), add_special_tokens=False).ids, "<i4")
+            ends = [*np.flatnonzero(ids == self.gap).tolist(), len(ids)]
+            data, start = ids.tobytes(), 0
+            for piece, end in zip(group, ends, strict=True):
+                mine = data[4 * start : 4 * end]
+                exact = np.array(self.rule.encode_ordinary(piece), "<i4").tobytes() if end - start > 1 else mine
+                if mine != exact:
+                    mine, self.differing = exact, self.differing + 1
+                self.kept[piece] = mine
+                start = end + 1
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
         found = self.matches(text)
         new = {p for p in found if p not in self.kept}
         if new:
             if len(self.kept) + len(new) > KEPT:  # one text's matches at most beyond the bound
                 self.kept.clear()
                 new = set(found)
-            new = list(new)
-            for piece, got in zip(new, self.bpe.encode_batch_fast([self._map(p) for p in new], add_special_tokens=False), strict=True):
-                ids = got.ids
-                if ids != (exact := self.rule.encode_ordinary(piece)):
-                    ids, self.differing = exact, self.differing + 1
-                self.kept[piece] = ids
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        kept, ids = self.kept, []
-        for p in self.pieces(text):
-            ids += kept[p]
-        return ids
+            self._learn(list(new))
+        return b"".join(map(self.kept.__getitem__, found))
 
     def encode_offsets(self, text: str) -> tuple[list[int], list[int]]:
         """Ids and the byte offset in the text where each begins."""
@@ -112,10 +120,9 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
-def _lists(values: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0] + [len(v) for v in values])
-    flat = np.fromiter((i for v in values for i in v), np.int32, ends[-1])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+def _lists(values: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(v) // 4 for v in values])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +144,7 @@ def encode_with_offsets(docs: DataFrame, ranks_path: str, pattern: str, *, id_co
         c = codec(ranks_path, pattern)
         for b in _small(batches):
             got = [c.encode_offsets(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([g[0] for g in got]), _lists([g[1] for g in got])], names=[id_col, "ids", "starts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[_lists([np.array(g[i], "<i4").tobytes() for g in got]) for i in range(2)]], names=[id_col, "ids", "starts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, starts array<int>")
@@ -150,8 +157,10 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "
     def run(batches):
         c = codec(ranks_path, pattern)
         for b in _small(batches):
-            at = b.schema.get_field_index(ids_col)
-            got = pa.array([None if v is None else c.decode(v) for v in b.column(at).to_pylist()], pa.binary())
+            ids = b.column(b.schema.get_field_index(ids_col))
+            flat, null = iter(ids.flatten().to_numpy(zero_copy_only=False).tolist()), ids.is_null().to_pylist()
+            sizes = [n or 0 for n in ids.value_lengths().to_pylist()]
+            got = pa.array([None if x else c.decode(itertools.islice(flat, n)) for x, n in zip(null, sizes, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, out])
 
     return tokens.drop(out).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + f", `{out}` binary")
