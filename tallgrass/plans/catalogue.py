@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import graphs, relational, timelines  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
