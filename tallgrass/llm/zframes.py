@@ -30,7 +30,9 @@ CHECKSUMS = 0x80
 #: A file is closed once it has so many bytes or documents.
 FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 MANIFEST = "part int, number int, path string, docs bigint, ids bigint, bytes bigint"
-KEPT = 300_000
+KEPT = 400_000
+#: Marks that may stand after letters; the tokenizer parts them from letters, but a run of them is one match.
+MARKS = ".,;:!?*$%&#"
 
 
 def _xxh32(data: bytes) -> int:
@@ -124,32 +126,61 @@ class FrameReader:
 
 
 class WordEncoder:
-    """Encodes by a tokenizer that never joins what white space parts, keeping up to KEPT chunks between ASCII spaces and their ids as bytes."""
+    """Encodes by a tokenizer that never joins what white space parts, nor letters with what are none, and that ends each run of letters with its own kind of token.
+
+    Up to KEPT chunks between ASCII spaces are kept with their ids as bytes. A new chunk of Latin-1 letters with marks after it is put together from the ids of its lower-cased
+    letters and of its marks, of which there are far fewer; the new runs of letters are encoded in one call and parted where a token ends a word. All other new
+    chunks, special tokens among them, are encoded whole.
+    """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer.from_file(path)  # for lower-cased runs of letters, of which nothing is to be normalised or parted
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end = struct.pack("<I", end_id)
         self.kept: dict[str, bytes] = {"": b""}
-        [self.bar] = self.tokenizer.encode("|", add_special_tokens=False).ids
-
-    def _learn(self, chunks: list[str]) -> None:
-        """A bar between two chunks keeps their ids apart; chunks that have a bar, special tokens included, are encoded by themselves."""
-        plain, barred = [c for c in chunks if "|" not in c], [c for c in chunks if "|" in c]
-        if barred:
-            for c, e in zip(barred, self.tokenizer.encode_batch_fast(barred, add_special_tokens=False), strict=True):
-                self.kept[c] = np.array(e.ids, "<u4").tobytes()
-        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" | ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        self.letters: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn_letters(self, runs: list[str]) -> None:
+        groups = [runs[at : at + 500] for at in range(0, len(runs), 500)]
+        for group, e in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.bar)
             data, at = ids.tobytes(), 0
-            if len(cuts) != len(group) - 1:
-                raise AssertionError("a chunk without a bar gave a bar's id")
-            for c, stop in zip(group, [*(4 * cuts).tolist(), len(data)], strict=True):
-                self.kept[c] = data[at:stop]
-                at = stop + 4
+            for run, stop in zip(group, (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), strict=True):
+                self.letters[run] = data[at:stop]
+                at = stop
+
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.letters) > KEPT:
+            self.letters = {"": b""}
+        if len(self.marks) > KEPT:
+            self.marks = {"": b""}
+        kept, letters, marks, parted, whole = self.kept, self.letters, self.marks, [], []
+        for c in chunks:
+            run = c.rstrip(MARKS)
+            ids, mark = letters.get(run.lower()), marks.get(c[len(run) :])
+            if run and ids is not None and mark is not None:
+                kept[c] = ids + mark
+            elif run.isalpha() and max(run) < "\u0100":
+                parted.append((c, run.lower(), c[len(run) :]))
+            else:
+                whole.append(c)
+        self._learn_letters(list({r for _, r, _ in parted if r not in letters}))
+        new = list({m for _, _, m in parted if m not in marks})
+        marks.update(zip(new, self._whole(new), strict=True))
+        kept.update(zip(whole, self._whole(whole), strict=True))
+        for c, r, m in parted:
+            kept[c] = letters[r] + marks[m]
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
