@@ -117,7 +117,7 @@ SELECT o_custkey, CAST(datediff(max(o_orderdate), min(o_orderdate)) AS BIGINT) A
     "SELECT o_custkey, CAST(datediff('day', min(o_orderdate), max(o_orderdate)) AS BIGINT) AS span_days, count(*) AS n FROM orders GROUP BY o_custkey")
 
 sql("coverage_pct", """
-SELECT n_name, count(c_custkey) AS n_customers, count(has) AS n_with, CASE WHEN count(c_custkey) > 0 THEN round(100.0 * count(has) / count(c_custkey), 1) END AS pct
+SELECT n_name, count(c_custkey) AS n_customers, count(has) AS n_with, CASE WHEN count(c_custkey) > 0 THEN round(100.0D * count(has) / count(c_custkey), 1) END AS pct
 FROM {nation} LEFT JOIN {customer} ON n_nationkey = c_nationkey LEFT JOIN (SELECT DISTINCT o_custkey AS has FROM {orders}) o ON c_custkey = has GROUP BY n_name""",
     """SELECT n_name, count(c_custkey) AS n_customers, count(has) AS n_with, CASE WHEN count(c_custkey) > 0 THEN round(CAST(100.0 * count(has) / count(c_custkey) AS DOUBLE), 1) END AS pct
 FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey LEFT JOIN (SELECT DISTINCT o_custkey AS has FROM orders) o ON c_custkey = has GROUP BY n_name""")
@@ -156,7 +156,7 @@ sql("edge_union", "SELECT l_partkey AS a, l_suppkey AS b FROM {lineitem} UNION S
 
 sql("count_reconcile", """
 SELECT coalesce(x.k, y.k) AS k, coalesce(x.n, 0) AS n_source, coalesce(y.n, 0) AS n_target, coalesce(x.n, 0) = coalesce(y.n, 0) AS equal
-FROM (SELECT o_orderkey AS k, 1 AS n FROM {orders}) x FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) y ON x.k = y.k""",
+FROM (SELECT o_orderkey AS k, CAST(1 AS BIGINT) AS n FROM {orders}) x FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) y ON x.k = y.k""",
     """SELECT coalesce(x.k, y.k) AS k, coalesce(x.n, 0)::BIGINT AS n_source, coalesce(y.n, 0) AS n_target, coalesce(x.n, 0) = coalesce(y.n, 0) AS equal
 FROM (SELECT o_orderkey AS k, 1 AS n FROM orders) x FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey) y ON x.k = y.k""")
 
