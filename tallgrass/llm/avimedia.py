@@ -22,8 +22,8 @@ SIDE, FPS = 24, 25
 FRAME = SIDE * SIDE
 #: Code lengths of the difference categories 0 to 8: fixed values of this writer; a reader takes them from each frame's table.
 LENGTHS = (4, 4, 3, 3, 3, 4, 4, 2, 4)
-#: Shots: histogram levels, frames on either side that tell what is usual, deviations above the mean, and the least difference of a cut.
-LEVELS, AROUND, DEVIATIONS, LEAST = 16, 8, 1.5, 0.05
+#: Shots: histogram levels, frames on either side that tell what is usual, deviations above their mean, and the least difference of a cut.
+LEVELS, AROUND, DEVIATIONS, LEAST = 16, 8, 2.5, 0.1
 #: Frames that are coded at once, and rows that are sent on at once.
 TOGETHER, ROWS = 4096, 128
 
@@ -227,9 +227,9 @@ def shots(samples: np.ndarray, video: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1]
     lo, hi = np.maximum(first, np.arange(n) - AROUND), np.minimum(last, np.arange(n) + AROUND + 1)
     total, square = (np.concatenate(([0.0], np.cumsum(c))) for c in (change, change**2))
-    size = np.maximum(hi - lo, 1)
-    mean = (total[hi] - total[lo]) / size
-    spread = np.sqrt(np.maximum((square[hi] - square[lo]) / size - mean**2, 0))
+    size = np.maximum(hi - lo - 1, 1)  # without the frame itself
+    mean = np.maximum(total[hi] - total[lo] - change, 0) / size
+    spread = np.sqrt(np.maximum((square[hi] - square[lo] - change**2) / size - mean**2, 0))
     return new | (change > np.round(np.maximum(mean + DEVIATIONS * spread, LEAST), 9)), np.round(change, 6)
 
 

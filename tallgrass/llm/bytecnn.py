@@ -22,7 +22,8 @@ from .learning import class_sample
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 #: The sample that the network is fitted on: documents of each language, windows of each document, languages.
 PER_LANGUAGE, PER_DOCUMENT, LANGUAGES = 600, 4, 256
-EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 11
+#: Passes over the sample; of a small one as many as it takes for so many steps.
+EPOCHS, STEPS, BATCH, RATE, SEED = 6, 800, 64, 4e-3, 11
 BLOCK = 128
 
 
@@ -48,7 +49,7 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, seed: int = SEED) -> dict:
     p["e"][0] = 0
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     t = 0
-    for _ in range(EPOCHS if len(x) else 0):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(x))) if len(x) else 0):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             rows = order[at : at + BATCH]

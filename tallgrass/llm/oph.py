@@ -45,7 +45,7 @@ def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
 
 
 def fingerprint(text: Column, *, width: int = SHINGLE, bins: int = BINS, bits: int = BITS, seed: int = SEED) -> Column:
-    """Lowercase hex of bins values of bits bits each (a multiple of 4); empty for a text without words, null for null."""
+    """Lowercase hex of bins values of bits bits each (a multiple of 4); empty for null and for a text without words."""
     if bins & (bins - 1) or bits % 4 or not 4 <= bits <= 32:
         raise ValueError("bins must be a power of two, bits 4 to 32 in steps of 4")
     shift = 64 - (bins.bit_length() - 1)

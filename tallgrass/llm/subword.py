@@ -22,7 +22,8 @@ from .learning import class_sample
 BUCKETS, DIM, NGRAMS = 1 << 18, 16, (3, 4)
 #: The sample that the classifier is fitted on: documents of each class, and features of each document, drawn at random from all of its text.
 PER_CLASS, PER_DOCUMENT = 2000, 768
-EPOCHS, RATE, SEED = 8, 0.4, 5
+#: Passes over the sample; of a small one as many as it takes for so many steps.
+EPOCHS, STEPS, RATE, SEED = 8, 8000, 0.4, 5
 #: Bytes of text that are hashed at once. A longer text is scored piece by piece, cut at white space where it has any.
 PIECE = 1 << 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -75,8 +76,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, seed: int = SEED) -> tuple[np.n
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, c = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    steps, at = max(1, EPOCHS * len(docs)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(docs))) if len(docs) else 0
+    steps, at = max(1, epochs * len(docs)), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rate = np.float32(RATE * (1 - at / steps))
             at += 1
