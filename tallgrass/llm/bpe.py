@@ -75,7 +75,7 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         found = self.matches(text)
-        new = {p for p in found if p not in self.kept}
+        new = set(found).difference(self.kept)
         if new:
             if len(self.kept) + len(new) > KEPT:  # one text's matches at most beyond the bound
                 self.kept.clear()

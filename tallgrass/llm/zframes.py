@@ -160,13 +160,16 @@ class WordEncoder:
                 self.letters[run] = data[at:stop]
                 at = stop
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         if len(self.letters) > KEPT:
             self.letters = {"": b""}
         if len(self.marks) > KEPT:
             self.marks = {"": b""}
         kept, letters, marks, parted, whole = self.kept, self.letters, self.marks, [], []
         for c in chunks:
+            if (ids := letters.get(c)) is not None:
+                kept[c] = ids
+                continue
             run = c.rstrip(MARKS)
             ids, mark = letters.get(run.lower()), marks.get(c[len(run) :])
             if run and ids is not None and mark is not None:
@@ -184,12 +187,12 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        new = {c for c in chunks if c not in self.kept}
+        new = set(chunks).difference(self.kept)
         if new:
             if len(self.kept) + len(new) > KEPT:
                 self.kept = {"": b""}
-                new = {*chunks} - {""}
-            self._learn(list(new))
+                new = set(chunks) - {""}
+            self._learn(new)
         return b"".join(map(self.kept.__getitem__, chunks)) + self.end
 
 
