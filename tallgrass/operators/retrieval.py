@@ -63,3 +63,12 @@ def dense_topk(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column
 
     found = pairs.select("x_rows", "q_rows").mapInArrow(best, f"query_id bigint, `{vec_id}` bigint, score double")
     return _top(found, "query_id", vec_id, k)
+
+
+def fuse(rankings: dict[str, DataFrame], query_id: str, found: str, *, constant: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of rankings (query, found, k): the sum of 1 / (constant + k), ranked anew; ties by id."""
+    parts = [r.select(query_id, found, (1.0 / (constant + F.col("k"))).alias("_part")) for r in rankings.values()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return _top(every.groupBy(query_id, found).agg(F.round(F.sum("_part"), 8).alias("score")), query_id, found, 1 << 30)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import comparisons, evaluation, graphs, relational, texts, timelines  # noqa: F401  they register their queries
+from . import chart, comparisons, evaluation, graphs, relational, texts, timelines  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
