@@ -76,3 +76,56 @@ def column(fn, kind: str):
         return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b, strict=True)])
 
     return F.pandas_udf(batch, kind)
+
+
+def salvage_json(text: str, keys: list[str]) -> str | None:
+    """The longest JSON object in a text that has one of the keys, as compact JSON; null without one.
+
+    Objects are found by their balanced braces outside of strings; a missing end is added. Commas before a closing bracket are dropped, and single quotes are read as double ones if nothing else helps.
+    """
+    import json
+
+    found = []
+    for start in (m.start() for m in re.finditer(r"\{", text)):
+        quoted, skip, stack = False, False, []
+        end = len(text)
+        for i in range(start, len(text)):
+            ch = text[i]
+            if skip:
+                skip = False
+            elif quoted:
+                skip, quoted = ch == "\\", ch != '"'
+            elif ch == '"':
+                quoted = True
+            elif ch in "{[":
+                stack.append("}" if ch == "{" else "]")
+            elif ch in "}]" and stack:
+                stack.pop()
+                if not stack:
+                    end = i + 1
+                    break
+        body = text[start:end] + ('"' if quoted else "") + "".join(reversed(stack))
+        body = re.sub(r",\s*([}\]])", r"\1", body)
+        for form in (body, body.replace("'", '"')):
+            try:
+                value = json.loads(form)
+            except ValueError:
+                continue
+            if isinstance(value, dict) and any(k in value for k in keys):
+                found.append(json.dumps(value))
+                break
+    return max(found, key=len, default=None)
+
+
+#: Flags and words that tell a direction: fixed values.
+DIRECTIONS = {"high": (r"\(H\)", "elevated", "high", "increased", "raised"), "low": (r"\(L\)", "decreased", "low", "reduced")}
+_RANGE = re.compile(r"(-?\d+(?:\.\d+)?)[^\d(]*\(\s*(?:ref(?:erence)?:?\s*)?(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\s*\)")
+
+
+def value_agrees(direction: str, window: str) -> bool:
+    """Whether a text shows a value in a direction (high or low): by its reference range if there is one, else by a flag or a word."""
+    if m := _RANGE.search(window):
+        value, low, high = map(float, m.groups())
+        return value > high if direction == "high" else value < low
+    flag, *said = DIRECTIONS[direction]
+    return bool(re.search(flag, window)) or any(re.search(rf"\b{w}\b", window.lower()) for w in said)

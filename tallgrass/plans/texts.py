@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.functions import text
+from tallgrass.functions import clinical, text
 
 from .registry import query, sql
 
@@ -106,9 +106,33 @@ def trigram_search(t):
 WITH d AS (SELECT doc_id, text, {TOKENS.format(c='text')} AS k FROM documents), n AS (SELECT DISTINCT p_name, list_distinct({TOKENS.format(c='p_name')}) AS k FROM part WHERE p_size = 1)
 SELECT doc_id, count_if(contains(lower(text), lower(p_name)) OR (len(n.k) > 0 AND len(list_intersect(n.k, d.k)) >= 0.7 * len(n.k)))::BIGINT AS n_phrases FROM d, n GROUP BY doc_id""")
 def phrase_in_text(t):
-    """How many of a few phrases each document holds; the phrases are the distinct names of the smallest parts, a handful at any scale."""
-    names = t.part.where("p_size = 1").select("p_name").distinct()
-    return t.documents.join(names).groupBy("doc_id").agg(F.count_if(text.phrase_in(F.col("p_name"), F.col("text"))).alias("n_phrases"))
+    """How many of a stated list of phrases each document holds; here the distinct names of the smallest parts, of which there must be 1,000 at most."""
+    phrases = [r[0] for r in t.part.where("p_size = 1").select("p_name").distinct().limit(1001).collect()]
+    if len(phrases) > 1000:
+        raise ValueError("the list of phrases is too long")
+    listed = F.array(*[F.lit(p) for p in sorted(phrases)]) if phrases else F.array().cast("array<string>")
+    rows = t.documents.select("doc_id", "text", F.explode(listed).alias("phrase"))
+    return rows.groupBy("doc_id").agg(F.count_if(text.phrase_in(F.col("phrase"), F.col("text"))).alias("n_phrases"))
+
+
+@query("glob_filter", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%' OR p_name LIKE '%r_ng'")
+def glob_filter(t):
+    return t.part.where(clinical.glob_like(F.col("p_name"), ["red*", "*r?ng"])).select("p_partkey", "p_name")
+
+
+@query("code_forms", "SELECT o_orderkey, CASE WHEN length(c) > 3 THEN substr(c, 1, 3) || '.' || substr(c, 4) ELSE c END AS code, substr(c, 1, 3) AS category FROM (SELECT o_orderkey, 'E' || o_orderkey AS c FROM orders)")
+def code_forms(t):
+    code = F.concat(F.lit("e. "), F.col("o_orderkey").cast("string"))
+    return t.orders.select("o_orderkey", clinical.dotted(code).alias("code"), clinical.category(code).alias("category"))
+
+
+@query("plural_stems", f"""
+WITH x AS (SELECT unnest({TOKENS.format(c='text')}) AS w FROM documents)
+SELECT CASE WHEN length(w) <= 3 THEN w WHEN regexp_matches(w, 'ies$') THEN regexp_replace(w, 'ies$', 'i') WHEN regexp_matches(w, '(sh|ch|x|s)es$') THEN regexp_replace(w, '(sh|ch|x|s)es$', '\\1')
+       WHEN regexp_matches(w, 'ses$') THEN regexp_replace(w, 'ses$', 's') WHEN regexp_matches(w, '([^s])s$') THEN regexp_replace(w, '([^s])s$', '\\1') ELSE w END AS stem, count(*) AS n FROM x GROUP BY 1""")
+def plural_stems(t):
+    token = t.documents.select(F.explode(text.tokens(F.col("text"))).alias("w"))
+    return token.groupBy("w").agg(F.count("*").alias("n")).groupBy(clinical.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 sql("numeric_parse", r"""SELECT event_id, try_cast(regexp_substr(props, '[-+]?\\d*\\.?\\d+') AS DOUBLE) AS number FROM {events}""",
