@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT, TOGETHER = 400_000, 500
+KEPT, TOGETHER = 250_000, 500
 
 
 @functools.cache

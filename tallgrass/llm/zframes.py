@@ -30,7 +30,8 @@ CHECKSUMS = 0x80
 #: A file is closed once it has so many bytes or documents.
 FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 MANIFEST = "part int, number int, path string, docs bigint, ids bigint, bytes bigint"
-KEPT = 400_000
+#: Most chunks, runs of letters and marks that a worker keeps.
+KEPT, KEPT_LETTERS, KEPT_MARKS = 100_000, 250_000, 20_000
 #: Marks that may stand after letters; the tokenizer parts them from letters, but a run of them is one match.
 MARKS = ".,;:!?*$%&#"
 
@@ -161,9 +162,9 @@ class WordEncoder:
                 at = stop
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.letters) > KEPT:
+        if len(self.letters) > KEPT_LETTERS:
             self.letters = {"": b""}
-        if len(self.marks) > KEPT:
+        if len(self.marks) > KEPT_MARKS:
             self.marks = {"": b""}
         kept, letters, marks, parted, whole = self.kept, self.letters, self.marks, [], []
         for c in chunks:
