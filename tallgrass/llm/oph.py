@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, partitions
+from .common import fresh, let, partitions
 
 SHINGLE, BINS, BITS, SEED = 5, 128, 8, 20240229
 #: Steps of a bin's walk that are tried before the whole walk is.
@@ -86,7 +86,7 @@ def likeness(a: Column, b: Column, *, bins: int = BINS, bits: int = BITS) -> Col
 def with_next(df: DataFrame, order: str, values: list[str]) -> DataFrame:
     """Adds next_<value>: the values of the row that follows in ascending order (nulls first; ties by a hash of the values); after the last comes the first.
 
-    The rows are dealt into ranges of about equal size, each a window of its own. The first row of every range is dealt to the end of the range before it too,
+    Columns of these names are replaced. The rows are dealt into ranges of about equal size, each a window of its own. The first row of every range is dealt to the end of the range before it too,
     so that no range needs another.
     """
     key = F.col(order)
@@ -98,18 +98,19 @@ def with_next(df: DataFrame, order: str, values: list[str]) -> DataFrame:
         F.lit(0),
         lambda at, half: F.when(F.get(F.lit(cuts), at + half - 1) <= key, at + half).otherwise(at),
     ) if cuts else F.lit(0)
-    ranged = df.withColumn("_range", F.when(key.isNull(), F.lit(-1)).otherwise(place))
-    first = {r["_range"]: r["first"] for r in ranged.groupBy("_range").agg(F.min(order).alias("first")).collect()}  # a row for each range
+    at, copied, to = fresh(df, "_range"), fresh(df, "_copied"), fresh(df, "_to")
+    ranged = df.withColumn(at, F.when(key.isNull(), F.lit(-1)).otherwise(place))
+    first = {r[0]: r[1] for r in ranged.groupBy(at).agg(F.min(order)).collect()}  # a row for each range
     ranges = sorted(first)
     before = dict(zip(ranges, [*ranges[-1:], *ranges], strict=False))
     slots = range(-1, len(cuts) + 1)
     kind = df.schema[order].dataType
     firsts, befores = (F.array(*[F.lit(of.get(r)).cast(t) for r in slots]) for of, t in ((first, kind), (before, "int")))
-    here, at = F.struct(F.col("_range"), F.lit(False).alias("_copy")), F.col("_range") + 1
-    copies = F.when(key.eqNullSafe(F.get(firsts, at)), F.array(here, F.struct(F.get(befores, at).alias("_range"), F.lit(True).alias("_copy")))).otherwise(F.array(here))
-    dealt = ranged.withColumn("_to", F.explode(copies)).withColumn("_range", F.col("_to._range")).withColumn("_copy", F.col("_to._copy")).drop("_to")
-    along = Window.partitionBy("_range").orderBy("_copy", F.asc_nulls_first(order), F.xxhash64(*values))
-    return dealt.select("*", *[F.lead(v).over(along).alias(f"next_{v}") for v in values]).where("not _copy").drop("_range", "_copy")
+    here, slot = F.struct(F.col(at).alias("range"), F.lit(False).alias("copied")), F.col(at) + 1
+    copies = F.when(key.eqNullSafe(F.get(firsts, slot)), F.array(here, F.struct(F.get(befores, slot).alias("range"), F.lit(True).alias("copied")))).otherwise(F.array(here))
+    dealt = ranged.withColumn(to, F.explode(copies)).withColumn(at, F.col(to)["range"]).withColumn(copied, F.col(to)["copied"]).drop(to)
+    along = Window.partitionBy(at).orderBy(copied, F.asc_nulls_first(order), F.xxhash64(*values))
+    return dealt.withColumns({f"next_{v}": F.lead(v).over(along) for v in values}).where(~F.col(copied)).drop(at, copied)
 
 
 def op8_oph_minhash(spark, sf_dir: str) -> DataFrame:

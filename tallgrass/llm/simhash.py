@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir
+from .common import fresh, partitions, shared_dir
 from .components import connected
 
 WIDTH, BITS, BUDGET = 3, 64, 3
@@ -250,9 +250,10 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows, roots = near_groups(docs, id_col=id_col, text_col=text_col, width=width, budget=budget)
     rank = F.struct(F.col("id").isNull(), "id", "digest")
     best = rows.groupBy("fp").agg(F.min(rank).alias("best")).join(roots, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    keep = best.select(F.col("best.id").alias("_keep_id"), F.col("best.digest").alias("_keep_digest"))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs[text_col]) == F.col("_keep_digest")))
-    return kept.dropDuplicates(["_keep_id", "_keep_digest"]).select(*[docs[c] for c in docs.columns])
+    keep_id, keep_digest = fresh(docs, "_keep_id"), fresh(docs, "_keep_digest")
+    keep = best.select(F.col("best.id").alias(keep_id), F.col("best.digest").alias(keep_digest))
+    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.xxhash64(F.col(text_col)) == F.col(keep_digest)))
+    return kept.dropDuplicates([keep_id, keep_digest]).drop(keep_id, keep_digest)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,17 +20,18 @@ ROWS = [
     (None, "one two three four five six seven", None, "b", 5, 3, "y"), (4, " \t\n ", "fr", "b", 4, 4, "z"), (5, "été à la plage", "fr", "b", 14, 5, "z"), (6, "long " * 60_000, "en", "c", 300_000, 6, None), (None, None, None, None, None, None, None),
     (7, "x" * 50_000, "en", "a", 50_000, 7, ""), (8, "12 34 !!", "en", "a", 8, 8, ""), (9, "<|endoftext|> 日本語 𝔸 ́", "fr", "a", 9, 9, "q"),
 ]
+CLASHING = ("_id", "_keep_id", "_keep_digest", "_range", "_copied", "_to", "_draw", "_language", "_quality", "group", "id", "fp", "fingerprint", "ids", "media", "next_text", "bin", "length")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, digest string"
 
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    return spark.createDataFrame(ROWS, SCHEMA)
+    return spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("clash") for c in CLASHING})
 
 
 @pytest.fixture(scope="module")
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA).withColumns({c: F.lit("clash") for c in CLASHING})
 
 
 @pytest.fixture(scope="module")
@@ -374,7 +375,7 @@ def test_fingerprints_of_awkward_rows(awkward, empty):
     got = rows(awkward.select("text", oph.fingerprint(F.col("text")).alias("f")))
     for text, f in got:
         assert f == brute_fingerprint(text or "")
-    pairs = oph.with_next(awkward.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"]).collect()
+    pairs = oph.with_next(awkward.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", ["text"]).collect()
     assert len(pairs) == len(ROWS) and sorted(r.next_text for r in pairs) == sorted(r[1] or "" for r in ROWS)
     assert rows(oph.with_next(empty.select("doc_id", "text"), "doc_id", ["text"])) == []
 
