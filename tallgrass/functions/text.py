@@ -73,9 +73,9 @@ def similarity(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), 0.55 * jaccard(x, y) + 0.30 * cover + 0.15 * jaccard(char_ngrams(a), char_ngrams(b)) + held)
 
 
-def phrase_in(phrase: Column, text: Column, least: float = 0.7) -> Column:
-    """Whether the text holds the phrase as it is, or at least a share of its tokens."""
-    p, t = F.array_distinct(tokens(phrase)), tokens(text)
+def phrase_in(phrase: Column, text: Column, text_tokens: Column | None = None, least: float = 0.7) -> Column:
+    """Whether the text holds the phrase as it is, or at least a share of its tokens; text_tokens are the text's, if they are at hand."""
+    p, t = F.array_distinct(tokens(phrase)), tokens(text) if text_tokens is None else text_tokens
     return F.contains(F.lower(text), F.lower(phrase)) | ((F.size(p) > 0) & (F.size(F.array_intersect(p, t)) >= least * F.size(p)))
 
 

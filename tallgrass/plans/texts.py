@@ -111,8 +111,8 @@ def phrase_in_text(t):
     if len(phrases) > 1000:
         raise ValueError("the list of phrases is too long")
     listed = F.array(*[F.lit(p) for p in sorted(phrases)]) if phrases else F.array().cast("array<string>")
-    rows = t.documents.select("doc_id", "text", F.explode(listed).alias("phrase"))
-    return rows.groupBy("doc_id").agg(F.count_if(text.phrase_in(F.col("phrase"), F.col("text"))).alias("n_phrases"))
+    rows = t.documents.select("doc_id", "text", F.array_distinct(text.tokens(F.col("text"))).alias("tokens")).select("*", F.explode(listed).alias("phrase"))
+    return rows.groupBy("doc_id").agg(F.count_if(text.phrase_in(F.col("phrase"), F.col("text"), F.col("tokens"))).alias("n_phrases"))
 
 
 @query("glob_filter", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%' OR p_name LIKE '%r_ng'")
