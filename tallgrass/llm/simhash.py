@@ -29,6 +29,8 @@ WIDTH, BITS, BUDGET = 3, 64, 3
 TABLES = 16
 #: Most fingerprints of one block value in a task, from each of the two chunks that meet there.
 CHUNK = 8192
+#: Crowded block values are sent to all executors up to so many, and joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
 #: Node pairs that are handled at once, and the product of node sizes below which leaves are compared directly.
 FRONTIER, DIRECT = 1 << 18, 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -205,13 +207,18 @@ def hamming_links(prints: DataFrame, *, budget: int = BUDGET, chunk: int = CHUNK
     turns = [_turned(k, blocks) for k in range(blocks)]
     value = lambda turn, width: F.shiftrightunsigned(F.shiftleft(F.col("fp"), turn), BITS - width)
     dealt = prints.select("node", "kind", "fp", F.posexplode(F.array(*[value(*t) for t in turns])).alias("block", "value"))
-    crowded = dealt.groupBy("kind", "block", "value").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("kind", "block", "value", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    crowded = dealt.groupBy("kind", "block", "value").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("kind", "block", "value", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")).checkpoint()
+    n_crowded = crowded.count()
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     code = lambda i, j: F.least(i, j) * F.col("chunks") + F.greatest(i, j)
     tasks = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda j: j != mine), lambda j: code(mine, j))
     )
-    spread = dealt.join(crowded, ["kind", "block", "value"], "left").select("node", "kind", "fp", "block", "value", F.explode(tasks).alias("task"))
+    if n_crowded == 0:  # as it is mostly: then no row needs to look its block value up
+        looked_up = dealt.withColumn("chunks", F.lit(None).cast("int"))
+    else:
+        looked_up = dealt.join(F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded, ["kind", "block", "value"], "left")
+    spread = looked_up.select("node", "kind", "fp", "block", "value", F.explode(tasks).alias("task"))
     return spread.repartition(partitions(prints.sparkSession), "kind", "block", "value", "task").select("node", "kind", "fp", "block", "task").mapInArrow(_link_partition(budget), "a bigint, b bigint")
 
 
@@ -222,7 +229,7 @@ def near_groups(docs: DataFrame, *, id_col: str, text_col: str, width: int, budg
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), simhash_udf(width)(text).alias("prints")).checkpoint()
     rows = found.select("id", "digest", F.get("prints", F.lit(0)).alias("fp"))
     prints = found.select("prints").distinct().select(F.get("prints", F.lit(0)).alias("node"), F.posexplode("prints").alias("kind", "fp"))
-    roots = connected(hamming_links(prints.distinct(), budget=budget))
+    roots = connected(hamming_links(prints.distinct().checkpoint(), budget=budget))
     nodes = rows.select("fp").distinct()
     return rows, nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
