@@ -12,6 +12,7 @@ before anything is read, names the files of the attempts that succeeded. Files o
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,10 +31,10 @@ CHECKSUMS = 0x80
 #: A file is closed once it has so many bytes or documents.
 FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 MANIFEST = "part int, number int, path string, docs bigint, ids bigint, bytes bigint"
-#: Most chunks, runs of letters and marks that a worker keeps.
-KEPT, KEPT_LETTERS, KEPT_MARKS = 100_000, 250_000, 20_000
-#: Marks that may stand after letters; the tokenizer parts them from letters, but a run of them is one match.
-MARKS = ".,;:!?*$%&#"
+#: Most chunks that a worker keeps.
+KEPT = 300_000
+#: Marks after a letter or digit and before white space or the end.
+_TRAILING = re.compile(r"[.,;:!?*$%&#](?<=[^\W_].)[.,;:!?*$%&#]*(?=\s|$)")
 
 
 def _xxh32(data: bytes) -> int:
@@ -45,7 +46,7 @@ def _xxh32(data: bytes) -> int:
 class FrameWriter:
     """Appends documents to one file."""
 
-    def __init__(self, path: str, level: int = 3):
+    def __init__(self, path: str, level: int = 1):
         import zstandard
 
         self.fs, self.at = pafs.FileSystem.from_uri(path)
@@ -127,11 +128,11 @@ class FrameReader:
 
 
 class WordEncoder:
-    """Encodes by a tokenizer that never joins what white space parts, nor letters with what are none, and that ends each run of letters with its own kind of token.
+    """Encodes by a tokenizer that lower-cases, never joins what white space parts, nor letters and digits with other marks, and that ends each run of letters with its own kind of token.
 
-    Up to KEPT chunks between ASCII spaces are kept with their ids as bytes. A new chunk of Latin-1 letters with marks after it is put together from the ids of its lower-cased
-    letters and of its marks, of which there are far fewer; the new runs of letters are encoded in one call and parted where a token ends a word. All other new
-    chunks, special tokens among them, are encoded whole.
+    Marks that stand between a letter or digit and a space are therefore parted from it, texts of Latin-1 characters are lower-cased, and up to KEPT chunks between spaces are kept with
+    their ids as bytes. New runs of Latin-1 letters are encoded in one call and parted where a token ends a word; all other new chunks, special tokens among
+    them, are encoded whole. A text that may hold a special token isn't lower-cased, as that could make one.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -143,54 +144,37 @@ class WordEncoder:
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end = struct.pack("<I", end_id)
         self.kept: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {"": b""}
-        self.marks: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _whole(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn_letters(self, runs: list[str]) -> None:
+    def _learn_runs(self, runs: list[str]) -> None:
         groups = [runs[at : at + 500] for at in range(0, len(runs), 500)]
         for group, e in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             data, at = ids.tobytes(), 0
             for run, stop in zip(group, (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), strict=True):
-                self.letters[run] = data[at:stop]
+                self.kept[run] = data[at:stop]
                 at = stop
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.letters) > KEPT_LETTERS:
-            self.letters = {"": b""}
-        if len(self.marks) > KEPT_MARKS:
-            self.marks = {"": b""}
-        kept, letters, marks, parted, whole = self.kept, self.letters, self.marks, [], []
-        for c in chunks:
-            if (ids := letters.get(c)) is not None:
-                kept[c] = ids
-                continue
-            run = c.rstrip(MARKS)
-            ids, mark = letters.get(run.lower()), marks.get(c[len(run) :])
-            if run and ids is not None and mark is not None:
-                kept[c] = ids + mark
-            elif run.isalpha() and max(run) < "\u0100":
-                parted.append((c, run.lower(), c[len(run) :]))
-            else:
-                whole.append(c)
-        self._learn_letters(list({r for _, r, _ in parted if r not in letters}))
-        new = list({m for _, _, m in parted if m not in marks})
-        marks.update(zip(new, self._whole(new), strict=True))
-        kept.update(zip(whole, self._whole(whole), strict=True))
-        for c, r, m in parted:
-            kept[c] = letters[r] + marks[m]
+        runs = {c: c.lower() for c in chunks if c.isalpha() and max(c) < "\u0100"}
+        whole = list(chunks.difference(runs))
+        self._learn_runs(list(set(runs.values()).difference(self.kept)))
+        self.kept.update(zip(whole, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
+        self.kept.update((c, self.kept[low]) for c, low in runs.items() if c != low)
 
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        chunks = _TRAILING.sub(r" \g<0>", text).replace("\n", " ").split(" ")
         new = set(chunks).difference(self.kept)
         if new:
-            if len(self.kept) + len(new) > KEPT:
+            if len(self.kept) + len(new) > KEPT:  # one text's chunks at most beyond the bound
                 self.kept = {"": b""}
                 new = set(chunks) - {""}
             self._learn(new)

@@ -162,7 +162,7 @@ def test_word_encoder_equals_the_tokenizer():
     import public_tokenizers as P
 
     w = zframes.WordEncoder(P.path("word_bpe_49k.json"), 2)
-    for x in ["A<|endoftext|>b x<|startoftext|>", "ΣΑΣ Σ. İstanbul ŒUVRE œ K Å ẞ", "don't I'll 'S 12ab3 a.b,c a..b !?,", "é é ́x ª º µ ß ŉ", "\t\x0b\x1c a b c", "|| a|b | x|", "THE!! the*** &&& , .", "a­b naïve… “q”"] * 2:
+    for x in ["A<|endoftext|>b x<|startoftext|>", "ΣΑΣ Σ. İstanbul ŒUVRE œ K Å ẞ", "don't I'll 'S 12ab3 a.b,c a..b !?,", "é é ́x ª º µ ß ŉ", "\t\x0b\x1c a b c", "|| a|b | x|", "THE!! the*** &&& , .", "a­b naïve… “q”", "A<|ENDOFTEXT|> B, x2.. y², e\u0301, ok.", "word), \"q\". 5, 5.5, a_, b_b. ŒUVRE, Été. $$$", "x,\u00a0y.\u2003z!\u0085w;"] * 2:
         assert np.frombuffer(w.encode(x), "<u4").tolist()[:-1] == w.tokenizer.encode(x, add_special_tokens=False).ids, x
 
 
