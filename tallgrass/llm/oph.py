@@ -19,7 +19,8 @@ from .common import fresh, let, partitions
 SHINGLE, BINS, BITS, SEED = 5, 128, 8, 20240229
 #: Steps of a bin's walk that are tried before the whole walk is.
 FIRST_STEPS = 8
-MAX_RANGES = 1000
+#: Most ranges of with_next; their bounds are literals of the plan.
+MAX_RANGES = 10_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -91,7 +92,7 @@ def with_next(df: DataFrame, order: str, values: list[str]) -> DataFrame:
     """
     key = F.col(order)
     n = min(MAX_RANGES, max(2, partitions(df.sparkSession)))
-    cuts = sorted(set(df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)).first()[0] or []))
+    cuts = sorted(set(df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0] or []))
     # the number of cuts at or below the key, found by halving
     place = F.aggregate(
         F.lit([1 << b for b in reversed(range(max(1, len(cuts).bit_length())))]),
