@@ -89,7 +89,7 @@ def submission_upsert(t):
 
 @query("hybrid_search")
 def hybrid_search(t):
-    """Documents for each benchmark item: two rankings, by words and by length-normalised character trigrams of the best of them, fused by reciprocal ranks."""
+    """Documents for each benchmark item: the best by words, ranked again by the Jaccard similarity of their tokens, both rankings fused by reciprocal ranks."""
     lexical = retrieval.bm25_topk(t.documents, "doc_id", t.benchmark, "item_id", k=50)
     found = lexical.join(t.documents.select("doc_id", "text"), "doc_id").join(t.benchmark.select("item_id", F.col("text").alias("asked")), "item_id")
     grams = found.select("item_id", "doc_id", F.round(text.jaccard(F.array_distinct(text.tokens(F.col("asked"))), F.array_distinct(text.tokens(F.col("text")))), 6).alias("score"))
