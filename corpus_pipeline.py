@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest id (null last; ties by a hash of the text).
+    """Keeps one document of each group of near duplicates (five-word shingles with a Jaccard similarity of 0.8 at least, and chains of such), the one with the smallest id (null last; ties by a hash of the text).
 
     Texts without words, null among them, are one group. Of rows equal in id and text one stays.
     """

@@ -25,7 +25,7 @@ from .common import fresh, partitions, shared_dir
 from .components import connected
 
 WIDTH, BITS, BUDGET = 3, 64, 3
-#: Independent fingerprints of a word set.
+#: Most kinds of fingerprints that are joined at once.
 TABLES = 16
 #: Most fingerprints of one block value in a task, from each of the two chunks that meet there.
 CHUNK = 8192
@@ -54,27 +54,11 @@ def simhash(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(ones * 2 > n).view(">u8")[0].astype(np.uint64).view(np.int64))
 
 
-def word_set_simhashes(text: str | None, tables: int = TABLES) -> list[int]:
-    """Independent fingerprints of the set of a text's words: every distinct word counts once."""
-    words = {*text.encode("utf-8", "surrogatepass").translate(_LOWER).split()} if text else ()
-    if not words:
-        return [0] * tables
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-    ones = np.zeros(64 * tables, np.int64)
-    for at in range(0, len(h), 4096):
-        x = h[at : at + 4096, None] + np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h)).view(np.int64).tolist()
-
-
 def simhash_udf(width: int):
-    """Texts to arrays of fingerprints: one over word shingles of a width, or TABLES over the set of words if the width is 0."""
+    """Texts to arrays of one fingerprint over word shingles of a width."""
 
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([[simhash(t, width)] if width else word_set_simhashes(t) for t in texts])
+        return pd.Series([[simhash(t, width)] for t in texts])
 
     return F.pandas_udf(prints, "array<bigint>")
 
@@ -246,21 +230,11 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 0, budget: int = BUDGET) -> DataFrame:
-    """The rows of docs that stay if one document of each component does: the one with the smallest id (null last; ties by a hash of the text).
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """The rows of docs that stay if one document of each group of near duplicates does; see shingles.one_of_each."""
+    from .shingles import one_of_each as of_each  # which builds on this module
 
-    By default documents are linked if one of TABLES independent fingerprints of their word sets lies within the budget. For texts of which a share of the words was exchanged, that
-    finds a pair with a Jaccard similarity of 0.8 over five-word shingles about 97 times in 100, and one of unrelated texts practically never.
-
-    All columns of docs are kept. Rows equal in id and text are one document, of which one row stays.
-    """
-    rows, roots = near_groups(docs, id_col=id_col, text_col=text_col, width=width, budget=budget)
-    rank = F.struct(F.col("id").isNull(), "id", "digest")
-    best = rows.groupBy("fp").agg(F.min(rank).alias("best")).join(roots, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    keep_id, keep_digest = fresh(docs, "_keep_id"), fresh(docs, "_keep_digest")
-    keep = best.select(F.col("best.id").alias(keep_id), F.col("best.digest").alias(keep_digest))
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.xxhash64(F.col(text_col)) == F.col(keep_digest)))
-    return kept.dropDuplicates([keep_id, keep_digest]).drop(keep_id, keep_digest)
+    return of_each(docs, id_col=id_col, text_col=text_col, budget=budget)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

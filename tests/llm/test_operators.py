@@ -483,6 +483,24 @@ def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert rows(simhash.near_components(empty)) == [] and rows(simhash.one_of_each(empty)) == []
 
 
+def test_near_duplicates_are_those_of_exact_jaccard(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    texts, common = [], [f"c{i}" for i in range(60)]
+    for _ in range(30):
+        base = words(200)
+        texts += [base, base + words(24), base + words(80), base[30:]]  # similar at about 0.89, 0.71 and 0.85
+    texts += [[common[i] for i in rng.permutation(60)] for _ in range(30)]  # equal word sets, no common shingle
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(up))
+
+
 # pipeline
 
 def test_pipeline(spark, sf):
