@@ -190,7 +190,10 @@ def hamming_links(prints: DataFrame, *, budget: int = BUDGET, chunk: int = CHUNK
     blocks = budget + 1
     turns = [_turned(k, blocks) for k in range(blocks)]
     value = lambda turn, width: F.shiftrightunsigned(F.shiftleft(F.col("fp"), turn), BITS - width)
-    dealt = prints.select("node", "kind", "fp", F.posexplode(F.array(*[value(*t) for t in turns])).alias("block", "value"))
+    least = prints.groupBy("kind", "fp").agg(F.min("node").alias("node"), F.max("node").alias("most")).checkpoint()  # equal fingerprints never meet in a task
+    several = least.where("node <> most").select("kind", "fp", F.col("node").alias("b"))
+    equal = None if several.isEmpty() else prints.join(several, ["kind", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    dealt = least.select("node", "kind", "fp", F.posexplode(F.array(*[value(*t) for t in turns])).alias("block", "value"))
     crowded = dealt.groupBy("kind", "block", "value").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("kind", "block", "value", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")).checkpoint()
     n_crowded = crowded.count()
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -203,7 +206,8 @@ def hamming_links(prints: DataFrame, *, budget: int = BUDGET, chunk: int = CHUNK
     else:
         looked_up = dealt.join(F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded, ["kind", "block", "value"], "left")
     spread = looked_up.select("node", "kind", "fp", "block", "value", F.explode(tasks).alias("task"))
-    return spread.repartition(partitions(prints.sparkSession), "kind", "block", "value", "task").select("node", "kind", "fp", "block", "task").mapInArrow(_link_partition(budget), "a bigint, b bigint")
+    near = spread.repartition(partitions(prints.sparkSession), "kind", "block", "value", "task").select("node", "kind", "fp", "block", "task").mapInArrow(_link_partition(budget), "a bigint, b bigint")
+    return near if equal is None else near.union(equal)
 
 
 def near_groups(docs: DataFrame, *, id_col: str, text_col: str, width: int, budget: int) -> tuple[DataFrame, DataFrame]:

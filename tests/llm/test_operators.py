@@ -466,6 +466,27 @@ def test_trie_join_loses_no_link(spark, chunk):
     assert len({roots.get(x, x) for x in signed}) == len(groups)
 
 
+def test_equal_fingerprints_of_any_kind_never_meet_in_a_task(spark, monkeypatch):
+    dealt = spark.sparkContext.accumulator(0)
+    linked = simhash._link_partition
+
+    def counted(budget):
+        run = linked(budget)
+
+        def count(batches):
+            kept = list(batches)
+            dealt.add(sum(b.num_rows for b in kept))
+            yield from run(iter(kept))
+
+        return count
+
+    monkeypatch.setattr(simhash, "_link_partition", counted)
+    df = spark.range(60).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("kind"), F.lit(5).cast("long").alias("fp")).union(spark.createDataFrame([(900, 1, 4), (901, 1, -1)], "node bigint, kind bigint, fp bigint"))
+    roots = {r.node: r.root for r in components.connected(simhash.hamming_links(df, chunk=40)).collect()}
+    assert len({roots[i] for i in [*range(60), 900]}) == 1 and 901 not in roots
+    assert dealt.value == 3 * 4  # distinct fingerprints by blocks
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 7), (200, 201), (201, 200), (None, 3)], "a bigint, b bigint")
     roots = {r.node: r.root for r in components.connected(df).collect()}
