@@ -35,8 +35,8 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     return (h ^ (h >> np.uint32(13))) * np.uint32(0x297A2D39) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
-def features(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Arrays of features and of the byte positions where they begin, for the words, the word pairs and each n-gram length."""
+def features(data: bytes, first: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of features and of the byte positions where they begin, for the words, the word pairs and each n-gram length. Words of different texts, which begin at first, make no pair."""
     a = np.frombuffer(data, np.uint8)
     inside = a > 32
     if not inside.any():
@@ -51,7 +51,9 @@ def features(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     out = [(_bucket(word, 1), start)]
     if len(word) > 1:
         pair = np.where(word[1:] == word[:-1], np.uint32(_REPEAT), word[:-1] * np.uint32(31) + word[1:])
-        out.append((_bucket(pair, 2), start[1:]))
+        text = np.searchsorted([0] if first is None else first, start, side="right")
+        own = text[1:] == text[:-1]
+        out.append((_bucket(pair[own], 2), start[1:][own]))
     gaps = np.concatenate(([0], np.cumsum(~inside)))
     for n in NGRAMS:
         if len(a) >= n:
@@ -130,7 +132,7 @@ def score_udf(weights: np.ndarray, bias: float):
 
         def add(rows: list[int], parts: list[bytes]) -> None:
             first = np.cumsum([0] + [len(p) + 1 for p in parts])
-            for f, at in features(b"\n".join(parts)):
+            for f, at in features(b"\n".join(parts), first):
                 row = np.searchsorted(first, at, side="right") - 1
                 total[rows] += np.bincount(row, weights[f], len(rows))
                 count[rows] += np.bincount(row, minlength=len(rows))

@@ -319,6 +319,14 @@ def test_subword_features_of_a_batch_are_those_of_its_texts():
         assert set(a) <= set(b) and len(b) - len(a) <= 1, t  # the pair with the word before, across texts, at most
 
 
+def test_scores_do_not_depend_on_the_batch(spark):
+    weights = np.random.default_rng(2).normal(0, 1, subword.BUCKETS)
+    score = subword.score_udf(weights, 0.0).func
+    texts = ["One two two", "", "  three  ", "été à", "x", "three", "x"]
+    together = score(__import__("pandas").Series(texts))
+    assert np.allclose(together, [score(__import__("pandas").Series([t]))[0] for t in texts], rtol=0, atol=1e-12)
+
+
 # 8: fingerprints
 
 def brute_fingerprint(text, bins=oph.BINS, width=oph.SHINGLE):
