@@ -11,8 +11,8 @@ from .common import shared_dir
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Returns node and root for every node of links (two columns of longs): nodes share a root exactly if a chain of links joins them.
 
-    Each round every node that has a neighbour with a smaller hash is merged into the neighbour of smallest hash, and the links are renamed; the hash changes from
-    round to round, so that long chains shrink by a constant factor. Rounds are written to the shared checkpoint folder: nothing is gathered on the driver but a count.
+    Each round every node takes the name of the node of smallest hash within two links of it, and the links are renamed: a star of any size is one node after a round, and as the hash changes from
+    round to round, long chains shrink by a constant factor. The names of a round and its links are written to the shared checkpoint folder: nothing is gathered on the driver but a count.
     A node with very many links is first reduced by partial aggregation. Links to itself and repeated links are allowed, links with a null end are dropped.
     """
     spark = links.sparkSession
@@ -25,8 +25,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         weight = lambda c, t=turn: F.xxhash64(c, F.lit(t))
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min_by("b", weight("b")).alias("b"))
-        merged = least.select("a", F.when(weight("b") < weight("a"), F.col("b")).otherwise(F.col("a")).alias("to")).checkpoint()
-        left, right = merged.select(F.col("a"), F.col("to").alias("ta")), merged.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        edges = edges.join(left, "a").join(right, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct().checkpoint()
-        nodes = nodes.join(merged.select(F.col("a").alias("root"), F.col("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")).checkpoint()
-    return nodes
+        near = least.select(F.col("a").alias("b"), F.when(weight("b") < weight("a"), F.col("b")).otherwise(F.col("a")).alias("m"))
+        named = both.join(near, "b").groupBy("a").agg(F.min_by("m", weight("m")).alias("to")).checkpoint()  # a neighbour's least is no greater than one's own
+        edges = edges.join(named.toDF("a", "ta"), "a").join(named.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct().checkpoint()
+        nodes = nodes.join(named.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return nodes.checkpoint()

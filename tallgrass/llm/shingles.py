@@ -1,7 +1,7 @@
 """Near duplicates by the Jaccard similarity of five-word shingles: fingerprints propose, an exact comparison of both shingle sets decides.
 
-Texts with equal shingle sets are one node. Nodes are proposed to each other if they share a bucket: one of BANDS hashes of ROWS min-hashes each, or a component of SimHash fingerprints of the shingle
-sets within the Hamming budget (tries, see simhash.py). A pair with similarity s misses all bands with probability (1 - s^ROWS)^BANDS, whatever the edit: 7 in 100,000 at 0.8.
+Texts with equal shingle sets are one node. Nodes are proposed to each other if they share a bucket: one of BANDS hashes of ROWS min-hashes each, or a group of SimHash fingerprints of the shingle
+sets that a trie has linked within the Hamming budget (see simhash.py). A pair with similarity s misses all bands with probability (1 - s^ROWS)^BANDS, whatever the edit: 7 in 100,000 at 0.8.
 
 A bucket is never taken on trust. Its members are compared with one of them first, and what is linked by then needs no further test. Nodes of buckets that hold several components after that are joined on
 the rarest of their shingles: two sets that reach the threshold share one of the first size - ceil(0.8 size) + 1 in any common order, so no pair is lost. The components are those of all proposed pairs that
@@ -92,12 +92,15 @@ def alike_udf(a: str, b: str) -> Column:
     return F.pandas_udf(run, "boolean")(a, b)
 
 
-def _buckets(found: DataFrame, budget: int) -> DataFrame:
+def _buckets(nodes: DataFrame, budget: int) -> DataFrame:
     """Rows (bucket, node, size) of every bucket that holds two nodes or more."""
-    some = found.where("size > 0")
-    roots = connected(hamming_links(some.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("kind"), "fp").distinct().checkpoint(), budget=budget))
-    near = some.select("node", "size", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"), "node", "size")
-    members = some.select(F.explode("bands").alias("bucket"), "node", "size").union(near)
+    sizes = nodes.select("node", "size", "fp")
+    prints = nodes.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("kind"), "fp").distinct()
+    near = hamming_links(prints, budget=budget).checkpoint()
+    same = nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("fp", F.col("fp").alias("b"))
+    held = near.select(F.col("a").alias("fp"), "b").union(near.select(F.col("b").alias("fp"), "b")).union(same).distinct()
+    tries = sizes.join(held, "fp").select(F.xxhash64(F.lit("simhash"), "b").alias("bucket"), "node", "size")
+    members = nodes.select(F.explode("bands").alias("bucket"), "node", "size").union(tries)
     wide = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket")
     return members.join(wide, "bucket").distinct().checkpoint()
 
@@ -117,7 +120,7 @@ def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = B
     text = F.col(text_col)
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), sketch_udf(text).alias("s")).select("id", "digest", "s.*").checkpoint()
     rows = found.select("id", "digest", "node")
-    members = _buckets(found, budget)
+    members = _buckets(found.where("size > 0").select("node", "size", "fp", "bands").dropDuplicates(["node"]), budget)
     if members.isEmpty():
         return rows, rows.select("node", F.col("node").alias("root")).limit(0)
     one = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("best"))
@@ -137,7 +140,10 @@ def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = B
     label = lambda df, c: df.join(roots.toDF(c, "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
     named = label(members.withColumn("label", F.col("node")), "label")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    rare = _prefixes(named.join(mixed, "bucket").select("node", "size", "label").distinct(), sets)
+    unclear = named.join(mixed, "bucket").select("node", "size", "label").distinct().checkpoint()
+    if unclear.isEmpty():
+        return rows, roots
+    rare = _prefixes(unclear, sets)
     new = tested(rare.withColumnRenamed("node", "a").join(rare.toDF("shingle", "b", "size_b", "label_b"), "shingle").where("label < label_b"))
     more = connected(label(label(new, "a"), "b")).toDF("node", "over")
     further = roots.join(more.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("over", "root").alias("root"))

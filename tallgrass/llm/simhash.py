@@ -1,8 +1,8 @@
 """SimHash fingerprints, linked within a Hamming budget by a self-join of binary tries.
 
 A fingerprint's bit is set if it is set in over half of the hashes of the text's word shingles. Two fingerprints link if they differ in at most `budget` bits. Then they
-agree on at least one of budget + 1 blocks of bits, so every distinct fingerprint is dealt once for each block, with the bits turned so that this block stands
-first: fingerprints with one block value are the leaves of one trie. The self-join descends through pairs of nodes of that trie
+agree on at least one of budget + 1 blocks of bits, so every distinct fingerprint is dealt once for each block, with the bits arranged so that this block stands
+first: fingerprints with one block value are the leaves of one trie. (Of very many fingerprints two of budget + 2 blocks stand first, which agree as surely and are shared by fewer.) The self-join descends through pairs of nodes of that trie
 together, adds up the bits in which their paths differ, and leaves a pair as soon as the sum exceeds the budget. What it finds is reduced at once to a spanning
 forest, at most one link per leaf, so that a dense group never gives all its pairs.
 
@@ -13,12 +13,13 @@ two chunks are joined in a task of their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, partitions, shared_dir
@@ -29,6 +30,8 @@ WIDTH, BITS, BUDGET = 3, 64, 3
 TABLES = 16
 #: Most fingerprints of one block value in a task, from each of the two chunks that meet there.
 CHUNK = 8192
+#: Up to so many fingerprints one block stands first, beyond it two do; both find the same links. Dealt rows for each task on average.
+ONE_BLOCK, TASK_ROWS = 1 << 28, 500_000
 #: Crowded block values are sent to all executors up to so many, and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Node pairs that are handled at once, and the product of node sizes below which leaves are compared directly.
@@ -55,12 +58,12 @@ def simhash(text: str | None, width: int = WIDTH) -> int:
 
 
 def simhash_udf(width: int):
-    """Texts to arrays of one fingerprint over word shingles of a width."""
+    """Texts to fingerprints over word shingles of a width."""
 
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([[simhash(t, width)] for t in texts])
+        return pd.Series([simhash(t, width) for t in texts], dtype="int64")
 
-    return F.pandas_udf(prints, "array<bigint>")
+    return F.pandas_udf(prints, "bigint")
 
 
 class Forest:
@@ -146,14 +149,19 @@ def _cuts(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) ->
     return lo
 
 
-def _turned(block: int, blocks: int) -> tuple[int, int]:
-    """How far to turn a fingerprint left so that a block stands first, and the block's width."""
-    edge = [BITS * i // blocks for i in range(blocks + 1)]
-    return edge[block], edge[block + 1] - edge[block]
+def _arranged(budget: int, picked: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each choice of `picked` of budget + picked blocks: all blocks as (lowest bit, width), the chosen first, and the width of the chosen together."""
+    edge = [BITS * i // (budget + picked) for i in range(budget + picked + 1)]
+    blocks = [(BITS - b, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+    out = []
+    for chosen in combinations(range(len(blocks)), picked):
+        rest = [k for k in range(len(blocks)) if k not in chosen]
+        out.append(([blocks[k] for k in (*chosen, *rest)], sum(blocks[k][1] for k in chosen)))
+    return out
 
 
-def _link_partition(budget: int):
-    blocks = budget + 1
+def _link_partition(budget: int, picked: int = 1):
+    arranged = _arranged(budget, picked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -162,13 +170,14 @@ def _link_partition(budget: int):
         t = pa.Table.from_batches(rows)
         fp, node = t["fp"].to_numpy().astype(np.int64).view(np.uint64), t["node"].to_numpy()
         task, block = t["task"].to_numpy() * TABLES + t["kind"].to_numpy(), t["block"].to_numpy()
-        for k in range(blocks):
+        for k, (parts, width) in enumerate(arranged):
             mine = np.flatnonzero(block == k)
             if not len(mine):
                 continue
-            turn, width = _turned(k, blocks)
             x = fp[mine]
-            key = x if not turn else (x << np.uint64(turn)) | (x >> np.uint64(BITS - turn))
+            key = np.zeros(len(x), np.uint64)
+            for low, wide in parts:
+                key = key << np.uint64(wide) | (x >> np.uint64(low)) & np.uint64((1 << wide) - 1)
             order = np.lexsort((key, key >> np.uint64(BITS - width), task[mine]))
             name, key, part = node[mine][order], key[order], task[mine][order]
             value = key >> np.uint64(BITS - width)
@@ -182,18 +191,26 @@ def _link_partition(budget: int):
     return run
 
 
-def hamming_links(prints: DataFrame, *, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
+def hamming_links(prints: DataFrame, *, budget: int = BUDGET, chunk: int = CHUNK, picked: int | None = None) -> DataFrame:
     """Links (a, b) between nodes: their components are those of all pairs of nodes with fingerprints of one kind within the budget.
 
-    prints has a row (node, kind, fp) for each fingerprint of a node, all longs, kind from 0 to TABLES - 1; rows must be distinct.
+    prints has a row (node, kind, fp) for each fingerprint of a node, all longs, kind from 0 to TABLES - 1; rows must be distinct. Any two nodes within the budget, unless their fingerprints are
+    equal, are both linked to one b or are a link themselves. picked is the number of blocks that stand first (by default as many as the number of fingerprints asks for).
     """
-    blocks = budget + 1
-    turns = [_turned(k, blocks) for k in range(blocks)]
-    value = lambda turn, width: F.shiftrightunsigned(F.shiftleft(F.col("fp"), turn), BITS - width)
     least = prints.groupBy("kind", "fp").agg(F.min("node").alias("node"), F.max("node").alias("most")).checkpoint()  # equal fingerprints never meet in a task
+    n = least.count()
+    picked = picked or (1 if n <= ONE_BLOCK else 2)
+    arranged = _arranged(budget, picked)
+
+    def value(parts: list[tuple[int, int]]) -> Column:
+        out = F.lit(0).cast("long")
+        for low, wide in parts[:picked]:
+            out = F.shiftleft(out, wide).bitwiseOR(F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << wide) - 1)))
+        return out
+
     several = least.where("node <> most").select("kind", "fp", F.col("node").alias("b"))
     equal = None if several.isEmpty() else prints.join(several, ["kind", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b")
-    dealt = least.select("node", "kind", "fp", F.posexplode(F.array(*[value(*t) for t in turns])).alias("block", "value"))
+    dealt = least.select("node", "kind", "fp", F.posexplode(F.array(*[value(parts) for parts, _ in arranged])).alias("block", "value"))
     crowded = dealt.groupBy("kind", "block", "value").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("kind", "block", "value", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")).checkpoint()
     n_crowded = crowded.count()
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -206,19 +223,17 @@ def hamming_links(prints: DataFrame, *, budget: int = BUDGET, chunk: int = CHUNK
     else:
         looked_up = dealt.join(F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded, ["kind", "block", "value"], "left")
     spread = looked_up.select("node", "kind", "fp", "block", "value", F.explode(tasks).alias("task"))
-    near = spread.repartition(partitions(prints.sparkSession), "kind", "block", "value", "task").select("node", "kind", "fp", "block", "task").mapInArrow(_link_partition(budget), "a bigint, b bigint")
+    tasks_ = max(partitions(prints.sparkSession), -(-n * len(arranged) // TASK_ROWS))
+    near = spread.repartition(tasks_, "kind", "block", "value", "task").select("node", "kind", "fp", "block", "task").mapInArrow(_link_partition(budget, picked), "a bigint, b bigint")
     return near if equal is None else near.union(equal)
 
 
 def near_groups(docs: DataFrame, *, id_col: str, text_col: str, width: int, budget: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, digest, fp), one for each row of docs, and roots (fp, root), one for each distinct first fingerprint; rows are written to the shared folder."""
+    """Rows (id, fp), one for each row of docs, and roots (fp, root), one for each distinct fingerprint; rows are written to the shared folder."""
     shared_dir(docs.sparkSession)
-    text = F.col(text_col)
-    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), simhash_udf(width)(text).alias("prints")).checkpoint()
-    rows = found.select("id", "digest", F.get("prints", F.lit(0)).alias("fp"))
-    prints = found.select("prints").distinct().select(F.get("prints", F.lit(0)).alias("node"), F.posexplode("prints").alias("kind", "fp"))
-    roots = connected(hamming_links(prints.distinct().checkpoint(), budget=budget))
+    rows = docs.select(F.col(id_col).alias("id"), simhash_udf(width)(F.col(text_col)).alias("fp")).checkpoint()
     nodes = rows.select("fp").distinct()
+    roots = connected(hamming_links(nodes.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("kind"), "fp"), budget=budget))
     return rows, nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -242,4 +257,5 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of documents, as near_components gives them for three-word shingles and 3 bits."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

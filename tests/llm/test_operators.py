@@ -452,8 +452,8 @@ def test_near_components_equal_brute_force(spark, sf, docs):
     assert got == {d[0]: (f"{p:016x}", docs[r][0]) for d, p, r in zip(docs, prints, roots, strict=True)}
 
 
-@pytest.mark.parametrize("chunk", [8192, 40])
-def test_trie_join_loses_no_link(spark, chunk):
+@pytest.mark.parametrize(("chunk", "picked"), [(8192, 1), (40, 1), (8192, 2), (40, 2)])
+def test_trie_join_loses_no_link(spark, chunk, picked):
     rng = np.random.default_rng(7)
     centres = rng.integers(0, 1 << 63, 6)
     prints = {int(c) for c in centres}
@@ -464,7 +464,7 @@ def test_trie_join_loses_no_link(spark, chunk):
         prints.add(x)
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
     df = spark.createDataFrame([(x, 0, x) for x in signed], "node bigint, kind int, fp bigint")
-    roots = {r.node: r.root for r in components.connected(simhash.hamming_links(df, chunk=chunk)).collect()}
+    roots = {r.node: r.root for r in components.connected(simhash.hamming_links(df, chunk=chunk, picked=picked)).collect()}
     want = brute_components(signed)
     groups = {}
     for x, r in zip(signed, want, strict=True):
@@ -478,8 +478,8 @@ def test_equal_fingerprints_of_any_kind_never_meet_in_a_task(spark, monkeypatch)
     dealt = spark.sparkContext.accumulator(0)
     linked = simhash._link_partition
 
-    def counted(budget):
-        run = linked(budget)
+    def counted(*args):
+        run = linked(*args)
 
         def count(batches):
             kept = list(batches)
@@ -496,9 +496,10 @@ def test_equal_fingerprints_of_any_kind_never_meet_in_a_task(spark, monkeypatch)
 
 
 def test_components_of_a_long_chain(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 7), (200, 201), (201, 200), (None, 3)], "a bigint, b bigint")
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 7), (200, 201), (201, 200), (None, 3)] + [(300, i) for i in range(301, 400)], "a bigint, b bigint")
     roots = {r.node: r.root for r in components.connected(df).collect()}
     assert len({roots[i] for i in range(61)}) == 1 and roots[200] == roots[201] != roots[0] and 100 not in roots
+    assert len({roots[i] for i in range(300, 400)}) == 1 and len(set(roots.values())) == 3
 
 
 def test_near_duplicates_of_awkward_rows(awkward, empty):
