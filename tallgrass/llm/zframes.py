@@ -31,10 +31,10 @@ CHECKSUMS = 0x80
 #: A file is closed once it has so many bytes or documents.
 FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 MANIFEST = "part int, number int, path string, docs bigint, ids bigint, bytes bigint"
-#: Most chunks that a worker keeps.
-KEPT = 300_000
-#: Marks after a letter or digit and before white space or the end.
-_TRAILING = re.compile(r"[.,;:!?*$%&#](?<=[^\W_].)[.,;:!?*$%&#]*(?=\s|$)")
+#: Most chunks that a worker keeps, and their most characters and bytes of ids.
+KEPT, KEPT_BYTES = 300_000, 32 << 20
+#: Marks before white space or the end and after a letter or digit that no normal form takes apart.
+_TRAILING = re.compile(r"[.,;:!?*$%&#](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ].)[.,;:!?*$%&#]*(?=\s|$)")
 
 
 def _xxh32(data: bytes) -> int:
@@ -130,8 +130,8 @@ class FrameReader:
 class WordEncoder:
     """Encodes by a tokenizer that lower-cases, never joins what white space parts, nor letters and digits with other marks, and that ends each run of letters with its own kind of token.
 
-    Marks that stand between a letter or digit and a space are therefore parted from it, texts of Latin-1 characters are lower-cased, and up to KEPT chunks between spaces are kept with
-    their ids as bytes. New runs of Latin-1 letters are encoded in one call and parted where a token ends a word; all other new chunks, special tokens among
+    Marks that stand between a letter or digit of Latin-1 and a space are therefore parted from it (other letters may end in a combining mark once they are normalised, which joins the marks
+    that follow), texts of Latin-1 characters are lower-cased, and chunks between spaces are kept with their ids as bytes, up to KEPT of them. New runs of Latin-1 letters are encoded in one call and parted where a token ends a word; all other new chunks, special tokens among
     them, are encoded whole. A text that may hold a special token isn't lower-cased, as that could make one.
     """
 
@@ -144,6 +144,7 @@ class WordEncoder:
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end = struct.pack("<I", end_id)
         self.kept: dict[str, bytes] = {"": b""}
+        self.size = 0
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -163,6 +164,7 @@ class WordEncoder:
         self._learn_runs(list(set(runs.values()).difference(self.kept)))
         self.kept.update(zip(whole, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
         self.kept.update((c, self.kept[low]) for c, low in runs.items() if c != low)
+        self.size += sum(map(len, chunks)) + sum(map(len, map(self.kept.__getitem__, chunks)))
 
     def encode(self, text: str) -> bytes:
         if "<|" not in text:
@@ -174,8 +176,8 @@ class WordEncoder:
         chunks = _TRAILING.sub(r" \g<0>", text).replace("\n", " ").split(" ")
         new = set(chunks).difference(self.kept)
         if new:
-            if len(self.kept) + len(new) > KEPT:  # one text's chunks at most beyond the bound
-                self.kept = {"": b""}
+            if len(self.kept) + len(new) > KEPT or self.size > KEPT_BYTES:  # one text's chunks at most beyond the bound
+                self.kept, self.size = {"": b""}, 0
                 new = set(chunks) - {""}
             self._learn(new)
         return b"".join(map(self.kept.__getitem__, chunks)) + self.end
@@ -250,7 +252,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def find_tokens(manifest: DataFrame, wanted: list[int]) -> DataFrame:
-    """The documents with the wanted ids (a stated list), of which alone the frames are read: id and ids (binary)."""
+    """The documents with the wanted ids (a stated list), of which alone the frames are read: id and ids (binary).
+
+    Several documents with one id all come; null and unknown ids give no row, nor does a manifest without files.
+    """
     ids = set(wanted)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +268,7 @@ def find_tokens(manifest: DataFrame, wanted: list[int]) -> DataFrame:
 
 
 def op3_zstd_frames(spark, sf_dir: str, *, end_id: int = 2) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the token files that hold the ids of all whole texts (null: empty) in ascending order of doc_id."""
     import public_tokenizers as P
 
     path = P.path("word_bpe_49k.json")

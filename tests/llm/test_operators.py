@@ -166,6 +166,18 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(w.encode(x), "<u4").tolist()[:-1] == w.tokenizer.encode(x, add_special_tokens=False).ids, x
 
 
+def test_word_encoder_equals_the_tokenizer_on_all_characters():
+    import public_tokenizers as P
+
+    w = zframes.WordEncoder(P.path("word_bpe_49k.json"), 2)
+    points = [chr(c) for c in [*range(1, 0x3400), *range(0xA000, 0xAC10), *range(0xD7A0, 0xD800), *range(0xF900, 0x20000), *range(0xE0000, 0xE0200)]]
+    for forms in ("a{0}. {0}, {0}", "{0}.. x{0}\u0301. {0}s! A{0}B; {0}\u0327?"):
+        texts = [" ".join(forms.format(c) for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+        want = w.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for t, e in zip(texts, want, strict=True):
+            assert np.frombuffer(w.encode(t), "<u4").tolist()[:-1] == e.ids, t
+
+
 def test_damaged_token_file(spark, tmp_path):
     path = str(tmp_path / "a.tok.zst")
     w = zframes.FrameWriter(path)
