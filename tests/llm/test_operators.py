@@ -216,13 +216,123 @@ def test_frames_and_shots():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.integers(0, 60, (12, 576)), rng.integers(180, 256, (9, 576)), np.full((1, 576), 255)]).astype(np.uint8)
     frames = avimedia.encode_frames(x)
-    assert (avimedia.decode_frames(frames) == x).all()
+    assert (np.array(avimedia.decode_frames(frames)) == x).all()
     back, seconds = avimedia.read_avi(avimedia.write_avi(frames))
     assert back == frames and seconds == 0.04
-    begins, _ = avimedia.shots(x[:21], np.zeros(21, int))
+    begins, _ = avimedia.shots(avimedia.histograms(list(x[:21])), np.zeros(21, int))
     assert np.flatnonzero(begins).tolist() == [0, 12]
-    with pytest.raises(ValueError):
-        avimedia.decode_frames([frames[0][:-10] + b"\xff\xd9"])
+    for damaged in (frames[0][:-10] + b"\xff\xd9", frames[0][:-2], b"no frame"):
+        with pytest.raises(ValueError):
+            avimedia.decode_frames([damaged])
+
+
+def brute_shots(frames):
+    """A frame at a time, each neighbourhood listed."""
+    hist = [[sum(v // 16 == k for v in f) / len(f) for k in range(16)] for f in frames]
+    change = [0.0] + [round(sum(abs(a - b) for a, b in zip(p, q, strict=True)) / 2, 6) for p, q in zip(hist, hist[1:], strict=False)]
+    cuts = [0]
+    for i in range(1, len(frames)):
+        near = [change[k] for k in range(max(1, i - 8), min(len(frames), i + 9)) if k != i]
+        mean = sum(near) / max(1, len(near))
+        spread = max(0.0, sum(c * c for c in near) / max(1, len(near)) - mean * mean) ** 0.5
+        if change[i] > round(max(mean + 2.5 * spread, 0.1), 9):
+            cuts.append(i)
+    return cuts
+
+
+def test_clips_equal_brute_force(spark, sf, docs):
+    got = {r.doc_id: r.feature for r in avimedia.op4_avi_mjpeg(spark, sf).collect()}
+    for doc_id, text, *_ in [d for d in docs if len(d[1]) < 6000][:60]:
+        p = avimedia.payload_of(text)
+        cuts = brute_shots([p[k : k + 576] for k in range(0, len(p), 576)])
+        want = [f"{round(a * 0.04, 6)}-{round(b * 0.04, 6)}" for a, b in zip(cuts, [*cuts[1:], len(p) // 576], strict=True)]
+        assert got[doc_id] == ",".join(want)
+
+
+def baseline_jpeg(planes, factors, with_tables=True, restart=0):
+    """A small baseline encoder: planes of float samples, their sampling factors, quantisers of 1."""
+    codes = {k: {s: (c, n) for s, c, n in avimedia._canonical(bytes.fromhex(a), bytes.fromhex(b))} for k, (a, b) in avimedia.STANDARD_TABLES.items()}
+    segment = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+    high, wide = planes[0].shape
+    n = len(planes)
+    head = b"\xff\xd8" + segment(0xE0, b"AVI1\0") + segment(0xDB, b"\0" + b"\1" * 64)
+    head += segment(0xC0, struct.pack(">BHHB", 8, high, wide, n) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(factors)))
+    if with_tables:
+        head += b"".join(segment(0xC4, bytes([k]) + bytes.fromhex(a + b)) for k, (a, b) in avimedia.STANDARD_TABLES.items())
+    if restart:
+        head += segment(0xDD, struct.pack(">H", restart))
+    head += segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0x11 if i else 0]) for i in range(n)) + b"\0\x3f\0")
+    bits, out, before = [], b"", [0] * n
+
+    def put(value, size):
+        bits.append(f"{value:0{size}b}" if size else "")
+
+    def flush():
+        joined = "".join(bits)
+        joined += "1" * (-len(joined) % 8)
+        bits.clear()
+        return bytes(int(joined[k : k + 8], 2) for k in range(0, len(joined), 8)).replace(b"\xff", b"\xff\0")
+
+    def amount(v):
+        size = abs(v).bit_length()
+        return size, v if v > 0 else v + (1 << size) - 1
+
+    mh, mv = max(h for h, _ in factors), max(v for _, v in factors)
+    across, down, unit = -(-wide // (8 * mh)), -(-high // (8 * mv)), 0
+    padded = []
+    for p, (h, v) in zip(planes, factors, strict=True):
+        small = p[:: mv // v, :: mh // h]
+        padded.append(np.pad(small, ((0, down * 8 * v - small.shape[0]), (0, across * 8 * h - small.shape[1])), "edge"))
+    for my in range(down):
+        for mx in range(across):
+            if restart and unit and unit % restart == 0:
+                out += flush() + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+                before = [0] * n
+            unit += 1
+            for i, (h, v) in enumerate(factors):
+                for by in range(v):
+                    for bx in range(h):
+                        y, x = (my * v + by) * 8, (mx * h + bx) * 8
+                        c = np.rint(avimedia._COSINES @ (padded[i][y : y + 8, x : x + 8] - 128) @ avimedia._COSINES.T).astype(int).ravel()[avimedia.ZIGZAG].tolist()
+                        dc, ac = codes[0x01 if i else 0x00], codes[0x11 if i else 0x10]
+                        size, value = amount(c[0] - before[i])
+                        before[i] = c[0]
+                        put(*dc[size])
+                        put(value, size)
+                        run = 0
+                        for z in range(1, 64):
+                            if not c[z]:
+                                run += 1
+                                continue
+                            while run > 15:
+                                put(*ac[0xF0])
+                                run -= 16
+                            size, value = amount(c[z])
+                            put(*ac[run << 4 | size])
+                            put(value, size)
+                            run = 0
+                        if run:
+                            put(*ac[0])
+    return head + out + flush() + b"\xff\xd9"
+
+
+def test_baseline_frames(spark):
+    assert avimedia.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and avimedia.ZIGZAG[-3:].tolist() == [55, 62, 63]
+    y, x = np.mgrid[0:37, 0:53]
+    luma, blue, red = 128 + 90 * np.sin(x / 9) * np.cos(y / 7), 100 + x * 1.0, 200 - y * 2.0
+    for planes, factors, tables, restart in (([luma], [(1, 1)], True, 0), ([luma, blue, red], [(2, 2), (1, 1), (1, 1)], False, 2), ([luma, blue, red], [(2, 1), (1, 1), (1, 1)], True, 0), ([luma, blue, red], [(1, 1)] * 3, False, 1)):
+        got = avimedia.decode_baseline(baseline_jpeg(planes, factors, tables, restart))
+        assert got.shape == (37, 53, len(planes)) and np.abs(got[:, :, 0] - luma).max() <= 2
+        if len(planes) == 3:
+            assert np.abs(got[:, :, 1] - blue).max() <= 3 and np.abs(got[:, :, 2] - red).max() <= 5
+    dark, light = baseline_jpeg([luma * 0 + 20], [(1, 1)]), baseline_jpeg([luma, blue, red], [(2, 2), (1, 1), (1, 1)], False)
+    video = bytearray(avimedia.write_avi([dark] * 10 + [light] * 6))
+    got = avimedia.clip_rows(spark.createDataFrame([(1, bytes(video)), (2, None)], "doc_id int, media binary")).collect()
+    assert [(r.doc_id, r.clip, r.first_frame, r.last_frame, r.start_s, r.end_s) for r in got] == [(1, 0, 0, 9, 0.0, 0.4), (1, 1, 10, 15, 0.4, 0.64)]
+    progressive = dark.replace(b"\xff\xc0", b"\xff\xc2")
+    for broken in (progressive, light[:-40], dark[:30]):
+        with pytest.raises(ValueError):
+            avimedia.decode_baseline(broken)
 
 
 # 5: byte-level BPE
