@@ -2,7 +2,7 @@
 
 A text is cut into windows of WINDOW bytes, the last one padded with zeros. A window's bytes are embedded; filters of several widths slide over them; each filter keeps
 its maximum; a softmax over the filters gives the language. The text's prediction is the softmax of its windows' logits, averaged by their bytes. Training is
-plain numpy on a bounded sample of labelled windows on the driver; only the small model travels to the executors.
+plain numpy on the driver, on all windows of a bounded sample of labelled documents; only the small model travels to the executors.
 
 To predict, embedding and filter are multiplied out once: a filter of width w is w tables from byte to response, so that a convolution is w look-ups.
 """
@@ -20,10 +20,10 @@ from .common import fresh, held_out
 from .learning import class_sample
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
-#: The sample that the network is fitted on: documents of each language, windows of each document, languages.
-PER_LANGUAGE, PER_DOCUMENT, LANGUAGES = 600, 4, 256
-#: Passes over the sample; of a small one as many as it takes for so many steps.
-EPOCHS, STEPS, BATCH, RATE, SEED = 6, 800, 64, 4e-3, 11
+#: The sample that the network is fitted on: labelled documents of each language (a quarter more at most).
+PER_LANGUAGE = 400
+#: Steps of training, so many passes over the sample as they make, one at least.
+STEPS, BATCH, RATE, SEED = 1500, 64, 4e-3, 11
 BLOCK = 128
 
 
@@ -49,7 +49,7 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, seed: int = SEED) -> dict:
     p["e"][0] = 0
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     t = 0
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(x))) if len(x) else 0):
+    for _ in range(-(-STEPS * BATCH // len(x)) if len(x) else 0):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             rows = order[at : at + BATCH]
@@ -123,22 +123,20 @@ class Predictor:
 def fit(docs: DataFrame, *, text_col: str, lang_col: str, key: list[str]) -> tuple[list[str], dict]:
     """Languages and parameters, from the rows of docs that have a text with a letter and a language. No such row: no language.
 
-    PER_LANGUAGE documents (a quarter more at most) of each of the LANGUAGES most frequent languages are used, and PER_DOCUMENT windows of each, spread over its text.
+    PER_LANGUAGE documents (a quarter more at most) of each language are used, each with all windows of its text.
     """
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for lang, text, draw in zip(b["lang"], b["text"], b["draw"], strict=True):
                 if has_letter(text):
-                    w = windows_of(text.encode("utf-8", "surrogatepass"))
-                    pick = np.unique(np.linspace(0, len(w) - 1, PER_DOCUMENT).astype(int))
-                    rows.append((lang, w[pick].tobytes(), draw))
+                    rows.append((lang, windows_of(text.encode("utf-8", "surrogatepass")).tobytes(), draw))
             yield pd.DataFrame(rows, columns=["lang", "windows", "draw"])
 
     learn = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
-    sample, bound = class_sample(learn, "lang", [f"_k{i}" for i in range(len(key))] + ["text"], per_class=PER_LANGUAGE, max_classes=LANGUAGES)
-    rows = sample.select("lang", "text", F.col("_draw").alias("draw")).mapInPandas(spread, "lang string, windows binary, draw bigint").orderBy("draw", "lang", "windows").limit(bound).collect()
+    sample, bound = class_sample(learn, "lang", [f"_k{i}" for i in range(len(key))] + ["text"], per_class=PER_LANGUAGE)
+    rows = sample.select("lang", "text", F.col("_draw").alias("draw")).mapInPandas(cut, "lang string, windows binary, draw bigint").orderBy("draw", "lang", "windows").limit(bound).collect()
     langs = sorted({r["lang"] for r in rows})
     parts = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in rows]
     x = np.concatenate(parts) if parts else np.zeros((0, WINDOW), np.uint8)
@@ -185,17 +183,21 @@ def identify(docs: DataFrame, learn_from: DataFrame, *, id_col: str = "doc_id",
     return docs.withColumn(out, predict_udf(langs, params)(F.col(text_col)))
 
 
-def keep_identified(docs: DataFrame, learn_from: DataFrame, *, least: float = 0.3, **names: str) -> DataFrame:
-    """The rows of docs whose language is known with a score of at least `least`, with all their columns. With nothing to learn from, all rows stay."""
-    column = fresh(docs, "_language")
-    langs_known = learn_from.where(F.col(names.get("lang_col", "lang")).isNotNull() & F.col(names.get("text_col", "text")).isNotNull()).limit(1).count()
-    if not langs_known:
+def keep_identified(docs: DataFrame, learn_from: DataFrame, *, least: float = 0.5, languages: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language is told with a score of at least `least`, and is one of `languages` (null: of all that were learned), with all their columns. A null lang_col is filled with that language.
+
+    Texts that are null or have no letter are never told. Where nothing can be learned, as no row has a language and a text with a letter, all rows stay as they are.
+    """
+    langs, params = fit(learn_from, text_col=text_col, lang_col=lang_col, key=[id_col])
+    if not langs:
         return docs
-    scored = identify(docs, learn_from, out=column, **names)
-    return scored.where((F.col(column)["lang"] != "und") & (F.col(column)["score"] >= least)).drop(column)
+    column = fresh(docs, "_language")
+    told = docs.withColumn(column, predict_udf(langs, params)(F.col(text_col))).where(F.col(column)["lang"].isin([x for x in langs if languages is None or x in languages]) & (F.col(column)["score"] >= least))
+    return told.withColumn(lang_col, F.coalesce(lang_col, F.col(column)["lang"].cast(docs.schema[lang_col].dataType))).drop(column)
 
 
 def op1_byte_cnn_language(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; the text and language of held-out rows are never learned."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = identify(docs, docs.where(~held_out(F.col("doc_id"))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 _SPAN = 1 << 31
 
 
-def class_sample(rows: DataFrame, label: str, key: list[str], *, per_class: int, max_classes: int) -> tuple[DataFrame, int]:
-    """A sample of about per_class rows of each of the max_classes most frequent labels, and the number of rows that it is bounded by.
+def class_sample(rows: DataFrame, label: str, key: list[str], *, per_class: int) -> tuple[DataFrame, int]:
+    """A sample of about per_class rows of each label, and the number of rows that it is bounded by. A label is a class of a model, so the driver holds them all.
 
     A row's membership depends on a hash of its key columns alone, so nothing is shuffled but the counts, and a rerun takes the same rows. Null labels are never
     sampled. The result has a column _draw to order by.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).collect()
     draw = F.pmod(F.xxhash64(*key), F.lit(_SPAN))
     taken = reduce(lambda a, b: a | b, [(F.col(label) == F.lit(r[0])) & (draw < F.lit(min(_SPAN, int(per_class / r["count"] * _SPAN) + 1))) for r in counts], F.lit(False))
     return rows.where(taken).withColumn("_draw", draw), int(1.25 * per_class * max(1, len(counts)))

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 Words, pairs of neighbouring words and character n-grams inside words (over UTF-8 bytes) are hashed into BUCKETS vectors that are learned. A document is the average of its
-features' vectors; a softmax over it gives the class. Training is stochastic gradient descent in numpy on the driver, over a bounded sample of labelled documents. As the
+features' vectors; a softmax over it gives the class. Training is stochastic gradient descent in numpy on the driver, over the whole texts of a bounded sample of labelled documents. As the
 softmax of an average is linear up to its end, executors need one number a bucket to score a text.
 
 A word that repeats the word before it forms one and the same pair feature whatever the word is, so that repetition is seen in words that were never seen.
@@ -9,6 +9,7 @@ A word that repeats the word before it forms one and the same pair feature whate
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,13 @@ from .common import fresh, held_out
 from .learning import class_sample
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 16, (3, 4)
-#: The sample that the classifier is fitted on: documents of each class, and features of each document, drawn at random from all of its text.
-PER_CLASS, PER_DOCUMENT = 2000, 768
+#: The sample that the classifier is fitted on: labelled rows of each class (a quarter more at most).
+PER_CLASS = 1000
 #: Passes over the sample; of a small one as many as it takes for so many steps.
 EPOCHS, STEPS, RATE, SEED = 8, 8000, 0.4, 5
-#: Bytes of text that are hashed at once. A longer text is scored piece by piece, cut at white space where it has any.
+#: Bytes of text that are hashed at once. A longer text is taken piece by piece, cut where a word has ended.
 PIECE = 1 << 20
+_GAP = re.compile(rb"[\x00-\x20]")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _REPEAT = 1
 
@@ -63,29 +65,38 @@ def features(data: bytes, first: np.ndarray | None = None) -> list[tuple[np.ndar
     return out
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while len(data) - at > PIECE:
-        cut = max(data.rfind(b" ", at, at + PIECE), data.rfind(b"\n", at, at + PIECE))
-        cut = cut if cut > at else at + PIECE
-        yield data[at:cut]
-        at = cut
-    yield data[at:]
+def _pieces(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """Pieces of a text, each with the number of its first bytes that are the end of the piece before: its last word, so that the pair with it isn't lost. Features that begin there have been counted."""
+    begin = at = 0
+    while len(data) - at > PIECE and (gap := _GAP.search(data, at + PIECE)):
+        cut = gap.start()
+        yield data[begin:cut], at - begin
+        inside = np.frombuffer(data, np.uint8, cut - begin, begin) > 32
+        words = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0) == 1)
+        begin, at = begin + int(words[-1]) if len(words) else cut, cut
+    yield data[begin:], at - begin
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """The weight of each bucket for class 1 against class 0, and the bias."""
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of a whole text, ascending, and how often each occurs."""
+    found = [f[at >= known] for piece, known in _pieces((text or "").encode("utf-8", "surrogatepass")) for f, at in features(piece)]
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """The weight of each bucket for class 1 against class 0, and the bias, from the distinct features and their counts of each document."""
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, c = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
+    shares = [(n / max(1, n.sum())).astype(np.float32) for _, n in docs]
     epochs = max(EPOCHS, -(-STEPS // len(docs))) if len(docs) else 0
     steps, at = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rate = np.float32(RATE * (1 - at / steps))
             at += 1
-            f = docs[i]
-            v = e[f].mean(axis=0) if len(f) else np.zeros(DIM, np.float32)
+            f, share = docs[i][0], shares[i]
+            v = share @ e[f]
             z = v @ w + c
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -93,24 +104,20 @@ def train(docs: list[np.ndarray], y: np.ndarray, seed: int = SEED) -> tuple[np.n
             back = w @ p
             w -= rate * np.outer(v, p)
             c -= rate * p
-            if len(f):
-                np.subtract.at(e, f, rate * back * np.float32(8 / len(f)))
+            e[f] -= np.outer(share, rate * np.float32(8) * back)
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(c[1] - c[0])
 
 
 def _learn_udf():
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text, label, d in zip(b["text"], b["label"], b["draw"], strict=True):
-                found = [f for piece in _pieces((text or "").encode("utf-8", "surrogatepass")) for f, _ in features(piece)]
-                f = np.concatenate(found) if found else np.zeros(0, np.uint32)
-                if len(f) > PER_DOCUMENT:
-                    f = np.sort(np.random.default_rng(d).choice(f, PER_DOCUMENT, replace=False))
-                rows.append((f.astype("<u4").tobytes(), label, d))
+                f, n = text_features(text)
+                rows.append((np.concatenate([f, n]).astype("<u4").tobytes(), label, d))
             yield pd.DataFrame(rows, columns=["features", "label", "draw"])
 
-    return draw
+    return learn
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_id: str = "doc_id", label_col: str = "quality") -> tuple[np.ndarray, float]:
@@ -119,33 +126,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     The sample is drawn from labels: PER_CLASS rows (a quarter more at most) of each class, which are then sent to where the documents are.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    sample, bound = class_sample(marked, "label", ["_id"], per_class=PER_CLASS, max_classes=2)
+    sample, bound = class_sample(marked, "label", ["_id"], per_class=PER_CLASS)
     picked = sample.orderBy("_draw", "_id", "label").limit(bound)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").select("text", "label", F.col("_draw").alias("draw"))
     got = rows.mapInPandas(_learn_udf(), "features binary, label int, draw bigint").orderBy("draw", "label", "features").limit(bound).collect()
-    return train([np.frombuffer(r["features"], "<u4") for r in got], np.array([r["label"] for r in got], int))
+    return train([tuple(np.frombuffer(r["features"], "<u4").reshape(2, -1)) for r in got], np.array([r["label"] for r in got], int))
 
 
 def score_udf(weights: np.ndarray, bias: float):
     def score(texts: pd.Series) -> pd.Series:
         total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
 
-        def add(rows: list[int], parts: list[bytes]) -> None:
-            first = np.cumsum([0] + [len(p) + 1 for p in parts])
-            for f, at in features(b"\n".join(parts), first):
+        def add(rows: list[int], parts: list[tuple[bytes, int]]) -> None:
+            first = np.cumsum([0] + [len(p) + 1 for p, _ in parts])
+            known = np.array([k for _, k in parts])
+            for f, at in features(b"\n".join(p for p, _ in parts), first):
                 row = np.searchsorted(first, at, side="right") - 1
+                if known.any():
+                    new = at >= (first[:-1] + known)[row]
+                    f, row = f[new], row[new]
                 total[rows] += np.bincount(row, weights[f], len(rows))
                 count[rows] += np.bincount(row, minlength=len(rows))
 
         rows, parts, size = [], [], 0
         for i, text in enumerate(texts):
             for piece in _pieces((text or "").encode("utf-8", "surrogatepass")):
-                if rows and (size + len(piece) > PIECE or rows[-1] == i):
+                if rows and (size + len(piece[0]) > PIECE or rows[-1] == i):
                     add(rows, parts)
                     rows, parts, size = [], [], 0
                 rows.append(i)
                 parts.append(piece)
-                size += len(piece)
+                size += len(piece[0])
         if rows:
             add(rows, parts)
         z = bias + total / np.maximum(count, 1)
@@ -170,6 +181,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **names
 
 
 def op7_subword_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; labels of held-out rows are never learned."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held_out(F.col("doc_id")))
     scored = score_quality(docs, docs, labels)

@@ -66,6 +66,36 @@ def test_language_of_awkward_rows(awkward, empty):
     assert {r[2] for r in rows(bytecnn.identify(awkward, empty).select("doc_id", "text", "language.lang"))} == {"und"}
     assert rows(bytecnn.identify(empty, awkward)) == []
     assert bytecnn.keep_identified(awkward, empty).count() == len(ROWS)
+    letterless = awkward.withColumn("text", F.lit("12 !!"))
+    assert bytecnn.keep_identified(awkward, letterless).count() == len(ROWS)
+    kept = bytecnn.keep_identified(awkward, awkward, least=0.0)
+    assert kept.columns == awkward.columns and kept.count() == sum(any(map(str.isalpha, r[1] or "")) for r in ROWS) and kept.where("lang IS NULL").count() == 0
+    assert {r.lang for r in bytecnn.keep_identified(awkward.withColumn("lang", F.lit(None).cast("string")), awkward, least=0.0, languages=["fr", "xx"]).collect()} <= {"fr"}
+
+
+def test_language_scores_equal_brute_force(spark):
+    """Window by window and filter by filter, without look-up tables."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 256, (3, bytecnn.WINDOW)).astype(np.uint8)
+    p = bytecnn.train(x[:0], np.zeros(0, int), 3)
+    p["v"], p["c"] = rng.normal(0, 1, p["v"].shape).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32)
+    texts = ["short", "été " * 90, "12", None, "x" * 700]
+    got = bytecnn.predict_udf(["a", "b", "c"], p).func(pd.Series(texts))
+    for t, (lang, score) in zip(texts, got.itertuples(index=False), strict=True):
+        if not t or not any(map(str.isalpha, t)):
+            assert (lang, score) == ("und", 0)
+            continue
+        data, total, weight = t.encode(), np.zeros(3), 0
+        for at in range(0, len(data), bytecnn.WINDOW):
+            part = data[at : at + bytecnn.WINDOW]
+            e = p["e"][list(part.ljust(bytecnn.WINDOW, b"\0"))]
+            hidden = [max(0.0, max(float((e[i : i + w].ravel() * p[f"k{w}"][:, f]).sum()) for i in range(bytecnn.WINDOW - w + 1)) + float(p[f"b{w}"][f])) for w in bytecnn.WIDTHS for f in range(bytecnn.FILTERS)]
+            total += len(part) * (np.array(hidden) @ p["v"] + p["c"])
+            weight += len(part)
+        z = np.exp(total / weight - (total / weight).max())
+        assert lang == "abc"[z.argmax()] and abs(score - z.max() / z.sum()) < 1e-4
 
 
 def test_network_gradients():
@@ -472,19 +502,42 @@ def test_subword_features_of_a_batch_are_those_of_its_texts():
     alone = [sorted(np.concatenate([f for f, _ in subword.features(t)] or [np.zeros(0, np.uint32)]).tolist()) for t in texts]
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
     together = [[] for _ in texts]
-    for f, at in subword.features(b"\n".join(texts)):
+    for f, at in subword.features(b"\n".join(texts), first):
         for x, i in zip(f.tolist(), (np.searchsorted(first, at, side="right") - 1).tolist(), strict=True):
             together[i].append(x)
-    for t, a, b in zip(texts, alone, together, strict=True):
-        assert set(a) <= set(b) and len(b) - len(a) <= 1, t  # the pair with the word before, across texts, at most
+    assert [sorted(x) for x in together] == alone
+
+
+def test_pieces_of_a_text_have_its_features(monkeypatch):
+    texts = ["one two two three  four\n\n five six " * 3, "x" * 50 + " y " + "z" * 30, "   a   b   c      d", "é" * 40, "", "a b " + "  " * 20 + "c"]
+    want = [[x.tolist() for x in subword.text_features(t)] for t in texts]
+    for size in (1, 3, 7, 16):
+        monkeypatch.setattr(subword, "PIECE", size)
+        assert [[x.tolist() for x in subword.text_features(t)] for t in texts] == want
+
 
+@pytest.mark.parametrize("piece", [1 << 20, 9])
+def test_scores_are_means_of_weights_and_do_not_depend_on_the_batch(spark, monkeypatch, piece):
+    import pandas as pd
 
-def test_scores_do_not_depend_on_the_batch(spark):
     weights = np.random.default_rng(2).normal(0, 1, subword.BUCKETS)
-    score = subword.score_udf(weights, 0.0).func
-    texts = ["One two two", "", "  three  ", "été à", "x", "three", "x"]
-    together = score(__import__("pandas").Series(texts))
-    assert np.allclose(together, [score(__import__("pandas").Series([t]))[0] for t in texts], rtol=0, atol=1e-12)
+    texts = ["One two two", "", "  three  ", "été à", "x", "three", "x", "a longer text of several words and pieces", None]
+    want = []
+    for t in texts:  # brute force: the mean weight of all features
+        f, n = subword.text_features(t)
+        want.append(1 / (1 + np.exp(-(weights[f] @ n / max(1, n.sum()) + 0.25))))
+    monkeypatch.setattr(subword, "PIECE", piece)
+    score = subword.score_udf(weights, 0.25).func
+    together = score(pd.Series(texts)).tolist()
+    assert np.allclose(together, want, rtol=0, atol=1e-12)
+    assert together == [score(pd.Series([t]))[0] for t in texts] and together[::-1] == score(pd.Series(texts[::-1])).tolist()
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    one = {tuple(r) for r in subword.score_quality(docs, docs, labels).select("doc_id", "quality_score").collect()}
+    other = {tuple(r) for r in subword.score_quality(docs.repartition(7, "text"), docs, labels).select("doc_id", "quality_score").collect()}
+    assert one == other
 
 
 # 8: fingerprints
