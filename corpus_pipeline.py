@@ -25,9 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language can't be told: texts that are null or have no letter, and those whose best language scores below 0.3.
+    """Rejects documents whose language can't be told: texts that are null or have no letter, and those of which no language has more than half of the network's softmax.
 
-    The network learns from the languages of rows that are not held out. Where no row has a language, nothing can be told of any, and every document stays.
+    The network learns from the languages of rows that are not held out. A document without a language gets the one that was told. Where nothing can be learned, as no row has a language and a text with a letter, every document stays.
     """
     return bytecnn.keep_identified(docs, docs.where(~held_out(F.col("doc_id"))))
 
