@@ -5,7 +5,7 @@ of their clusters; a document goes to the tightest bin that has room and no conf
 one is compatible. Documents come in descending order of length.
 
 The rows are dealt into groups of about GROUP by a hash, and each group is packed by itself as its rows stream by, so that neither a hot source nor a large cluster meets in one
-task and memory is bounded: after BLOCK documents the open bins are closed.
+task and memory is bounded. Equal rows are counted first and get numbers, which the hash takes in, so that copies of one row are dealt to all groups too.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-CAPACITY, GROUP, BLOCK = 2048, 4096, 16_384
+CAPACITY, GROUP = 2048, 4096
 #: Bin numbers: the group times this, plus the bin's number within the group.
 BINS = 1 << 24
 
@@ -58,18 +58,15 @@ class Bins:
         return b, capacity - residual
 
 
-def _pack(capacity: int, block: int):
+def _pack(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, bins, seen = None, None, 0
+        group, bins = None, None
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             out = []
             for i, (doc_id, length, source, cluster, mine) in enumerate(zip(*cols, strict=True)):
                 if mine != group:
-                    group, bins, seen = mine, Bins(mine * BINS), 0
-                elif seen == block:
-                    bins, seen = Bins(bins.next), 0
-                seen += 1
+                    group, bins = mine, Bins(mine * BINS)
                 whole, rest = divmod(length, capacity)
                 for piece in range(whole):
                     out.append((doc_id, piece, bins.next, 0, capacity))
@@ -89,7 +86,7 @@ def _pack(capacity: int, block: int):
     return run
 
 
-def pack(docs: DataFrame, length: Column, *, id_col: str = "doc_id", source: Column | None = None, cluster: Column | None = None, capacity: int = CAPACITY, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, length: Column, *, id_col: str = "doc_id", source: Column | None = None, cluster: Column | None = None, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Returns id_col, piece, bin, start and n_tokens: where in which sequence each document, or each piece of a document longer than capacity, lies.
 
     length (null: 0) is in tokens. The full pieces of a long document fill bins of their own, the rest of it is packed as a document is. A document of length 0 takes no room but has a
@@ -102,14 +99,15 @@ def pack(docs: DataFrame, length: Column, *, id_col: str = "doc_id", source: Col
         (source if source is not None else none).cast("string").alias("source"), (cluster if cluster is not None else none).cast("string").alias("cluster"),
     )
     groups = max(1, -(-docs.count() // group))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("id", "length", "source", "cluster"), F.lit(groups)))
+    counted = rows.groupBy("id", "length", "source", "cluster").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    dealt = counted.select("id", "length", "source", "cluster", F.pmod(F.xxhash64("id", "length", "source", "cluster", "copy"), F.lit(groups)).alias("group"))
     ordered = dealt.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", F.desc("length"), "id", "cluster", "source")
     kind = docs.schema[id_col].dataType.simpleString()
-    return ordered.mapInArrow(_pack(capacity, block), f"id {kind}, piece int, bin bigint, start int, n_tokens int").withColumnRenamed("id", id_col)
+    return ordered.mapInArrow(_pack(capacity), f"id {kind}, piece int, bin bigint, start int, n_tokens int").withColumnRenamed("id", id_col)
 
 
 def bins(packed: DataFrame) -> DataFrame:
-    """The sequences: bin, n_docs and used tokens."""
+    """The sequences: bin, n_docs and used tokens; none for an empty table."""
     return packed.groupBy("bin").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("used"))
 
 
@@ -120,4 +118,5 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, piece, bin, start and n_tokens of every document in sequences of 2,048 words and end marks."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
