@@ -149,13 +149,34 @@ def test_shards_of_awkward_rows(spark, awkward, empty):
     assert rows(hilbert.hilbert_shards(empty, dims)) == []
 
 
+def test_string_dimensions_are_cut_at_their_quantiles(spark, empty):
+    values = [f"https://example.org/a-long-common-start/{i % 37:03d}" for i in range(1000)] + [None, "", "é"]
+    df = spark.createDataFrame([(v,) for v in values], "s string").repartition(5)
+    ordered = sorted((v or "" for v in values), key=lambda v: v.encode())
+    want = [ordered[-(-k * len(ordered) // 16) - 1] for k in range(1, 16)]
+    assert hilbert.string_cuts(df, {"s": F.coalesce("s", F.lit(""))}, 4) == {"s": want}
+    assert hilbert.string_cuts(empty, {"s": F.col("text")}, 4) == {"s": []} and hilbert.string_cuts(empty, {}, 4) == {}
+    got = hilbert.hilbert_shards(df.withColumn("id", F.lit(None).cast("long")), {"s": F.col("s")}, id_col="id", keep={"v": F.col("s")}, n_shards=4).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(k, i) for k in range(4) for i in range(251 if k < 3 else 250)]
+    assert len({r.curve for r in got}) > 8
+
+
 def test_shard_files_are_pruned(spark, sf):
     df, path = spark.read.parquet(f"{sf}/documents.parquet"), f"{shared_dir(spark)}/shards-test"
-    shards = hilbert.hilbert_shards(df, {"source": F.col("source"), "n_chars": F.col("n_chars")}, n_shards=8)
-    assert sum(r.n_rows for r in hilbert.write_shards(df, shards, path, ["source", "n_chars"]).collect()) == df.count()
+    assert sum(r.n_rows for r in hilbert.write_shards(df, path, ["source", "n_chars"], n_shards=8).collect()) == df.count()
     assert hilbert.read_shards(spark, path, "n_chars", 100, 400).count() == df.where("n_chars BETWEEN 100 AND 400").count()
 
 
+def test_shard_files_of_awkward_rows(spark, awkward, empty):
+    path = f"{shared_dir(spark)}/shards-awkward"
+    manifest = hilbert.write_shards(awkward, path, ["lang", "n_chars"], n_shards=4)
+    assert manifest.columns[0] == "shard_" and sorted(r.n_rows for r in manifest.collect()) == [3, 3, 3, 3]
+    back = spark.read.parquet(f"{path}/data")
+    assert sorted(map(repr, rows(back.select("doc_id", "text", "lang", "source", "n_chars", "shard", "digest")))) == sorted(map(repr, ROWS))
+    assert hilbert.read_shards(spark, path, "lang", "en", "en").count() == awkward.where("lang = 'en'").count()
+    assert rows(hilbert.write_shards(empty, f"{path}-empty", ["lang"])) == []
+
+
 # 3: token files
 
 def test_token_files(spark, sf, docs):
@@ -472,8 +493,10 @@ def test_packing_keeps_everything_apart(spark, sf, docs):
 def test_packing_of_awkward_rows(awkward, empty):
     got = bestfit.pack_documents(awkward).collect()
     assert sum(r.n_tokens for r in got) == sum(len((r[1] or "").split()) + 1 for r in ROWS)
-    small = bestfit.pack(awkward, F.lit(3), group=4, block=2).collect()
+    small = bestfit.pack(awkward, F.lit(3), group=4).collect()
     assert len(small) == len(ROWS)
+    alike = awkward.limit(1).select("doc_id").crossJoin(awkward.sparkSession.range(500))
+    assert bestfit.pack(alike, F.lit(100), group=50).groupBy((F.col("bin") / bestfit.BINS).cast("int")).count().count() == 10
     assert rows(bestfit.pack_documents(empty)) == []
 
 
@@ -601,6 +624,17 @@ def test_fingerprints_of_awkward_rows(awkward, empty):
     assert rows(oph.with_next(empty.select("doc_id", "text"), "doc_id", ["text"])) == []
 
 
+@pytest.mark.parametrize("at_once", [4096, 7])
+def test_every_row_gets_the_next(spark, at_once):
+    values = [(i * 3 if i % 11 else 30, f"t{i}") for i in range(700)] + [(None, "n1"), (None, "n2")]
+    got = oph.with_next(spark.createDataFrame(values, "k bigint, v string").repartition(6), "k", ["v"], range_bytes=40, at_once=at_once).collect()
+    assert len(got) == len(values) and sorted(r.next_v for r in got) == sorted(v for _, v in values)
+    key = lambda k: -1 if k is None else k
+    of = {v: key(k) for k, v in values}
+    order = sorted(of.values())
+    assert sorted((key(r.k), of[r.next_v]) for r in got) == sorted(zip(order, [*order[1:], order[0]], strict=True))
+
+
 # 9: URL filters
 
 URLS = ["http://A.NET/x", "https://www.example.net/en/1?x#y", "http://example.net/en", "http://example.com/de/", "http://b.example.com/DE/", "http://x.org/fr/a", "http://org/fr/", "http://notorg/fr/", "http://example.net?en/", "http://example.net", "nothing", "", None, "a://b://c", "http://éx.net/", "http://x..net/a"]
