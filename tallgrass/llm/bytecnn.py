@@ -192,7 +192,8 @@ def keep_identified(docs: DataFrame, learn_from: DataFrame, *, least: float = 0.
     if not langs:
         return docs
     column = fresh(docs, "_language")
-    told = docs.withColumn(column, predict_udf(langs, params)(F.col(text_col))).where(F.col(column)["lang"].isin([x for x in langs if languages is None or x in languages]) & (F.col(column)["score"] >= least))
+    once = predict_udf(langs, params).asNondeterministic()  # else the filter and the column would each predict
+    told = docs.withColumn(column, once(F.col(text_col))).where(F.col(column)["lang"].isin([x for x in langs if languages is None or x in languages]) & (F.col(column)["score"] >= least))
     return told.withColumn(lang_col, F.coalesce(lang_col, F.col(column)["lang"].cast(docs.schema[lang_col].dataType))).drop(column)
 
 

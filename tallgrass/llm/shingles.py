@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, shared_dir
 from .components import connected
-from .simhash import _LOWER, BUDGET, hamming_links
+from .simhash import _LOWER, BROADCAST_ROWS, BUDGET, hamming_links
 
 WIDTH = 5
 #: The threshold as a fraction, so that comparisons are exact.
@@ -106,12 +106,15 @@ def _buckets(nodes: DataFrame, budget: int) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (shingle, node, size, label): of each node the rarest shingles, so many that two nodes that share none of them can't reach the threshold."""
-    each = nodes.join(sets.withColumnRenamed("node_", "node"), "node").select("node", "size", "label", F.explode(longs_udf(F.col("s"))).alias("shingle")).checkpoint()
+    """Rows (shingle, node, size, label): of each node the rarest shingles, so many that two nodes that share none of them can't reach the threshold.
+
+    Shingles of one node alone come first in that order and are shared with none, so only their number counts.
+    """
+    each = nodes.join(sets.withColumnRenamed("node_", "node"), "node").select("node", F.explode(longs_udf(F.col("s"))).alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = each.join(common, "shingle", "left").groupBy("node", "size", "label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("s"))
-    first = F.slice("s", F.lit(1), F.col("size") - F.ceil(F.col("size") * LIKE[0] / LIKE[1]).cast("int") + 1)
-    return ranked.select("node", "size", "label", F.inline(first)).where("n > 1").select("shingle", "node", "size", "label").checkpoint()
+    shared = each.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    first = F.col("size") - F.ceil(F.col("size") * LIKE[0] / LIKE[1]).cast("int") + 1 - (F.col("size") - F.size("s"))
+    return shared.join(nodes, "node").where(first > 0).select("node", "size", "label", F.inline(F.slice("s", F.lit(1), first))).select("shingle", "node", "size", "label").checkpoint()
 
 
 def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
@@ -120,11 +123,12 @@ def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = B
     text = F.col(text_col)
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), sketch_udf(text).alias("s")).select("id", "digest", "s.*").checkpoint()
     rows = found.select("id", "digest", "node")
-    members = _buckets(found.where("size > 0").select("node", "size", "fp", "bands").dropDuplicates(["node"]), budget)
+    members = _buckets(found.where("size > 0").select("node", "size", "fp", "bands").dropDuplicates(["node"]).checkpoint(), budget)
     if members.isEmpty():
         return rows, rows.select("node", F.col("node").alias("root")).limit(0)
     one = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("best"))
-    one = one.select(F.col("node").alias("node_"), F.col("best.id").alias("id_"), F.col("best.digest").alias("digest_"))
+    one = one.select(F.col("node").alias("node_"), F.col("best.id").alias("id_"), F.col("best.digest").alias("digest_")).checkpoint()
+    one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one  # then only the texts that are asked for leave their tasks
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     sets = texts.join(one, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("digest_"))).dropDuplicates(["node_"]).select("node_", set_udf(F.col("text")).alias("s")).checkpoint()
     sizes = F.least("size", "size_b") * LIKE[1] >= F.greatest("size", "size_b") * LIKE[0]

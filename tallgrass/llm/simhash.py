@@ -32,7 +32,7 @@ TABLES = 16
 CHUNK = 8192
 #: Up to so many fingerprints one block stands first, beyond it two do; both find the same links. Dealt rows for each task on average.
 ONE_BLOCK, TASK_ROWS = 1 << 28, 500_000
-#: Crowded block values are sent to all executors up to so many, and joined by shuffle beyond.
+#: Tables of block values or ids are sent to all executors up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Node pairs that are handled at once, and the product of node sizes below which leaves are compared directly.
 FRONTIER, DIRECT = 1 << 18, 64
