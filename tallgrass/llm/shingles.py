@@ -3,27 +3,32 @@
 Texts with equal shingle sets are one node. Nodes are proposed to each other if they share a bucket: one of BANDS hashes of ROWS min-hashes each, or a group of SimHash fingerprints of the shingle
 sets that a trie has linked within the Hamming budget (see simhash.py). A pair with similarity s misses all bands with probability (1 - s^ROWS)^BANDS, whatever the edit: 7 in 100,000 at 0.8.
 
-A bucket is never taken on trust. Its members are compared with one of them first, and what is linked by then needs no further test. Nodes of buckets that hold several components after that are joined on
-the rarest of their shingles: two sets that reach the threshold share one of the first size - ceil(0.8 size) + 1 in any common order, so no pair is lost. The components are those of all proposed pairs that
-reach the threshold.
+A bucket is never taken on trust. Its members are compared with one of them first, and what is linked by then needs no further test. Of buckets that hold several components after that (one of those with the
+same members) the sets meet in a task, which counts the shingles that members of different components share, all at once as a product of matrices, and gives a spanning forest of the links. A crowded bucket is
+cut into chunks, and every two chunks are compared in a task of their own. The components are those of all proposed pairs that reach the threshold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, shared_dir
 from .components import connected
-from .simhash import _LOWER, BROADCAST_ROWS, BUDGET, hamming_links
+from .simhash import _LOWER, BROADCAST_ROWS, BUDGET, Forest, hamming_links
 
 WIDTH = 5
 #: The threshold as a fraction, so that comparisons are exact.
 LIKE = 4, 5
 BANDS, ROWS = 24, 5
+#: Most nodes of a bucket in a task, from each of the two chunks that meet there; shingles that are counted at once.
+CHUNK, COLUMNS = 256, 4096
 _RNG = np.random.default_rng(42)
 _XOR, _TIMES = (_RNG.integers(0, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -78,13 +83,6 @@ def set_udf(text: Column) -> Column:
     return F.pandas_udf(run, "binary")(text)
 
 
-def longs_udf(s: Column) -> Column:
-    def run(xs: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, np.int64) for x in xs], dtype=object)
-
-    return F.pandas_udf(run, "array<bigint>")(s)
-
-
 def alike_udf(a: str, b: str) -> Column:
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(xs, ys, strict=True)], dtype=bool)
@@ -105,19 +103,62 @@ def _buckets(nodes: DataFrame, budget: int) -> DataFrame:
     return members.join(wide, "bucket").distinct().checkpoint()
 
 
-def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (shingle, node, size, label): of each node the rarest shingles, so many that two nodes that share none of them can't reach the threshold.
-
-    Shingles of one node alone come first in that order and are shared with none, so only their number counts.
-    """
-    each = nodes.join(sets.withColumnRenamed("node_", "node"), "node").select("node", F.explode(longs_udf(F.col("s"))).alias("shingle"))
-    common = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    shared = each.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-    first = F.col("size") - F.ceil(F.col("size") * LIKE[0] / LIKE[1]).cast("int") + 1 - (F.col("size") - F.size("s"))
-    return shared.join(nodes, "node").where(first > 0).select("node", "size", "label", F.inline(F.slice("s", F.lit(1), first))).select("shingle", "node", "size", "label").checkpoint()
-
-
-def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+def set_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between sets with different labels that reach the threshold: nodes, and for each the one that it is linked to."""
+    size = np.array([len(s) for s in sets])
+    value, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, mine = np.repeat(np.arange(len(sets)), size), (count > 1)[of]
+    owner, of = owner[mine], (np.cumsum(count > 1) - 1)[of[mine]]
+    order = np.argsort(of, kind="stable")
+    owner, of = owner[order], of[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    at = 0
+    while at < len(of):  # some thousand shingles at a time
+        end = int(np.searchsorted(of, of[at] + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[at:end], of[at:end] - of[at]] = 1
+        both += held @ held.T
+        at = end
+    linked = (both * LIKE[1] >= LIKE[0] * (size[:, None] + size[None, :] - both)) & (label[:, None] != label[None, :])
+    forest = Forest(len(sets))
+    forest.merge(*np.nonzero(np.triu(linked, 1)))
+    root = forest.root(np.arange(len(sets)))
+    joined = np.flatnonzero(root != np.arange(len(sets)))
+    return node[joined], node[root[joined]]
+
+
+def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from rows (bucket, task, node, label, s) that come group by group."""
+    group, held = None, []
+
+    def links() -> pa.RecordBatch:
+        node, label, sets = zip(*held, strict=True)
+        a, b = set_links(np.array(node), np.array(label), [np.frombuffer(s, np.uint64) for s in sets])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for bucket, task, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, task) != group and held:
+                yield links()
+                held = []
+            group = bucket, task
+            held.append(row)
+    if held:
+        yield links()
+
+
+def _within(named: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
+    """Links (a, b) between the nodes of each bucket that has several labels; named has rows (bucket, node, label)."""
+    mark = F.xxhash64("node")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y"))
+    mixed = mixed.where("least <> most").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != own) | (F.col("chunks") == 1)), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
+    dealt = named.join(mixed, "bucket").select("bucket", F.explode(pairs).alias("task"), "node", "label").join(sets.toDF("node", "s"), "node").select("bucket", "task", "node", "label", "s")
+    return dealt.repartition("bucket", "task").sortWithinPartitions("bucket", "task").mapInArrow(_link_buckets, "a bigint, b bigint")
+
+
+def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = BUDGET, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Rows (id, digest, node), one for each row of docs, and roots (node, root), one for each node that is linked to another."""
     shared_dir(docs.sparkSession)
     text = F.col(text_col)
@@ -142,13 +183,10 @@ def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = B
     hubs = members.groupBy("bucket").agg(hub).select("bucket", F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b"))
     roots = connected(tested(members.join(hubs, "bucket").where("node <> b").withColumnRenamed("node", "a")))
     label = lambda df, c: df.join(roots.toDF(c, "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-    named = label(members.withColumn("label", F.col("node")), "label")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    unclear = named.join(mixed, "bucket").select("node", "size", "label").distinct().checkpoint()
-    if unclear.isEmpty():
+    named = label(members.select("bucket", "node", F.col("node").alias("label")), "label")
+    new = _within(named, sets, chunk).checkpoint()
+    if new.isEmpty():
         return rows, roots
-    rare = _prefixes(unclear, sets)
-    new = tested(rare.withColumnRenamed("node", "a").join(rare.toDF("shingle", "b", "size_b", "label_b"), "shingle").where("label < label_b"))
     more = connected(label(label(new, "a"), "b")).toDF("node", "over")
     further = roots.join(more.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
     return rows, further.union(more.join(roots, "node", "left_anti").select("node", "over"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallgrass.llm import avimedia, bestfit, bpe, bytecnn, components, hilbert, oph, queries, simhash, subword, urls, zframes
+from tallgrass.llm import avimedia, bestfit, bpe, bytecnn, components, hilbert, oph, queries, shingles, simhash, subword, urls, zframes
 from tallgrass.llm.common import shared_dir
 
 #: Nulls in any column, empty, blank and very long texts, repeated rows, ties, and columns whose names clash with what operators use inside.
@@ -760,7 +760,24 @@ def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert rows(simhash.near_components(empty)) == [] and rows(simhash.one_of_each(empty)) == []
 
 
-def test_near_duplicates_are_those_of_exact_jaccard(spark):
+def test_links_of_a_bucket_equal_brute_force():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 1 << 62, 30).astype(np.uint64)])) for n in rng.integers(220, 300, 40)] + [np.zeros(0, np.uint64)]
+    label, node = np.arange(41) // 2, np.arange(41) * 7 + 1
+    up = list(range(41))
+    for i in range(41):
+        for j in range(i):
+            if label[i] != label[j] and len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j])):
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    a, b = shingles.set_links(node, label, sets)
+    assert 5 < len(a) < 40 and sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(node[i], node[u]) for i, u in enumerate(up) if u != i]
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_near_duplicates_are_those_of_exact_jaccard(spark, monkeypatch, chunk):
+    whole = shingles.near_classes
+    monkeypatch.setattr(shingles, "near_classes", lambda docs, **names: whole(docs, chunk=chunk, **names))
     rng = np.random.default_rng(11)
     words = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
     texts, common = [], [f"c{i}" for i in range(60)]
