@@ -31,8 +31,8 @@ CHECKSUMS = 0x80
 #: A file is closed once it has so many bytes or documents.
 FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 MANIFEST = "part int, number int, path string, docs bigint, ids bigint, bytes bigint"
-#: Most chunks that a worker keeps, and their most characters and bytes of ids.
-KEPT, KEPT_BYTES = 300_000, 32 << 20
+#: Most chunks that a worker keeps, and their most characters.
+KEPT, KEPT_CHARS = 300_000, 8 << 20
 #: Marks before white space or the end and after a letter or digit that no normal form takes apart.
 _TRAILING = re.compile(r"[.,;:!?*$%&#](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ].)[.,;:!?*$%&#]*(?=\s|$)")
 
@@ -158,28 +158,32 @@ class WordEncoder:
                 self.kept[run] = data[at:stop]
                 at = stop
 
-    def _learn(self, chunks: set[str]) -> None:
-        runs = {c: c.lower() for c in chunks if c.isalpha() and max(c) < "\u0100"}
+    def _learn(self, chunks: set[str], lowered: bool) -> None:
+        """lowered: all chunks are lower-case Latin-1."""
+        runs = {c: c if lowered else c.lower() for c in chunks if c.isalpha() and (lowered or max(c) < "\u0100")}
         whole = list(chunks.difference(runs))
-        self._learn_runs(list(set(runs.values()).difference(self.kept)))
-        self.kept.update(zip(whole, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
-        self.kept.update((c, self.kept[low]) for c, low in runs.items() if c != low)
-        self.size += sum(map(len, chunks)) + sum(map(len, map(self.kept.__getitem__, chunks)))
+        self._learn_runs(list(runs if lowered else set(runs.values()).difference(self.kept)))
+        if whole:
+            self.kept.update(zip(whole, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
+        if not lowered:
+            self.kept.update((c, self.kept[low]) for c, low in runs.items() if c != low)
+        self.size += sum(map(len, chunks))
 
     def encode(self, text: str) -> bytes:
-        if "<|" not in text:
+        lowered = "<|" not in text
+        if lowered:
             try:
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
-                pass
+                lowered = False
         chunks = _TRAILING.sub(r" \g<0>", text).replace("\n", " ").split(" ")
         new = set(chunks).difference(self.kept)
         if new:
-            if len(self.kept) + len(new) > KEPT or self.size > KEPT_BYTES:  # one text's chunks at most beyond the bound
+            if len(self.kept) + len(new) > KEPT or self.size > KEPT_CHARS:  # one text's chunks at most beyond the bound
                 self.kept, self.size = {"": b""}, 0
                 new = set(chunks) - {""}
-            self._learn(new)
+            self._learn(new, lowered)
         return b"".join(map(self.kept.__getitem__, chunks)) + self.end
 
 
