@@ -11,8 +11,8 @@ from .text import bound, words
 
 #: Units of an age and how many of them make a year, in the order in which they are looked for: fixed values.
 AGE_UNITS = ((r"(\d+)[- ]?(?:years?|y/?o)\b", 1.0), (r"(\d+)[- ]?months?[- ]old", 12.0), (r"(\d+)[- ]?weeks?[- ]old", 52.0), (r"(\d+)[- ]?days?[- ]old", 365.0))
-#: Endings of plurals and what stands in their place, in order: fixed values.
-PLURALS = (("ies$", "i"), ("(sh|ch|x|s)es$", "$1"), ("ses$", "s"), ("([^s])s$", "$1"))
+#: Endings of plurals of words with more than four characters, and what stands in their place: fixed values.
+PLURALS = (("ies", "y"), ("ses", "sis"), ("es", ""), ("s", ""))
 #: Short forms and their words: fixed values.
 ABBREVIATIONS = {"htn": "hypertension", "dm": "diabetes mellitus", "t2dm": "type 2 diabetes mellitus", "ckd": "chronic kidney disease", "mi": "myocardial infarction", "chf": "congestive heart failure", "copd": "chronic obstructive pulmonary disease", "sbo": "small bowel obstruction", "appy": "appendectomy"}
 #: Slashed forms and their words: fixed values.
@@ -62,9 +62,10 @@ def name_variants(c: Column, least: int = 3) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A word without its plural ending: the first ending that fits is replaced."""
-    fits = [F.when(word.rlike(p), F.regexp_replace(word, p, r)) for p, r in PLURALS]
-    return F.when(F.length(word) <= 3, word).otherwise(F.coalesce(*fits, word))
+    """The shortest singular form of a word, the alphabetically first of several: every ending that fits is tried."""
+    forms = [F.when((F.length(word) > 4) & word.endswith(e), F.concat(F.substr(word, F.lit(1), F.length(word) - len(e)), F.lit(r))) for e, r in PLURALS]
+    named = F.transform(F.filter(F.array(word, *forms), lambda f: f.isNotNull()), lambda f: F.struct(F.length(f).alias("n"), f.alias("form")))
+    return F.array_min(named)["form"]
 
 
 def expanded_tokens(c: Column) -> Column:

@@ -35,3 +35,32 @@ def ranking_metrics(ranked: DataFrame, item: str, *, k: int = 10, relevant: int
         share(F.col("hits"), F.col("rel")).alias(f"recall{k}"), share(F.col("hits"), F.least("n", F.lit(k))).alias(f"precision{k}"),
         F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"),
     )
+
+
+def conditioned(items: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of recall, leakage and abstention over items (item, involved, abstained), gold findings (item, tier, critical, finding) and found ones (item, finding).
+
+    An item is involved if it says so or has primary or relevant findings. Each recall is the mean over involved items that have findings of its kind (0 without such items); leakage is the share of
+    excluded findings that are found, strict leakage that of excluded and neutral ones; conditioned_f1 is the harmonic mean of the recall of critical primary and relevant findings and 1 - leakage.
+    Absent items should abstain. Repeated findings count once.
+    """
+    hits = gold.select("item", "tier", "critical", "finding").distinct().join(found.select("item", "finding").distinct().withColumn("hit", F.lit(1)), ["item", "finding"], "left").na.fill(0, ["hit"])
+    good, critical = F.col("tier").isin("primary", "relevant"), F.coalesce("critical", F.lit(False))
+    kinds = {
+        "primary_critical": (F.col("tier") == "primary") & critical, "primary": F.col("tier") == "primary", "relevant_critical": (F.col("tier") == "relevant") & critical, "relevant": F.col("tier") == "relevant",
+        "all_critical": good & critical, "all": good, "leaked": F.col("tier") == "excluded", "strict": F.col("tier").isin("excluded", "neutral"),
+    }
+    shares = hits.groupBy("item").agg(*[(F.sum(F.when(c, F.col("hit"))) / F.nullif(F.count_if(c), F.lit(0))).alias(k) for k, c in kinds.items()], F.count_if(good).alias("n_good"))
+    each = items.join(shares, "item", "left").withColumn("involved", F.coalesce("involved", F.lit(False)) | (F.coalesce("n_good", F.lit(0)) > 0))
+    mean = lambda k, c: F.coalesce(F.avg(F.when(c, F.col(k))), F.lit(0.0))
+    yes, no = F.col("involved"), ~F.col("involved")
+    one = each.agg(
+        F.count_if(yes).alias("n_involved"), F.count_if(no).alias("n_absent"), *[mean(k, yes).alias(k) for k in kinds],
+        F.avg(F.when(no, F.col("abstained").cast("int"))).alias("abstention_accuracy"), mean("leaked", no).alias("absent_leakage_rate"),
+    )
+    both = lambda r: F.coalesce(2 * r * (1 - F.col("leaked")) / F.nullif(r + 1 - F.col("leaked"), F.lit(0.0)), F.lit(0.0))
+    return one.select(
+        "n_involved", "n_absent", F.col("primary_critical").alias("primary_recall_critical"), F.col("primary").alias("primary_recall_complete"), F.col("relevant_critical").alias("relevant_recall_critical"),
+        F.col("relevant").alias("relevant_recall_complete"), F.col("leaked").alias("leakage_rate"), F.col("strict").alias("leakage_rate_strict"), both(F.col("all_critical")).alias("conditioned_f1"),
+        both(F.col("all")).alias("conditioned_f1_complete"), (1 - F.col("primary")).alias("omission_rate"), "abstention_accuracy", "absent_leakage_rate",
+    )

@@ -45,3 +45,11 @@ def prefix_matches(codes: DataFrame, code: str, rules: DataFrame, prefix: str) -
     """Codes with every rule whose prefix they begin with: each code is exploded into its prefixes, and these are joined by equality."""
     exploded = codes.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(code), F.lit(1))), lambda n: F.substring(F.col(code), F.lit(1), n))))
     return exploded.join(rules, F.col("_p") == F.col(prefix)).drop("_p")
+
+
+def near_pairs(df: DataFrame, keys: list[str], item: str, value: str, width: float) -> DataFrame:
+    """Rows (a, b), a < b: items with equal keys whose values differ by width at most. Null values are near none."""
+    band = F.floor(F.col(value) / width)
+    left = df.select(*keys, F.col(item).alias("a"), F.col(value).alias("_va"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
+    right = df.select(*keys, F.col(item).alias("b"), F.col(value).alias("_vb"), band.alias("_band"))
+    return left.join(right, [*keys, "_band"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("_va") - F.col("_vb")) <= width)).select("a", "b")

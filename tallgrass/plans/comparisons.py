@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from tallgrass.functions import similarity, text
-from tallgrass.operators import dedup, stats
+from tallgrass.operators import dedup, graph, stats
 
 from .registry import query
 
@@ -32,31 +30,42 @@ def rouge(t):
     return both.select("conv_id", "turn", F.round(similarity.column(similarity.rouge_l, "double")("asked", "w"), 6).alias("rouge_l"))
 
 
-@query("negation")
+WORDS = ("the", "und", "de", "que")
+
+
+@query("negation", r"""
+WITH p AS (SELECT doc_id, phrase, string_split(lower(text), phrase) AS parts FROM documents, (VALUES ('the'), ('und'), ('de'), ('que')) w(phrase) WHERE contains(text, phrase))
+SELECT doc_id, phrase, len(list_filter(parts[:len(parts) - 1], lambda x: NOT regexp_matches(right(x, 50), '(^|[^0-9A-Za-z_])(CUES)\b[^.;:,]{0,30}$'))) = 0 AS denied FROM p""".replace("CUES", "|".join(text.DENYING)))
 def negation(t):
-    """Documents that hold a part's word, and whether every occurrence is denied."""
-    word = F.explode(F.array(*[F.lit(w) for w in ("the", "und", "de", "que")]))
-    return t.documents.select("doc_id", "text", word.alias("phrase")).where(F.contains("text", "phrase")).select("doc_id", "phrase", similarity.column(similarity.denied, "boolean")("phrase", "text").alias("denied"))
+    """Documents that hold a word of a list, and whether every occurrence is denied."""
+    word = F.explode(F.array(*[F.lit(w) for w in WORDS]))
+    return t.documents.select("doc_id", "text", word.alias("phrase")).where(F.contains("text", "phrase")).select("doc_id", "phrase", text.denied(F.col("phrase"), F.col("text")).alias("denied"))
 
 
 @query("greedy_matching", """
 WITH c AS (SELECT l_orderkey, p_brand, count(*) FILTER (l_discount >= 0.05) AS p, count(*) FILTER (l_discount < 0.05) AS g FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT l_orderkey, CAST(sum(least(p, g)) AS INT) AS n_pairs FROM c GROUP BY l_orderkey HAVING sum(p) > 0 AND sum(g) > 0""")
 def greedy_matching(t):
-    """Lines of an order with a discount against those without, matched by brand; the pairs are as many as the smaller side of each brand."""
-    code = F.concat(F.rpad(F.substring("p_brand", 7, 3), 3, "_"), F.col("p_partkey").cast("string"))
-    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("code", code)
-    sides = lines.groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_discount") < 0.05, F.col("code"))).alias("given"), F.collect_list(F.when(F.col("l_discount") >= 0.05, F.col("code"))).alias("predicted"))
-    both = sides.where("size(given) > 0 AND size(predicted) > 0")
-    return both.select("l_orderkey", similarity.column(lambda g, p: similarity.match_codes(list(g), list(p)), "int")("given", "predicted").alias("n_pairs"))
-
-
-@query("wilcoxon")
+    """Lines of an order with a discount against those without, matched by brand, every line once: the pairs are as many as the smaller side of each brand."""
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    sides = lines.groupBy("l_orderkey", "p_brand").agg(F.count_if(F.col("l_discount") >= 0.05).alias("p"), F.count_if(F.col("l_discount") < 0.05).alias("g"))
+    return sides.groupBy("l_orderkey").agg(F.sum(F.least("p", "g")).cast("int").alias("n_pairs"), F.sum("p").alias("_p"), F.sum("g").alias("_g")).where("_p > 0 AND _g > 0").select("l_orderkey", "n_pairs")
+
+
+@query("wilcoxon", """
+WITH m AS (SELECT o_custkey, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS a, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS b FROM orders GROUP BY 1),
+x AS (SELECT c_mktsegment, round(a - b, 2) AS d FROM customer JOIN m ON c_custkey = o_custkey WHERE a IS NOT NULL AND b IS NOT NULL),
+z AS (SELECT c_mktsegment, abs(d) AS m, count(*) AS n, sum((d > 0)::INT) AS up FROM x WHERE d <> 0 GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY c_mktsegment ORDER BY m) - n + (n + 1) / 2.0 AS rank FROM z),
+s AS (SELECT c_mktsegment, sum(n)::BIGINT AS n, sum(rank * up)::DOUBLE AS w_plus, sum(rank * (n - up))::DOUBLE AS w_minus, sum(n ** 3 - n)::DOUBLE AS ties FROM r GROUP BY 1),
+d AS (SELECT c_mktsegment, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM x GROUP BY 1)
+SELECT c_mktsegment, n, w_plus, w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48), 6) AS z, round(mean_diff, 1) AS mean_diff, round(mean_diff / sd, 6) AS cohen_d FROM s JOIN d USING (c_mktsegment)""")
 def wilcoxon(t):
     """Each customer segment's order prices of two statuses, paired by customer."""
     means = t.orders.groupBy("o_custkey").agg(F.round(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), 2).alias("a"), F.round(F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))), 2).alias("b"))
     pairs = t.customer.select("c_custkey", "c_mktsegment").join(means, F.col("c_custkey") == F.col("o_custkey"))
-    return stats.wilcoxon(pairs, "c_mktsegment", "a", "b")
+    found = stats.wilcoxon(pairs.withColumn("a", F.round(F.col("a") - F.col("b"), 2)).withColumn("b", F.when(F.col("b").isNotNull(), F.lit(0.0))), "c_mktsegment", "a", "b")
+    return found.withColumns({"z": F.round("z", 6), "mean_diff": F.round("mean_diff", 1), "cohen_d": F.round("cohen_d", 6)})
 
 
 @query("bootstrap_ci")
@@ -74,8 +83,9 @@ def quota_carry(t):
 
 @query("greedy_cluster")
 def greedy_cluster(t):
-    """Customers of one nation and segment that share parts, in clusters of five at most. Parts are cut by a hash into buckets of about 200 customers, so that a group is bounded at any scale."""
-    buckets = max(1, math.ceil(t.customer.count() / (25 * 5) / 200))
-    items = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.collect_set("l_partkey").alias("parts"))
-    people = t.customer.join(items, F.col("c_custkey") == F.col("o_custkey")).withColumn("bucket", F.pmod(F.xxhash64("c_custkey"), F.lit(buckets)))
-    return stats.greedy_groups(people.select("c_nationkey", "c_mktsegment", "bucket", "c_custkey", "parts"), ["c_nationkey", "c_mktsegment", "bucket"], "c_custkey", "parts")
+    """Customers of one nation and segment that share parts, in clusters of five at most."""
+    items = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
+    people = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").join(items, F.col("c_custkey") == F.col("o_custkey")).drop("o_custkey")
+    key = ["c_nationkey", "c_mktsegment", "l_partkey"]
+    pairs = people.select(*key, F.col("c_custkey").alias("a")).join(people.select(*key, F.col("c_custkey").alias("b")), key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
+    return graph.greedy_clusters(people, pairs, "c_custkey")

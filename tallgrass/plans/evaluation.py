@@ -114,13 +114,13 @@ LEFT JOIN (SELECT o_custkey AS k, count(DISTINCT l_partkey) AS n_parts FROM {ord
 sql("worklist", """
 SELECT o_orderkey, c_name, n_name, o_orderpriority, o_orderdate FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%'""")
 
-sql("token_f1", """
-SELECT doc_id, round(CASE WHEN np + ng > 0 THEN 2.0D * both_ / (np + ng) ELSE 0.0D END, 6) AS f1 FROM (
-  SELECT doc_id, cast(size(array_intersect(a, b)) AS DOUBLE) AS both_, size(a) AS np, size(b) AS ng FROM (
-    SELECT doc_id, array_distinct(split(lower(substring(text, 1, 400)), ' ')) AS a, array_distinct(split(lower(substring(text, 200, 400)), ' ')) AS b FROM {documents}) x) y""",
-    """SELECT doc_id, round(CASE WHEN np + ng > 0 THEN 2.0::DOUBLE * both_ / (np + ng) ELSE 0.0 END, 6) AS f1 FROM (
-  SELECT doc_id, len(list_intersect(a, b))::DOUBLE AS both_, len(a) AS np, len(b) AS ng FROM (
-    SELECT doc_id, list_distinct(string_split(lower(substring(text, 1, 400)), ' ')) AS a, list_distinct(string_split(lower(substring(text, 200, 400)), ' ')) AS b FROM documents) x) y""")
+sql("token_f1", r"""
+SELECT conv_id, turn, round(2.0D * size(array_intersect(a, b)) / greatest(size(a) + size(b), 1), 6) AS f1 FROM (
+  SELECT x.conv_id, x.turn, array_distinct(split(lower(x.text), '[^a-z0-9]+')) AS a, array_distinct(split(lower(y.text), '[^a-z0-9]+')) AS b
+  FROM {conversations} x JOIN {conversations} y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1 WHERE x.role = 'assistant' AND y.role = 'user') z""",
+    """SELECT conv_id, turn, round(2.0::DOUBLE * len(list_intersect(a, b)) / greatest(len(a) + len(b), 1), 6) AS f1 FROM (
+  SELECT x.conv_id, x.turn, list_distinct(regexp_split_to_array(lower(x.text), '[^a-z0-9]+')) AS a, list_distinct(regexp_split_to_array(lower(y.text), '[^a-z0-9]+')) AS b
+  FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1 WHERE x.role = 'assistant' AND y.role = 'user') z""")
 
 sql("rrf", """
 SELECT lang, doc_id, round(sum(1.0D / (60 + k)), 8) AS score FROM (

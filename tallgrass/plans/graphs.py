@@ -68,8 +68,12 @@ sql("mediated_edges", """
 SELECT DISTINCT s_nationkey AS source, c_nationkey AS target FROM {supplier} JOIN {lineitem} ON s_suppkey = l_suppkey JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
 WHERE s_nationkey <> c_nationkey""")
 
-sql("compat_pairs", """
-SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM {supplier} x JOIN {supplier} y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey AND abs(x.s_acctbal - y.s_acctbal) <= 1500""")
+@query("compat_pairs", """
+SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey AND abs(x.s_acctbal - y.s_acctbal) <= 1500""")
+def compat_pairs(t):
+    """Suppliers of one nation whose balances differ by 1,500 at most: balances are dealt into bands of that width, and a supplier meets those of its own band and of both beside it."""
+    return pairs.near_pairs(t.supplier, ["s_nationkey"], "s_suppkey", "s_acctbal", 1500)
+
 
 sql("tiering", """
 SELECT c_custkey, p_type, CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) = 2 THEN 'primary'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.operators import dedup, timeline
+from tallgrass.operators import dedup
 
 from .registry import query, sql
 
@@ -15,12 +15,20 @@ SELECT o_custkey, l_partkey, o_orderdate AS first_date, o_orderkey AS first_orde
          row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY o_orderdate, o_orderkey) AS k
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE k = 1""")
 def problem_list(t):
-    """Each customer's distinct parts with the first order, through orders that carry their parts as a JSON array."""
+    """Each customer's distinct parts with the first order that has them."""
+    lines = t.orders.select("o_orderkey", "o_custkey", "o_orderdate").join(t.lineitem.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    found = lines.groupBy("o_custkey", "l_partkey").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    return found.select("o_custkey", "l_partkey", F.col("first.o_orderdate").alias("first_date"), F.col("first.o_orderkey").alias("first_order"))
+
+
+@query("array_items", """
+SELECT l_partkey, count(DISTINCT o_custkey) AS customers, min(o_orderdate) AS first_date FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY l_partkey""")
+def array_items(t):
+    """Parts with their customers, through orders that carry their parts as a JSON array."""
     carried = t.lineitem.groupBy("l_orderkey").agg(F.to_json(F.collect_set("l_partkey")).alias("parts"))
     records = t.orders.join(carried, F.col("o_orderkey") == F.col("l_orderkey"))
-    items = records.select("o_custkey", "o_orderdate", "o_orderkey", F.explode(F.from_json("parts", "array<bigint>")).alias("l_partkey"))
-    found = timeline.first_occurrence(items, "o_custkey", "l_partkey", ["o_orderdate", "o_orderkey"])
-    return found.select("o_custkey", "l_partkey", F.col("o_orderdate").alias("first_date"), F.col("o_orderkey").alias("first_order"))
+    items = records.select("o_custkey", "o_orderdate", F.explode(F.from_json("parts", "array<bigint>")).alias("l_partkey"))
+    return items.groupBy("l_partkey").agg(F.count_distinct("o_custkey").alias("customers"), F.min("o_orderdate").alias("first_date"))
 
 
 sql("layer_views", """
@@ -89,7 +97,7 @@ SELECT p_partkey, p_type, CASE WHEN p_type IN ('STANDARD', 'SMALL', 'MEDIUM') TH
 FROM {part} WHERE p_size BETWEEN 5 AND 40 AND p_type NOT IN ('LARGE')""")
 
 sql("date_prefix", """
-SELECT o_orderkey, o_orderdate FROM {orders} WHERE date_format(o_orderdate, 'yyyy-MM-dd') >= '1996-02' AND date_format(o_orderdate, 'yyyy-MM-dd') <= '1997-06-30'""",
+SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderdate >= DATE '1996-02-01' AND o_orderdate < DATE '1997-07-01'""",
     "SELECT o_orderkey, o_orderdate FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1996-02' AND strftime(o_orderdate, '%Y-%m-%d') <= '1997-06-30'")
 
 sql("json_variant_filter", """

@@ -66,7 +66,7 @@ SELECT doc_id, CAST(len(s) AS INT) AS n_sentences, CAST(coalesce(list_max(list_t
 
 
 @query("abstention", r"""
-SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) <= 12 OR regexp_matches(lower(text), 'cannot answer|not enough information|unable to determine') AS abstains
+SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) <= 12 OR regexp_matches(lower(text), 'no active|not applicable|no relevant|none identified|no involvement|no significant|no specialty|no findings') AS abstains
 FROM conversations WHERE role = 'assistant'""")
 def abstention(t):
     return t.conversations.where("role = 'assistant'").select("conv_id", "turn", text.abstains(F.col("text")).alias("abstains"))
@@ -106,13 +106,12 @@ def trigram_search(t):
 WITH d AS (SELECT doc_id, text, {TOKENS.format(c='text')} AS k FROM documents), n AS (SELECT DISTINCT p_name, list_distinct({TOKENS.format(c='p_name')}) AS k FROM part WHERE p_size = 1)
 SELECT doc_id, count_if(contains(lower(text), lower(p_name)) OR (len(n.k) > 0 AND len(list_intersect(n.k, d.k)) >= 0.7 * len(n.k)))::BIGINT AS n_phrases FROM d, n GROUP BY doc_id""")
 def phrase_in_text(t):
-    """How many of a stated list of phrases each document holds; here the distinct names of the smallest parts, of which there must be 1,000 at most."""
-    phrases = [r[0] for r in t.part.where("p_size = 1").select("p_name").distinct().limit(1001).collect()]
-    if len(phrases) > 1000:
-        raise ValueError("the list of phrases is too long")
-    listed = F.array(*[F.lit(p) for p in sorted(phrases)]) if phrases else F.array().cast("array<string>")
-    rows = t.documents.select("doc_id", "text", F.array_distinct(text.tokens(F.col("text"))).alias("tokens")).select("*", F.explode(listed).alias("phrase"))
-    return rows.groupBy("doc_id").agg(F.count_if(text.phrase_in(F.col("phrase"), F.col("text"), F.col("tokens"))).alias("n_phrases"))
+    """How many of a stated list of phrases, here the distinct names of the smallest parts, each document holds. The list comes in blocks of about 500, which every document meets in turn."""
+    phrases = t.part.where("p_size = 1").select("p_name").distinct()
+    blocks = phrases.groupBy(F.pmod(F.xxhash64("p_name"), F.lit(phrases.count() // 500 + 1)).alias("block")).agg(F.collect_list("p_name").alias("phrases"))
+    docs = t.documents.select("doc_id", "text", F.array_distinct(text.tokens(F.col("text"))).alias("tokens"))
+    hits = F.filter("phrases", lambda p: text.phrase_in(p, F.col("text"), F.col("tokens")))
+    return docs.crossJoin(blocks).groupBy("doc_id").agg(F.sum(F.size(hits)).alias("n_phrases"))
 
 
 @query("glob_filter", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%' OR p_name LIKE '%r_ng'")
@@ -126,10 +125,12 @@ def code_forms(t):
     return t.orders.select("o_orderkey", clinical.dotted(code).alias("code"), clinical.category(code).alias("category"))
 
 
+#: The shortest singular form of a word in DuckDB's words.
+STEM = "list_sort(list_transform(list_filter([w, CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' END, CASE WHEN length(w) > 4 AND ends_with(w, 'ses') THEN left(w, length(w) - 3) || 'sis' END, CASE WHEN length(w) > 4 AND ends_with(w, 'es') THEN left(w, length(w) - 2) END, CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN left(w, length(w) - 1) END], lambda f: f IS NOT NULL), lambda f: {'n': length(f), 'f': f}))[1].f"
+
+
 @query("plural_stems", f"""
-WITH x AS (SELECT unnest({TOKENS.format(c='text')}) AS w FROM documents)
-SELECT CASE WHEN length(w) <= 3 THEN w WHEN regexp_matches(w, 'ies$') THEN regexp_replace(w, 'ies$', 'i') WHEN regexp_matches(w, '(sh|ch|x|s)es$') THEN regexp_replace(w, '(sh|ch|x|s)es$', '\\1')
-       WHEN regexp_matches(w, 'ses$') THEN regexp_replace(w, 'ses$', 's') WHEN regexp_matches(w, '([^s])s$') THEN regexp_replace(w, '([^s])s$', '\\1') ELSE w END AS stem, count(*) AS n FROM x GROUP BY 1""")
+WITH x AS (SELECT unnest({TOKENS.format(c='text')}) AS w FROM documents), y AS (SELECT w, count(*) AS n FROM x GROUP BY 1) SELECT {STEM} AS stem, sum(n)::BIGINT AS n FROM y GROUP BY 1""")
 def plural_stems(t):
     token = t.documents.select(F.explode(text.tokens(F.col("text"))).alias("w"))
     return token.groupBy("w").agg(F.count("*").alias("n")).groupBy(clinical.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +20,12 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self[name]
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: spark.checkpoint.dir, or one of our own where that is unset (tests on one machine)."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
