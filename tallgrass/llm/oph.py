@@ -96,16 +96,16 @@ def _place(cuts: Column, n: int, key: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, half: F.when(F.get(cuts, at + half - 1) <= key, at + half).otherwise(at))
 
 
-def with_next(df: DataFrame, order: str, values: list[str], *, range_bytes: int = RANGE_BYTES, at_once: int = CUT_AT_ONCE) -> DataFrame:
+def with_next(df: DataFrame, order: str, values: list[str], *, weigh: list[str] | None = None, range_bytes: int = RANGE_BYTES, at_once: int = CUT_AT_ONCE) -> DataFrame:
     """Adds next_<value>: the values (strings) of the row that follows in ascending order (a long; nulls first; ties by a hash of the values); after the last comes the first.
 
     Columns of these names are replaced. The rows are dealt into ranges, so many as their bytes ask for, each a window of its own. The first row of every range is dealt to the end of the range before it too,
     so that no range needs another. Up to at_once ranges are cut by quantiles of all rows; of more, each of these is cut again by quantiles of its own. Tables of ranges are broadcast: a row for
-    range_bytes bytes of values. Rows with one order value lie in one range.
+    range_bytes bytes of values. Rows with one order value lie in one range. weigh names the values whose bytes count, as those that are costly to compute may be left out.
     """
     key, kind = F.col(order), df.schema[order].dataType
     at, copied, to, first, before, inner = (fresh(df, c) for c in ("_range", "_copied", "_to", "_first", "_before", "_inner"))
-    size = sum((F.coalesce(F.octet_length(v), F.lit(0)) for v in values), F.lit(0).cast("long"))
+    size = sum((F.coalesce(F.octet_length(v), F.lit(0)) for v in weigh or values), F.lit(0).cast("long"))
     seen = df.agg(F.sum(size), F.percentile_approx(order, [i / at_once for i in range(1, at_once)], 4 * at_once)).first()
     n = max(2, PER_PARTITION * partitions(df.sparkSession), -(-(seen[0] or 0) // range_bytes))
     outer = min(n, at_once)
@@ -128,7 +128,7 @@ def with_next(df: DataFrame, order: str, values: list[str], *, range_bytes: int
 def op8_oph_minhash(spark, sf_dir: str) -> DataFrame:
     """The fingerprints of every whole text of documents (null: empty) and of its edited text, and their likenesses, as its contract says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"))), "doc_id", ["text", "fingerprint"])
+    pairs = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"))), "doc_id", ["text", "fingerprint"], weigh=["text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = pairs.select(
