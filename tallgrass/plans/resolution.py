@@ -119,8 +119,8 @@ def loose_lists(t):
 
 
 @query("leakage_guard", """
-WITH i AS (SELECT o_custkey, list_sort(list(o_orderdate))[(count(*) + 1) // 2] AS at FROM orders GROUP BY 1)
-SELECT o_custkey, count(*) FILTER (o_orderdate <= at AND o_orderstatus <> 'P') AS n_kept, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (o_orderdate <= at AND o_orderstatus <> 'P'), '') AS kept FROM orders JOIN i USING (o_custkey) GROUP BY 1""")
+WITH i AS (SELECT o_custkey, list_sort(list(o_orderdate))[(count(*) + 1) // 2] AS middle FROM orders GROUP BY 1)
+SELECT o_custkey, count(*) FILTER (o_orderdate <= middle AND o_orderstatus <> 'P') AS n_kept, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (o_orderdate <= middle AND o_orderstatus <> 'P'), '') AS kept FROM orders JOIN i USING (o_custkey) GROUP BY 1""")
 def leakage_guard(t):
     """Each customer's nested orders without those after the middle one and without pending ones."""
     each = t.orders.select("o_custkey", "o_orderdate", F.struct("o_orderkey", "o_orderdate", (F.col("o_orderstatus") == "P").alias("pending")).alias("o"))
