@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     if not (path := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         path = spark.sparkContext.getCheckpointDir()
     return path
