@@ -61,11 +61,15 @@ def name_variants(c: Column, least: int = 3) -> Column:
     return F.filter(F.array_distinct(F.array(*forms)), lambda v: F.length(v) >= least)
 
 
-def stem(word: Column) -> Column:
-    """The shortest singular form of a word, the alphabetically first of several: every ending that fits is tried."""
+def singular_forms(word: Column) -> Column:
+    """The word and what is left of it by every ending that fits."""
     forms = [F.when((F.length(word) > 4) & word.endswith(e), F.concat(F.substr(word, F.lit(1), F.length(word) - len(e)), F.lit(r))) for e, r in PLURALS]
-    named = F.transform(F.filter(F.array(word, *forms), lambda f: f.isNotNull()), lambda f: F.struct(F.length(f).alias("n"), f.alias("form")))
-    return F.array_min(named)["form"]
+    return F.filter(F.array(word, *forms), lambda f: f.isNotNull())
+
+
+def stem(word: Column) -> Column:
+    """The shortest singular form of a word, the alphabetically first of several."""
+    return F.array_min(F.transform(singular_forms(word), lambda f: F.struct(F.length(f).alias("n"), f.alias("form"))))["form"]
 
 
 def expanded_tokens(c: Column) -> Column:

@@ -50,7 +50,7 @@ def first_field(fields: dict[str, Column], least: int = 1) -> Column:
 def question_split(c: Column) -> Column:
     """struct<vignette, question>: the last sentence that ends with ? and has between 11 and 499 characters, and what stands before it; question null without one."""
     found = F.filter(F.split(F.trim(c), r"(?<=[.!?])\s+"), lambda s: F.endswith(s, F.lit("?")) & (F.length(s) > 10) & (F.length(s) < 500))
-    before = lambda x: F.length(x["t"]) - F.length(F.substring_index(x["t"], x["q"], -1)) - F.length(x["q"])
+    before = lambda x: F.length(x["t"]) - F.length(F.call_function("substring_index", x["t"], x["q"], F.lit(-1))) - F.length(x["q"])
     return bound(
         F.struct(F.trim(c).alias("t"), F.try_element_at(found, F.lit(-1)).alias("q")),
         lambda x: F.struct(F.when(x["q"].isNull(), x["t"]).otherwise(F.trim(F.substr(x["t"], F.lit(1), before(x)))).alias("vignette"), x["q"].alias("question")),

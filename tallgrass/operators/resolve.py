@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import clinical, text
@@ -50,22 +50,20 @@ def cascade(names: DataFrame, name: str, stages: dict[str, DataFrame], *, fuzzy:
 
 
 def concepts(docs: DataFrame, id_col: str, text_col: str, inventory: DataFrame, *, max_df: int | None = None) -> DataFrame:
-    """Rows (id_col, concept): the concepts of an inventory (concept, name) all of whose singular words a text holds; of concepts whose words are among those of another one found, only that one counts.
+    """Rows (id_col, concept): the concepts of an inventory (concept, name) all of whose words a text holds; of concepts whose words are among those of another one found, only that one counts.
 
-    A concept of one word that more than max_df texts hold tells nothing and is left out (None: none is). Texts and names without words hold nothing.
+    Two words are alike if they share a singular form. A concept of one word that more than max_df texts hold tells nothing and is left out (None: none is). Texts and names without words hold nothing.
     """
-    def canon(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), clinical.stem))
-
-    listed = inventory.select("concept", canon(F.col("name")).alias("words")).where("size(words) > 0")
-    each = listed.select("concept", F.size("words").alias("need"), F.explode("words").alias("word"))
-    held = docs.select(id_col, F.explode(canon(F.col(text_col))).alias("word"))
-    found = held.join(each, "word").groupBy(id_col, "concept", "need").agg(F.count("*").alias("n")).where("n = need").select(id_col, "concept", "need")
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
+    listed = inventory.select("concept", words(F.col("name")).alias("words")).where("size(words) > 0")
+    each = listed.select("concept", F.size("words").alias("need"), F.explode("words").alias("word")).select("concept", "need", "word", F.explode(clinical.singular_forms(F.col("word"))).alias("form"))
+    held = docs.select(id_col, F.explode(F.array_distinct(F.flatten(F.transform(words(F.col(text_col)), clinical.singular_forms)))).alias("form"))
+    found = held.join(each, "form").groupBy(id_col, "concept", "need").agg(F.count_distinct("word").alias("n")).where("n = need").select(id_col, "concept", "need")
     if max_df is not None:
         known = found.where("need = 1").groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") > max_df).select("concept")
         found = found.join(known, "concept", "left_anti")
-    other = each.select(F.col("concept").alias("over"), F.col("need").alias("over_need"), "word")
-    within = each.join(other, "word").where("need < over_need").groupBy("concept", "over", "need").agg(F.count("*").alias("n")).where("n = need").select("concept", "over")
+    other = each.select(F.col("concept").alias("over"), F.col("need").alias("over_need"), "form")
+    within = each.join(other, "form").where("need < over_need").groupBy("concept", "over", "need").agg(F.count_distinct("word").alias("n")).where("n = need").select("concept", "over")
     lesser = found.join(within, "concept").join(found.select(id_col, F.col("concept").alias("over")), [id_col, "over"], "left_semi").select(id_col, "concept").distinct()
     return found.select(id_col, "concept").join(lesser, [id_col, "concept"], "left_anti")
 

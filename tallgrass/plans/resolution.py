@@ -8,18 +8,18 @@ from tallgrass.functions import clinical, nested
 from tallgrass.operators import graph, metrics, resolve
 
 from .registry import query
-from .texts import GRAMS, STEM
+from .texts import FORMS, GRAMS
 
-CANON = "list_distinct(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: " + STEM + "))"
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
 @query("concept_match", f"""
 WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), i AS (
   SELECT 3 * item_id AS concept, w[1] || ' ' || w[2] AS name FROM b UNION ALL SELECT 3 * item_id + 1, w[1] FROM b UNION ALL SELECT 3 * item_id + 2, w[2] || ' ' || w[5] FROM b),
-c AS (SELECT concept, {CANON.replace("{c}", "name")} AS k FROM i), n AS (SELECT * FROM c WHERE len(k) > 0), e AS (SELECT concept, len(k) AS need, unnest(k) AS word FROM n),
-d AS (SELECT conv_id || '-' || turn AS id, unnest({CANON.replace("{c}", "text")}) AS word FROM conversations),
-f AS (SELECT id, concept, need FROM d JOIN e USING (word) GROUP BY ALL HAVING count(*) = need),
-s AS (SELECT x.concept, y.concept AS over FROM e x JOIN e y ON x.word = y.word AND x.need < y.need GROUP BY x.concept, y.concept, x.need HAVING count(*) = x.need)
+c AS (SELECT concept, {WORDS.format(c="name")} AS k FROM i), n AS (SELECT concept, len(k) AS need, unnest(k) AS w FROM c), e AS (SELECT concept, need, w AS word, unnest({FORMS}) AS form FROM n),
+t AS (SELECT DISTINCT conv_id || '-' || turn AS id, unnest({WORDS.format(c="text")}) AS w FROM conversations), d AS (SELECT id, unnest({FORMS}) AS form FROM t),
+f AS (SELECT id, concept, need FROM d JOIN e USING (form) GROUP BY ALL HAVING count(DISTINCT word) = need),
+s AS (SELECT x.concept, y.concept AS over FROM e x JOIN e y ON x.form = y.form AND x.need < y.need GROUP BY x.concept, y.concept, x.need HAVING count(DISTINCT x.word) = x.need)
 SELECT id, concept FROM f WHERE NOT EXISTS (SELECT 1 FROM s JOIN f g ON g.concept = s.over WHERE s.concept = f.concept AND g.id = f.id)""")
 def concept_match(t):
     """The concepts of an inventory, here of words of the benchmark, that each turn of a conversation holds."""

@@ -125,8 +125,9 @@ def code_forms(t):
     return t.orders.select("o_orderkey", clinical.dotted(code).alias("code"), clinical.category(code).alias("category"))
 
 
-#: The shortest singular form of a word in DuckDB's words.
-STEM = "list_sort(list_transform(list_filter([w, CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' END, CASE WHEN length(w) > 4 AND ends_with(w, 'ses') THEN left(w, length(w) - 3) || 'sis' END, CASE WHEN length(w) > 4 AND ends_with(w, 'es') THEN left(w, length(w) - 2) END, CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN left(w, length(w) - 1) END], lambda f: f IS NOT NULL), lambda f: {'n': length(f), 'f': f}))[1].f"
+#: The singular forms of a word w in DuckDB's words, and the shortest of them.
+FORMS = "list_filter([w, CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' END, CASE WHEN length(w) > 4 AND ends_with(w, 'ses') THEN left(w, length(w) - 3) || 'sis' END, CASE WHEN length(w) > 4 AND ends_with(w, 'es') THEN left(w, length(w) - 2) END, CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN left(w, length(w) - 1) END], lambda f: f IS NOT NULL)"
+STEM = "list_sort(list_transform(" + FORMS + ", lambda f: {'n': length(f), 'f': f}))[1].f"
 
 
 @query("plural_stems", f"""

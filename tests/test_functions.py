@@ -35,7 +35,7 @@ def test_phrase_and_similarity(spark):
 def test_sentences_and_abstention(spark):
     assert one(spark, text.sentences(F.lit("First sentence here. No. Another one is long!"))) == ["First sentence here.", "Another one is long!"]
     assert one(spark, text.abstains(F.lit("I can say nothing")))
-    assert one(spark, text.abstains(F.lit("There is not enough information in the chart to say which of the two it could be today")))
+    assert one(spark, text.abstains(F.lit("There is no involvement of this kind in the chart that could be told for the patient today")))
 
 
 def test_upsert_and_ignore(spark):
