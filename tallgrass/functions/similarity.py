@@ -85,8 +85,10 @@ def salvage_json(text: str, keys: list[str]) -> str | None:
     """
     import json
 
-    found = []
+    found, done = [], 0
     for start in (m.start() for m in re.finditer(r"\{", text)):
+        if start < done:  # inside of an object that counts, so shorter
+            continue
         quoted, skip, stack = False, False, []
         end = len(text)
         for i in range(start, len(text)):
@@ -113,6 +115,7 @@ def salvage_json(text: str, keys: list[str]) -> str | None:
                 continue
             if isinstance(value, dict) and any(k in value for k in keys):
                 found.append(json.dumps(value))
+                done = end
                 break
     return max(found, key=len, default=None)
 

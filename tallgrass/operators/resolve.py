@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.functions import clinical, text
+from tallgrass.functions import clinical, similarity, text
+
+#: What is dropped from a condition before it is compared: a fixed value.
+QUALIFIERS = r"\(.*?\)|\bhistory of\b|\bhx of\b|\bstatus post\b|\bs/p\b|\bresolved\b|\bhealed\b|\btreated\b|\bwell.controlled\b|\bpoorly.controlled\b|\bmoderate\b|\bmild\b|\bsevere\b|\brecurrent\b|\bchronic\b|\bessential\b|\bprimary\b|\bsecondary to\b.*$"
+#: Least share of matching characters and length of a word that is snapped: fixed values.
+SNAP_RATIO, SNAP_LENGTH = 0.86, 6
 
 
-def fuzzy_best(names: DataFrame, known: DataFrame, name: str, *, least: float = 0.7) -> DataFrame:
-    """Rows (name, match, score): for each name the known name of greatest trigram similarity, `least` at least; ties go to the alphabetically first.
+def fuzzy_best(names: DataFrame, known: DataFrame, name: str, *, least: float = 0.7, parts: Callable[[Column], Column] = text.char_ngrams) -> DataFrame:
+    """Rows (name, match, score): for each name the known name whose set of parts (trigrams) has the greatest Jaccard similarity, `least` at least; ties go to the alphabetically first.
 
-    Two sets of trigrams that reach `least` share one of the rarest size - ceil(least * size) + 1 of either, so only these are joined, by equality; no pair that counts is lost.
+    Two sets that reach `least` share one of the rarest size - ceil(least * size) + 1 of either, so only these are joined, by equality; no pair that counts is lost.
     """
     def grams(df: DataFrame) -> DataFrame:
-        return df.select(F.col(name).alias("text")).where("text IS NOT NULL").distinct().withColumn("grams", text.char_ngrams(F.col("text")))
+        return df.select(F.col(name).alias("text")).where("text IS NOT NULL").distinct().withColumn("grams", parts(F.col("text")))
 
     asked, given = grams(names), grams(known)
     common = given.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
@@ -95,3 +102,55 @@ def ordered_by(df: DataFrame, keys: dict[str, str], asked: str, tie: str) -> Dat
 def latest(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The n last rows of each key in an order that tells its rows apart, with k from 1."""
     return df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order]))).where(F.col("k") <= n)
+
+
+def plain_condition(c: Column) -> Column:
+    """A condition in lower case without qualifiers and marks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), QUALIFIERS, " "), "[^a-z0-9/ ]", " "))
+
+
+def category_sets(conditions: DataFrame, key: str, condition: str, rules: list[tuple[str, list[str]]], names: DataFrame, *, least: float = 0.6) -> DataFrame:
+    """Rows (key, category, method): the categories of each key's conditions.
+
+    A condition that fits patterns of the rules (alias) gets all their categories; any other those of the names (name, category) that are equal to it without qualifiers (exact), else those of the name with the most
+    similar set of words (fuzzy: Jaccard `least` at least, ties to the alphabetically first name; of its categories the smallest). One condition is judged once, however many keys have it. Null conditions give nothing.
+    """
+    asked = conditions.select(F.col(condition).alias("condition")).where("condition IS NOT NULL").distinct()
+    hits = [F.when(F.lower("condition").rlike(p), F.array(*[F.lit(c) for c in cats])).otherwise(F.array().cast("array<string>")) for p, cats in rules]
+    alias = F.array_distinct(F.flatten(F.array(*hits))) if hits else F.array().cast("array<string>")
+    judged = asked.select("condition", plain_condition(F.col("condition")).alias("name"), alias.alias("alias"))
+    listed = names.select(plain_condition(F.col("name")).alias("name"), "category").where("name <> ''").distinct()
+    by_rule = judged.select("condition", F.explode("alias").alias("category"), F.lit("alias").alias("method"))
+    left = judged.where((F.size("alias") == 0) & (F.col("name") != "")).select("condition", "name")
+    exact = left.join(listed, "name").select("condition", "category", F.lit("exact").alias("method"))
+    near = fuzzy_best(left.join(listed, "name", "left_anti"), listed, "name", least=least, parts=lambda c: F.array_distinct(text.words(c)))
+    fuzzy = left.join(near, "name").join(listed.groupBy(F.col("name").alias("match")).agg(F.min("category").alias("category")), "match").select("condition", "category", F.lit("fuzzy").alias("method"))
+    found = by_rule.union(exact).union(fuzzy)
+    return conditions.select(key, F.col(condition).alias("condition")).distinct().join(found, "condition").select(key, "category", "method").distinct()
+
+
+def snapped(words: DataFrame, vocabulary: DataFrame, word: str) -> DataFrame:
+    """Rows (word, snapped, ratio) for the words of SNAP_LENGTH characters or more outside of the vocabulary that have a near word in it: the same first letter, a length that differs by two at most and the greatest ratio of matching characters,
+    SNAP_RATIO at least; ties go to the alphabetically last. Words are compared as they are; null words are left out.
+
+    Of a word of n characters and one of m at most (1 - SNAP_RATIO) (n + m) are unmatched, and each spoils two pairs of neighbouring characters of the word at most; the other pairs stand in both. So words are joined by the
+    pairs they share (with first letter and length), kept if they share enough of them, and then judged by the ratio; no word that counts is lost.
+    """
+    def marked(df: DataFrame, name: str) -> DataFrame:
+        w = F.col(name)
+        found = df.select(F.col(word).alias(name)).where(w.isNotNull()).distinct()
+        return found.withColumn("first", F.substring(w, 1, 1)).withColumn("size", F.length(w))
+
+    known = marked(vocabulary, "b")
+    asked = marked(words, "a").where(F.col("size") >= SNAP_LENGTH).join(known.select(F.col("b").alias("a")), "a", "left_anti")
+    near = F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("size")
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
+    left = asked.select("a", "first", near, F.explode(pairs(F.col("a"))).alias("pair"))
+    right = known.select("b", "first", "size", F.explode(pairs(F.col("b"))).alias("pair"))
+    met = left.join(right, ["first", "size", "pair"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    # unmatched characters of both words together
+    loose = F.floor((1 - SNAP_RATIO) * (F.length("a") + F.length("b")) + 1e-9)
+    likely = met.where(F.col("n") >= F.size(pairs(F.col("a"))) - 2 * loose)
+    scored = likely.select("a", "b", similarity.column(similarity.ratio, "double")("b", "a").alias("ratio")).where(F.col("ratio") >= SNAP_RATIO)
+    best = scored.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("x"))
+    return best.select(F.col("a").alias(word), F.col("x.b").alias("snapped"), F.col("x.ratio").alias("ratio"))
