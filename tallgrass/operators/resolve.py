@@ -133,24 +133,26 @@ def snapped(words: DataFrame, vocabulary: DataFrame, word: str) -> DataFrame:
     """Rows (word, snapped, ratio) for the words of SNAP_LENGTH characters or more outside of the vocabulary that have a near word in it: the same first letter, a length that differs by two at most and the greatest ratio of matching characters,
     SNAP_RATIO at least; ties go to the alphabetically last. Words are compared as they are; null words are left out.
 
-    Of a word of n characters and one of m at most (1 - SNAP_RATIO) (n + m) are unmatched, and each spoils two pairs of neighbouring characters of the word at most; the other pairs stand in both. So words are joined by the
-    pairs they share (with first letter and length), kept if they share enough of them, and then judged by the ratio; no word that counts is lost.
+    In such a pair, of n and m characters, at most `loose` = (1 - SNAP_RATIO) (n + m) characters are unmatched, and as many modulo 2 as n + m. So of loose + 1 pieces of the known word one stands unchanged in the other word, shifted by at
+    most `loose`: words are joined by such pieces, by equality, and the ratio decides; no word that counts is lost.
     """
-    def marked(df: DataFrame, name: str) -> DataFrame:
-        w = F.col(name)
-        found = df.select(F.col(word).alias(name)).where(w.isNotNull()).distinct()
-        return found.withColumn("first", F.substring(w, 1, 1)).withColumn("size", F.length(w))
-
-    known = marked(vocabulary, "b")
-    asked = marked(words, "a").where(F.col("size") >= SNAP_LENGTH).join(known.select(F.col("b").alias("a")), "a", "left_anti")
-    near = F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("size")
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    left = asked.select("a", "first", near, F.explode(pairs(F.col("a"))).alias("pair"))
-    right = known.select("b", "first", "size", F.explode(pairs(F.col("b"))).alias("pair"))
-    met = left.join(right, ["first", "size", "pair"]).groupBy("a", "b").agg(F.count("*").alias("n"))
-    # unmatched characters of both words together
-    loose = F.floor((1 - SNAP_RATIO) * (F.length("a") + F.length("b")) + 1e-9)
-    likely = met.where(F.col("n") >= F.size(pairs(F.col("a"))) - 2 * loose)
+    n, m, i = F.col("n"), F.col("m"), F.col("i")
+    most = F.floor((1 - SNAP_RATIO) * (n + m) + 1e-9).cast("int")
+    loose = most - F.abs((most - n - m) % 2)
+    begins, stops = F.floor(i * m / (F.col("loose") + 1)).cast("int"), F.floor((i + 1) * m / (F.col("loose") + 1)).cast("int")
+
+    def pieces(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Each word with its pieces' numbers for every length that the other word may have."""
+        w = df.select(F.col(word).alias(name)).where(F.col(word) != "").distinct()
+        sized = w.withColumn(own, F.length(name)).withColumn(other, F.explode(F.sequence(F.col(own) - 2, F.col(own) + 2)))
+        fits = sized.where((n >= SNAP_LENGTH) & (m > 0)).withColumn("loose", loose).where(F.col("loose") >= F.abs(n - m))
+        return fits.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("loose")))).withColumn("first", F.substring(name, 1, 1)).withColumn("begins", begins).withColumn("length", stops - begins)
+
+    unknown = words.join(vocabulary.select(word).distinct(), word, "left_anti")
+    left = pieces(unknown, "a", "n", "m").withColumn("at", F.explode(F.sequence(F.col("begins") - F.col("loose"), F.col("begins") + F.col("loose"))))
+    left = left.where((F.col("at") >= 0) & (F.col("at") + F.col("length") <= n)).select("a", "first", "n", "m", "i", F.substr("a", F.col("at") + 1, F.col("length")).alias("piece")).distinct()
+    right = pieces(vocabulary, "b", "m", "n").select("b", "first", "n", "m", "i", F.substr("b", F.col("begins") + 1, F.col("length")).alias("piece"))
+    likely = left.join(right, ["first", "n", "m", "i", "piece"]).select("a", "b").distinct()
     scored = likely.select("a", "b", similarity.column(similarity.ratio, "double")("b", "a").alias("ratio")).where(F.col("ratio") >= SNAP_RATIO)
     best = scored.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("x"))
     return best.select(F.col("a").alias(word), F.col("x.b").alias("snapped"), F.col("x.ratio").alias("ratio"))
