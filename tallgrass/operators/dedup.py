@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 
 def pick_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row for each key: the first in the order, which must tell all rows of a key apart. Null keys are one key."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+    rank = fresh(df, "_rn")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], arrival: list[Column | str]) -> DataFrame:
@@ -24,10 +27,11 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], arrival: list[C
 
 def fill_missing(df: DataFrame, source: DataFrame, keys: list[str], columns: list[str], mark: str) -> DataFrame:
     """Fills nulls of columns from source (one row for each key) and marks the rows that got a value."""
-    given = source.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
-    got = [F.col(c).isNull() & F.col(f"_{c}").isNotNull() for c in columns]
+    new = {c: fresh(df, f"_new_{c}", source) for c in columns}
+    given = source.select(*keys, *[F.col(c).alias(new[c]) for c in columns])
+    got = [F.col(c).isNull() & F.col(new[c]).isNotNull() for c in columns]
     filled = df.join(given, keys, "left")
     any_got = got[0]
     for g in got[1:]:
         any_got = any_got | g
-    return filled.select(*[c for c in df.columns if c not in columns], *[F.coalesce(c, f"_{c}").alias(c) for c in columns], any_got.alias(mark))
+    return filled.select(*[c for c in df.columns if c not in columns], *[F.coalesce(c, new[c]).alias(c) for c in columns], any_got.alias(mark))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 
 def capped_groups(df: DataFrame, group: str, item: str, least: int, most: int) -> DataFrame:
     """Distinct (group, item) rows of the groups that have between least and most items. The cap is part of the operator: an item that nearly all groups share tells nothing."""
@@ -43,8 +45,9 @@ def best_edges(edges: DataFrame) -> DataFrame:
 
 def prefix_matches(codes: DataFrame, code: str, rules: DataFrame, prefix: str) -> DataFrame:
     """Codes with every rule whose prefix they begin with: each code is exploded into its prefixes, and these are joined by equality."""
-    exploded = codes.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(code), F.lit(1))), lambda n: F.substring(F.col(code), F.lit(1), n))))
-    return exploded.join(rules, F.col("_p") == F.col(prefix)).drop("_p")
+    part = fresh(codes, "_p", rules)
+    exploded = codes.withColumn(part, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(code), F.lit(1))), lambda n: F.substring(F.col(code), F.lit(1), n))))
+    return exploded.join(rules, F.col(part) == F.col(prefix)).drop(part)
 
 
 def near_pairs(df: DataFrame, keys: list[str], item: str, value: str, width: float) -> DataFrame:

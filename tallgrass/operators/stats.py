@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 
 def wilcoxon(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """Signed-rank sums, normal z and Cohen's d of paired values in each group; differences of zero are left out, equal sizes share their mean rank."""
@@ -39,13 +41,14 @@ def quota_split(df: DataFrame, strata: list[str], order: list, shares: dict[str,
     """Deals each stratum in order into splits by cumulative shares, rounded half to even, so that what one split is short of goes to the next."""
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
     n = F.count("*").over(Window.partitionBy(*strata))
-    numbered = df.withColumn("_rank", rank).withColumn("_n", n)
+    place, size = fresh(df, "_rank"), fresh(df, "_n")
+    numbered = df.withColumn(place, rank).withColumn(size, n)
     column, total = None, 0.0
     for name, share in shares.items():
         total += share
-        hit = F.col("_rank") <= F.bround(F.col("_n") * F.lit(round(total, 9)), 0)
+        hit = F.col(place) <= F.bround(F.col(size) * F.lit(round(total, 9)), 0)
         column = F.when(hit, name) if column is None else column.when(hit, name)
-    return numbered.withColumn(out, column.otherwise(list(shares)[-1])).drop("_rank", "_n")
+    return numbered.withColumn(out, column.otherwise(list(shares)[-1])).drop(place, size)
 
 
 def greedy_groups(df: DataFrame, part: list[str], item: str, members: str, *, most: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 
 def _w(keys, order):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -61,7 +63,8 @@ def spans(df: DataFrame, keys: list[str], order: list, start: str, end: Column,
 
 def changed(df: DataFrame, keys: list[str], order: list, value: Column, out: str) -> DataFrame:
     """Whether a record's value differs from the record's before it; the first record's does."""
-    return df.withColumn("_value", value).withColumn(out, ~F.lag("_value").over(_w(keys, order)).eqNullSafe(F.col("_value")) | (F.row_number().over(_w(keys, order)) == 1)).drop("_value")
+    w = _w(keys, order)
+    return df.withColumn(out, ~F.lag(value).over(w).eqNullSafe(value) | (F.row_number().over(w) == 1))
 
 
 def chunks(df: DataFrame, keys: list[str], order: list, size: int, out: str = "chunk") -> DataFrame:
@@ -72,5 +75,6 @@ def anchors(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The records at which an entity with at least two records is examined: the second, the middle one of all from the second on, and the last."""
     w = _w(keys, order)
     n = F.count("*").over(Window.partitionBy(*keys))
-    numbered = df.withColumn("position", (F.row_number().over(w) - 1).cast("int")).withColumn("_n", n)
-    return numbered.where("_n >= 2 AND position IN (1, 1 + (_n - 1) div 2, _n - 1)").drop("_n")
+    size = fresh(df, "_n")
+    numbered = df.withColumn("position", (F.row_number().over(w) - 1).cast("int")).withColumn(size, n)
+    return numbered.where(f"`{size}` >= 2 AND position IN (1, 1 + (`{size}` - 1) div 2, `{size}` - 1)").drop(size)
