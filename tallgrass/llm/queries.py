@@ -6,6 +6,7 @@ from .avimedia import op4_avi_mjpeg
 from .bestfit import op6_best_fit_packing
 from .bpe import op5_byte_bpe
 from .bytecnn import op1_byte_cnn_language
+from .convrepair import op11_conversation_repair
 from .hilbert import op2_hilbert_shards
 from .oph import op8_oph_minhash
 from .simhash import op10_simhash_near_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_oph_minhash": op8_oph_minhash,
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLE_SQL = {"op9_url_filter": OP9_SQL}
