@@ -9,6 +9,7 @@ from .bytecnn import op1_byte_cnn_language
 from .convrepair import op11_conversation_repair
 from .hilbert import op2_hilbert_shards
 from .oph import op8_oph_minhash
+from .periodic import op12_periodic_runs
 from .simhash import op10_simhash_near_dedup
 from .subword import op7_subword_quality
 from .urls import OP9_SQL, op9_url_filter
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL = {"op9_url_filter": OP9_SQL}
