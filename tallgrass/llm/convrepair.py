@@ -183,7 +183,7 @@ def _exits(ends: dict) -> Callable:
     return run
 
 
-def _walks(known: dict, schema: pa.Schema) -> Callable:
+def _walks(known: dict) -> Callable:
     """Rows of two kinds: what a part's edits are (audit, cost, illegal), and each turn that stays or is preceded by inserted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,42 +204,38 @@ def _walks(known: dict, schema: pa.Schema) -> Callable:
                     illegal += n - 1 + (before is not None and before + initial not in ("su", "ua", "au"))
                     before = initial
             cost = DELETE * letters.count("D") + INSERT * letters.count("I") + REROLE * letters.count("R") + LATE * sum(turns.late[i] for i, _, said in stays if said != "")
-            yield from _rows(schema, conv, [dict(part=me, audit=letters, cost=cost, illegal=illegal)] + ([dict(tail=True, head=tail)] if tail else []))
+            yield dict(conv=conv, part=me, audit=letters, cost=cost, illegal=illegal)
+            if tail:
+                yield dict(conv=conv, tail=True, head=tail)
             at, stay = 0, iter(stays)
             nxt = next(stay, None)
             for b in rows:
                 turn, role, digest = (b.column(c) for c in ("turn", "role", "digest"))
-                out = []
                 while nxt and nxt[0] < at + b.num_rows:
                     i, head, said = nxt
-                    out.append(dict(tail=False, head=head, said=role[i - at].as_py() if said is None else said, keeps=said != "", turn=turn[i - at].as_py(), role=role[i - at].as_py(), digest=digest[i - at].as_py()))
+                    own = role[i - at].as_py()
+                    yield dict(conv=conv, tail=False, head=head, said=own if said is None else said, keeps=said != "", turn=turn[i - at].as_py(), role=own, digest=digest[i - at].as_py())
                     nxt = next(stay, None)
                 at += b.num_rows
-                yield from _rows(schema, conv, out)
 
     return run
 
 
-def _rows(schema: pa.Schema, conv, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        yield pa.RecordBatch.from_pylist([r | {"conv": conv} for r in rows], schema=schema)
-
-
-def _gathered(run: Callable, rows: int = 5000) -> Callable:
-    """run with its small batches put together."""
+def _batched(run: Callable, schema: pa.Schema, rows: int = 5000) -> Callable:
+    """run, which yields rows as dictionaries, with batches of about `rows` of them."""
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in run(batches):
-            held.append(b)
-            size += b.num_rows
-            if size >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        for row in run(batches):
+            held.append(row)
+            size += len(row.get("text") or row.get("piece") or "")
+            if len(held) >= rows or size > 1 << 22:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
                 held, size = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return gathered
+    return batched
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[tuple[str, str]]]]:
@@ -250,60 +246,51 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator
             yield conv, lines + ([(said, text)] if keeps else [])
 
 
-def _turn_rows(schema: pa.Schema) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, me = 0, TaskContext.get().partitionId()
-        for conv, lines in _lines(batches):
-            yield from _rows(schema, conv, [dict(part=me, number=at + i, role=role, text=text) for i, (role, text) in enumerate(lines)])
-            at += len(lines)
+def _turn_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    at, me = 0, TaskContext.get().partitionId()
+    for conv, lines in _lines(batches):
+        for role, text in lines:
+            yield dict(conv=conv, part=me, number=at, role=role, text=text)
+            at += 1
 
-    return run
 
-
-def _pieces(schema: pa.Schema) -> Callable:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The hash of each short conversation that lies inside the task; of long ones, and of the first and the last one, which may go on elsewhere, the bytes in pieces, each line after a line feed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, number, conv, held, parted = TaskContext.get().partitionId(), 0, None, None, True
-
-        def piece() -> Iterator[pa.RecordBatch]:
-            nonlocal number, held, parted
-            yield from _rows(schema, conv, [dict(part=me, number=number, piece=bytes(held))])
-            number, held, parted = number + 1, bytearray(), True
-
-        for c, lines in _lines(batches):
-            if held is None or c != conv:
-                if held is not None and not parted:
-                    yield from _rows(schema, conv, [dict(sha256=hashlib.sha256(held[1:]).hexdigest())])
-                elif held:
-                    yield from piece()
-                conv, parted, held = c, held is None, bytearray()
-            for role, text in lines:
-                held += f"\n{role}:{text}".encode("utf-8", "surrogatepass")
-            if len(held) > PIECE:
-                yield from piece()
-        if held:
-            yield from piece()
-
-    return run
-
-
-def _digests(schema: pa.Schema) -> Callable:
+    me, number, conv, held, parted = TaskContext.get().partitionId(), 0, None, None, True
+
+    def piece() -> dict:
+        nonlocal number, held, parted
+        row = dict(conv=conv, part=me, number=number, piece=bytes(held))
+        number, held, parted = number + 1, bytearray(), True
+        return row
+
+    for c, lines in _lines(batches):
+        if held is None or c != conv:
+            if held is not None and not parted:
+                yield dict(conv=conv, sha256=hashlib.sha256(held[1:]).hexdigest())
+            elif held:
+                yield piece()
+            conv, parted, held = c, held is None, bytearray()
+        for role, text in lines:
+            held += f"\n{role}:{text}".encode("utf-8", "surrogatepass")
+        if len(held) > PIECE:
+            yield piece()
+    if held:
+        yield piece()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The hash of each conversation from its pieces, which come in order; none of them is held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, sha = None, None
-        for b in batches:
-            for c, data in zip(b.column("conv").to_pylist(), b.column("piece").to_pylist(), strict=True):
-                if sha is None or c != conv:
-                    if sha is not None:
-                        yield from _rows(schema, conv, [dict(sha256=sha.hexdigest())])
-                    conv, sha, data = c, hashlib.sha256(), data[1:]
-                sha.update(data)
-        if sha is not None:
-            yield from _rows(schema, conv, [dict(sha256=sha.hexdigest())])
-
-    return run
+    conv, sha = None, None
+    for b in batches:
+        for c, data in zip(b.column("conv").to_pylist(), b.column("piece").to_pylist(), strict=True):
+            if sha is None or c != conv:
+                if sha is not None:
+                    yield dict(conv=conv, sha256=sha.hexdigest())
+                conv, sha, data = c, hashlib.sha256(), data[1:]
+            sha.update(data)
+    if sha is not None:
+        yield dict(conv=conv, sha256=sha.hexdigest())
 
 
 class Repair:
@@ -356,7 +343,7 @@ class Repair:
         fields = [("conv", None), ("part", pa.int32()), ("audit", pa.string()), ("cost", pa.int64()), ("illegal", pa.int64()), ("tail", pa.bool_()), ("turn", None), ("role", pa.string()), ("digest", pa.binary()), ("head", pa.string()), ("said", pa.string()), ("keeps", pa.bool_())]
         types = {"conv": kind, "turn": self.turns.schema["turn"].dataType.simpleString()}
         schema = pa.schema([(name, t or _arrow(self.turns, name)) for name, t in fields])
-        return self.turns.mapInArrow(_gathered(_walks(known, schema)), f"conv {kind}, part int, audit string, cost long, illegal long, tail boolean, turn {types['turn']}, role string, digest binary, head string, said string, keeps boolean")
+        return self.turns.mapInArrow(_batched(_walks(known), schema), f"conv {kind}, part int, audit string, cost long, illegal long, tail boolean, turn {types['turn']}, role string, digest binary, head string, said string, keeps boolean")
 
     def _kept(self) -> DataFrame:
         """The turns that stay with their texts, and inserted ones, sorted in ranges."""
@@ -370,16 +357,16 @@ class Repair:
         """The repaired conversations: conv_col, part and number (which give the order), role and text of each turn; inserted turns have empty texts."""
         kept = self._kept()
         schema = pa.schema([("conv", _arrow(kept, "conv")), ("part", pa.int32()), ("number", pa.int64()), ("role", pa.string()), ("text", pa.string())])
-        return kept.mapInArrow(_gathered(_turn_rows(schema)), f"conv {kept.schema['conv'].dataType.simpleString()}, part int, number long, role string, text string").withColumnRenamed("conv", self.conv_col)
+        return kept.mapInArrow(_batched(_turn_rows, schema), f"conv {kept.schema['conv'].dataType.simpleString()}, part int, number long, role string, text string").withColumnRenamed("conv", self.conv_col)
 
     def digests(self) -> DataFrame:
         """conv and the SHA-256 of role:text of its repaired turns, joined by line feeds, for conversations that keep a turn."""
         kept = self._kept()
         conv, kind = ("conv", _arrow(kept, "conv")), kept.schema["conv"].dataType.simpleString()
         schema = pa.schema([conv, ("part", pa.int32()), ("number", pa.int64()), ("piece", pa.binary()), ("sha256", pa.string())])
-        found = kept.mapInArrow(_gathered(_pieces(schema)), f"conv {kind}, part int, number long, piece binary, sha256 string").checkpoint()
+        found = kept.mapInArrow(_batched(_pieces, schema), f"conv {kind}, part int, number long, piece binary, sha256 string").checkpoint()
         parted = found.where("piece is not null").select("conv", "part", "number", "piece").repartition(self.n, "conv").sortWithinPartitions("conv", "part", "number")
-        return found.where("sha256 is not null").select("conv", "sha256").union(parted.mapInArrow(_digests(pa.schema([conv, ("sha256", pa.string())])), f"conv {kind}, sha256 string"))
+        return found.where("sha256 is not null").select("conv", "sha256").union(parted.mapInArrow(_batched(_digests, pa.schema([conv, ("sha256", pa.string())])), f"conv {kind}, sha256 string"))
 
     def report(self) -> DataFrame:
         """conv, gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of each conversation that has a turn."""

@@ -10,6 +10,7 @@ from .convrepair import op11_conversation_repair
 from .hilbert import op2_hilbert_shards
 from .oph import op8_oph_minhash
 from .periodic import op12_periodic_runs
+from .pii import op13_personal_data
 from .simhash import op10_simhash_near_dedup
 from .subword import op7_subword_quality
 from .urls import OP9_SQL, op9_url_filter
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 ORACLE_SQL = {"op9_url_filter": OP9_SQL}
