@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
 
+#: Elements whose end (BREAKS: whose start too) begins a new line; all other tags vanish: fixed values, in alphabetical order.
+BLOCKS, BREAKS = ("div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "tr"), ("br",)
+
+
 def strip_html(html: Column) -> Column:
-    """Line breaks and block ends become new lines, other tags go, entities are resolved, lines are trimmed and three or more new lines become two."""
-    c = F.regexp_replace(html, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
-    c = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
-    c = F.regexp_replace(c, r"\[sound:[^\]]*\]", "")
-    c = F.array_join(F.transform(F.split(c, "\n"), lambda line: F.trim(line)), "\n")
-    return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    """The text of a fragment of HTML: lines end where BLOCKS end and at BREAKS, sound marks vanish, entities are resolved, lines are trimmed, and of more than one empty line in a row one stays."""
+    lines = F.split(html, rf"(?i)</(?:{'|'.join(BLOCKS)})>|<(?:{'|'.join(BREAKS)})\s*/?>")
+    bare = F.regexp_replace(F.array_join(lines, "\n"), "<[^>]*>", "")
+    for entity, character in ENTITIES:
+        bare = F.replace(bare, F.lit(entity), F.lit(character))
+    heard = F.regexp_replace(bare, r"\[sound:[^\]]*\]", "")
+    trimmed = F.array_join(F.transform(F.split(heard, "\n"), lambda line: F.trim(line)), "\n")
+    return F.trim(F.regexp_replace(trimmed, r"\n\n\n+", "\n\n"))
 
 
 def cloze_text(c: Column) -> Column:

@@ -7,17 +7,25 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.sources.tables import checkpoint_folder
 
-def ancestors(edges: DataFrame, child: str, parent: str, *, max_depth: int = 32) -> DataFrame:
-    """All pairs (node, ancestor, depth) that chains of up to max_depth edges join, by doubling: paths of one length are joined with themselves. Of several paths the shortest counts; cycles end."""
-    paths = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("node IS NOT NULL AND ancestor IS NOT NULL AND node <> ancestor").distinct()
-    reach = 1
-    while reach < max_depth:
-        upper = paths.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
-        longer = paths.join(upper, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        paths = paths.union(longer).where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        reach *= 2
-    return paths.where(F.col("depth") <= max_depth)
+
+def ancestors(edges: DataFrame, child: str, parent: str, *, max_depth: int | None = None) -> DataFrame:
+    """All pairs (node, ancestor, depth) that chains of edges join, of any length (max_depth: of so many edges at most). Of several paths the shortest counts; cycles end.
+
+    Paths double from round to round: the shortest path of an ancestor farther than 2^k begins with one of exactly 2^k edges, so only these are joined with what is known. A round's new pairs are written to the checkpoint folder, and
+    the rounds end when no path has the full length.
+    """
+    checkpoint_folder(edges.sparkSession)
+    known = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("node IS NOT NULL AND ancestor IS NOT NULL AND node <> ancestor").distinct().checkpoint()
+    full, reach = known, 1
+    while not full.isEmpty() and (max_depth is None or reach < max_depth):
+        upper = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = full.join(upper, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("node <> ancestor")
+        new = longer.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")).join(known, ["node", "ancestor"], "left_anti").checkpoint()
+        known, reach = known.union(new), 2 * reach
+        full = new.where(F.col("depth") == reach)
+    return known if max_depth is None else known.where(F.col("depth") <= max_depth)
 
 
 def subsumed(present: DataFrame, closure: DataFrame, item: str, *, most: int = 100) -> DataFrame:
@@ -48,8 +56,6 @@ def greedy_clusters(nodes: DataFrame, pairs: DataFrame, item: str, *, most: int
     pairs has a, b, w for every two neighbours, in both directions. An item that comes first among all free items within two links would be the next of them to choose, whatever happens elsewhere,
     so all such items choose at once, round by round. Null items are left out. Rounds are written to the checkpoint folder.
     """
-    from tallgrass.sources.tables import checkpoint_folder
-
     checkpoint_folder(nodes.sparkSession)
     edges = pairs.select("a", "b", "w").checkpoint()
     size = edges.groupBy(F.col("a").alias("item")).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.functions import clinical, nested
-from tallgrass.operators import graph, metrics, resolve
+from tallgrass.operators import graph, hierarchy, metrics, resolve
 
 from .registry import query
 from .texts import FORMS, GRAMS
@@ -57,6 +57,18 @@ def subsumed_items(t):
     return graph.subsumed(t.customer.where("c_acctbal > 5000"), graph.ancestors(edges, "c_custkey", "parent"), "c_custkey")
 
 
+@query("interval_under", """
+WITH e AS (SELECT 'part ' || p_partkey AS item, [p_brand, p_type, 'group ' || left(p_brand, 7), 'price ' || CAST(floor(p_retailprice / 200) AS INT), 'all'] AS tops FROM part) SELECT unnest(tops) AS top, item FROM e""")
+def interval_under(t):
+    """Parts under each node of a hierarchy of several parents: a part lies below its brand, its type and its band of prices, a brand below its group, and groups, types and bands below one root."""
+    name = F.concat(F.lit("part "), F.col("p_partkey").cast("string"))
+    group, band = F.concat(F.lit("group "), F.left("p_brand", F.lit(7))), F.concat(F.lit("price "), F.floor(F.col("p_retailprice") / 200).cast("int").cast("string"))
+    edges = [(name, F.col("p_brand")), (name, F.col("p_type")), (name, band), (F.col("p_brand"), group), (group, F.lit("all")), (F.col("p_type"), F.lit("all")), (band, F.lit("all"))]
+    table = t.part.select(F.explode(F.array(*[F.struct(c.alias("child"), p.alias("parent")) for c, p in edges])).alias("e")).select("e.*").distinct()
+    tree = hierarchy.Hierarchy(table, "child", "parent")
+    return tree.under(t.part.select(name.alias("item")), "item", table.select(F.col("parent").alias("top")), "top")
+
+
 @query("build_order", """
 SELECT a, b, kind, min(source)::INT AS source FROM (SELECT l_partkey AS a, l_suppkey AS b, 'supplies' AS kind, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS source FROM lineitem) WHERE a <> b GROUP BY ALL""")
 def build_order(t):

@@ -27,6 +27,23 @@ def snapshot_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep="\t", quote="", escape="").where("active = '1'")
 
 
+def closure_table(spark: SparkSession, path: str, *, kinds: DataFrame | None = None, only: DataFrame | None = None, subtype: str = "subtypeId", supertype: str = "supertypeId", kind: str = "typeId") -> DataFrame:
+    """A tab-separated file of pairs with a header, such as a transitive closure or typed relationships: distinct rows (node, ancestor), with kind if the file has that column.
+
+    kinds (a column kind) keeps the rows of these kinds, only (a column node) those of these subtypes; both filter as semi-joins. Rows without either id and, if the file has a column active, those that aren't are left out.
+    """
+    rows = spark.read.csv(path, header=True, sep="\t", quote="", escape="")
+    if "active" in rows.columns:
+        rows = rows.where("active = '1'")
+    typed = [F.trim(kind).alias("kind")] if kind in rows.columns else []
+    rows = rows.select(F.trim(subtype).alias("node"), F.trim(supertype).alias("ancestor"), *typed).where("node <> '' AND ancestor <> ''")
+    if kinds is not None:
+        rows = rows.join(kinds.select(F.col("kind").cast("string")).distinct(), "kind", "left_semi")
+    if only is not None:
+        rows = rows.join(only.select(F.col("node").cast("string")).distinct(), "node", "left_semi")
+    return rows.distinct()
+
+
 def fixed_width(spark: SparkSession, path: str) -> DataFrame:
     """Order file of codes: code in columns 7 to 13, flag in 15, long text from 78 on, else the short one from 17 on; lines under 17 characters are skipped.
 
