@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.functions import similarity, text
-from tallgrass.operators import dedup, graph, stats
+from tallgrass.operators import cluster, dedup, graph, stats
 
 from .registry import query
 
@@ -89,3 +89,63 @@ def greedy_cluster(t):
     key = ["c_nationkey", "c_mktsegment", "l_partkey"]
     pairs = people.select(*key, F.col("c_custkey").alias("a")).join(people.select(*key, F.col("c_custkey").alias("b")), key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
     return graph.greedy_clusters(people, pairs, "c_custkey")
+
+
+#: Widths of balance by band of balances, and order priorities that contradict each other: parameters of the queries below.
+WIDTHS, URGENCY = {0: 300.0, 1: 700.0, 2: 1500.0, 3: 400.0}, {"urgency": [("1-URGENT", "5-LOW"), ("1-URGENT", "4-NOT SPECIFIED")]}
+
+
+def people(t, *, distractors: bool):
+    """Customers with their band of balances (a key), its width, the priority of their most urgent large order, and the parts of which they returned many; with distractors also the parts of which they kept very many."""
+    orders = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    wanted = (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40)
+    held = orders.where(wanted | ((F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 48)) if distractors else wanted).select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("feature")).distinct()
+    urgent = t.orders.where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("urgency"))
+    band = F.least(F.floor(F.greatest("c_acctbal", F.lit(0.0)) / 2500), F.lit(3)).cast("int")
+    width = F.coalesce(*[F.when(F.col("band") == b, w) for b, w in WIDTHS.items()])
+    nodes = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal", band.alias("band")).withColumn("width", width).join(urgent, "c_custkey", "left")
+    return nodes, held
+
+
+def fit(x, y):
+    return (x["c_mktsegment"] == y["c_mktsegment"]) & (x["band"] == y["band"]) & cluster.fits(x, y, value="c_acctbal", width="width", contradictions=URGENCY)
+
+
+def _clusters(t, *, distractors: bool):
+    """Clusters of customers of one segment and band; a cluster with an urgent member takes five, any other three."""
+    nodes, held = people(t, distractors=distractors)
+    pairs = cluster.range_pairs(nodes, ["c_mktsegment", "band"], "c_custkey", "c_acctbal", "width", contradictions=URGENCY, shared=held)
+    about = nodes.select("c_custkey", F.struct("c_mktsegment", "band", "c_acctbal", "width", "urgency").alias("about"))
+    cap = lambda members: F.when(F.exists(members, lambda m: F.coalesce(m["urgency"] == "1-URGENT", F.lit(False))), 5).otherwise(3)
+    return about, pairs, cluster.clique_clusters(about, pairs, "c_custkey", fit=fit, cap=cap)
+
+
+@query("range_pairs", """
+WITH h AS (SELECT DISTINCT o_custkey AS c, l_partkey AS f FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 40),
+u AS (SELECT o_custkey AS c, min(o_orderpriority) AS u FROM orders WHERE o_totalprice > 300000 GROUP BY 1),
+n AS (SELECT c_custkey, c_mktsegment AS s, c_acctbal AS v, least(floor(greatest(c_acctbal, 0) / 2500), 3) AS b, u FROM customer LEFT JOIN u ON c = c_custkey),
+p AS (SELECT x.c_custkey AS a, y.c_custkey AS b FROM n x JOIN n y ON x.s = y.s AND x.b = y.b AND x.c_custkey < y.c_custkey AND abs(x.v - y.v) <= CASE x.b WHEN 0 THEN 300 WHEN 1 THEN 700 WHEN 2 THEN 1500 ELSE 400 END
+  WHERE NOT coalesce(least(x.u, y.u) = '1-URGENT' AND greatest(x.u, y.u) IN ('5-LOW', '4-NOT SPECIFIED') AND x.u IS NOT NULL AND y.u IS NOT NULL, false))
+SELECT a, b, count(*) AS n_shared FROM p JOIN h ha ON ha.c = a JOIN h hb ON hb.c = b AND ha.f = hb.f GROUP BY ALL""")
+def range_pairs(t):
+    """Customers of one segment and band whose balances differ by the band's width at most, who share a part and whose urgencies don't contradict each other."""
+    nodes, held = people(t, distractors=False)
+    return cluster.range_pairs(nodes, ["c_mktsegment", "band"], "c_custkey", "c_acctbal", "width", contradictions=URGENCY, shared=held)
+
+
+@query("clique_clusters")
+def clique_clusters(t):
+    return _clusters(t, distractors=False)[2]
+
+
+@query("clique_clusters_distractors")
+def clique_clusters_distractors(t):
+    """The same people with more links: what they hold besides makes larger and noisier clusters."""
+    return _clusters(t, distractors=True)[2]
+
+
+@query("cluster_faults", "SELECT 0 AS n_repeated, 0 AS n_unfit, 0 AS n_unlinked, 0 AS n_single FROM (SELECT count(*) FROM customer)")
+def cluster_faults(t):
+    """What both kinds of clusters must not have; every count is 0."""
+    about, pairs, found = _clusters(t, distractors=True)
+    return cluster.faults(found, about, pairs, "c_custkey", fit=fit)
