@@ -7,16 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bound, words
+from . import shortforms
+from .text import bound
 
 #: Units of an age and how many of them make a year, in the order in which they are looked for: fixed values.
 AGE_UNITS = ((r"(\d+)[- ]?(?:years?|y/?o)\b", 1.0), (r"(\d+)[- ]?months?[- ]old", 12.0), (r"(\d+)[- ]?weeks?[- ]old", 52.0), (r"(\d+)[- ]?days?[- ]old", 365.0))
 #: Endings of plurals of words with more than four characters, and what stands in their place: fixed values.
 PLURALS = (("ies", "y"), ("ses", "sis"), ("es", ""), ("s", ""))
-#: Short forms and their words: fixed values.
-ABBREVIATIONS = {"htn": "hypertension", "dm": "diabetes mellitus", "t2dm": "type 2 diabetes mellitus", "ckd": "chronic kidney disease", "mi": "myocardial infarction", "chf": "congestive heart failure", "copd": "chronic obstructive pulmonary disease", "sbo": "small bowel obstruction", "appy": "appendectomy"}
-#: Slashed forms and their words: fixed values.
-SLASHED = {"r/o": "rule out", "s/p": "status post", "w/": "with", "h/o": "history of", "c/w": "consistent with"}
 
 
 def age_years(c: Column) -> Column:
@@ -72,11 +69,19 @@ def stem(word: Column) -> Column:
     return F.array_min(F.transform(singular_forms(word), lambda f: F.struct(F.length(f).alias("n"), f.alias("form"))))["form"]
 
 
-def expanded_tokens(c: Column) -> Column:
-    """Lower-cased words with slashed and short forms written out."""
-    spaced = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(f" {e[1]} ")), SLASHED.items(), F.lower(c))
-    known = F.create_map(*[F.lit(x) for e in ABBREVIATIONS.items() for x in e])
-    return words(F.array_join(F.transform(words(F.regexp_replace(spaced, r"[,;:.()]", " ")), lambda w: F.coalesce(F.try_element_at(known, w), w)), " "))
+def written_out(c: Column, *, short: dict[str, str], slashed: dict[str, str]) -> Column:
+    """The runs of ASCII letters and digits of a text in lower case, with slashed forms replaced wherever they stand, hyphens as spaces, and each word that is a short form replaced by its words (by none, if it stands for nothing)."""
+    spaced = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(f" {e[1]} ")), slashed.items(), F.lower(c))
+    runs = lambda x: F.regexp_extract_all(x, F.lit("([a-z0-9]+)"), 1)
+    if not short:
+        return runs(spaced)
+    known = F.create_map(*[F.lit(x) for e in short.items() for x in e])
+    return runs(F.array_join(F.transform(runs(spaced), lambda w: F.coalesce(F.try_element_at(known, w), w)), " "))
+
+
+def expanded_tokens(c: Column, *, short: dict[str, str] | None = None, slashed: dict[str, str] | None = None) -> Column:
+    """written_out with the given lists, or else all of shortforms."""
+    return written_out(c, short=shortforms.CLINICAL | shortforms.IMAGING if short is None else short, slashed=shortforms.SLASHED if slashed is None else slashed)
 
 
 def problem_lines(note: Column, header: str = "PROBLEM LIST") -> Column:

@@ -60,19 +60,30 @@ def concepts(docs: DataFrame, id_col: str, text_col: str, inventory: DataFrame,
     """Rows (id_col, concept): the concepts of an inventory (concept, name) all of whose words a text holds; of concepts whose words are among those of another one found, only that one counts.
 
     Two words are alike if they share a singular form. A concept of one word that more than max_df texts hold tells nothing and is left out (None: none is). Texts and names without words hold nothing.
+
+    Texts meet a name by the name's rarest word alone; the other words are looked up in the text's own forms. Of what a text holds, lesser concepts are found within the text.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    listed = inventory.select("concept", words(F.col("name")).alias("words")).where("size(words) > 0")
-    each = listed.select("concept", F.size("words").alias("need"), F.explode("words").alias("word")).select("concept", "need", "word", F.explode(clinical.singular_forms(F.col("word"))).alias("form"))
-    held = docs.select(id_col, F.explode(F.array_distinct(F.flatten(F.transform(words(F.col(text_col)), clinical.singular_forms)))).alias("form"))
-    found = held.join(each, "form").groupBy(id_col, "concept", "need").agg(F.count_distinct("word").alias("n")).where("n = need").select(id_col, "concept", "need")
+    all_forms = lambda w: F.array_distinct(F.flatten(F.transform(w, clinical.singular_forms)))
+    named = inventory.select("concept", words(F.col("name")).alias("words")).where("size(words) > 0")
+    listed = named.groupBy("concept").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), F.max(F.size("words")).alias("need")).where("size(words) = need").select("concept", "words")
+    texts = docs.select(F.col(id_col).alias("_id"), all_forms(words(F.col(text_col))).alias("forms")).where("size(forms) > 0")
+    held = texts.select("_id", F.explode("forms").alias("form")).groupBy("_id", "form").agg(F.lit(1).alias("_one"))
+    common = held.groupBy("form").agg(F.count("*").alias("n"))
+    each = listed.select("concept", "words", F.explode("words").alias("word")).withColumn("form", F.explode(clinical.singular_forms(F.col("word"))))
+    cost = each.join(common, "form", "left").groupBy("concept", "words", "word").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.collect_list("form").alias("forms"))
+    rare = cost.groupBy("concept", "words").agg(F.min_by("forms", F.struct("n", "word")).alias("forms")).select("concept", "words", F.explode("forms").alias("form"))
+    likely = held.join(rare, "form").groupBy("_id").agg(F.collect_set(F.struct("concept", "words")).alias("likely"))
+    merged = held.groupBy("_id").agg(F.collect_list("form").alias("forms")).join(likely, "_id")
+    holds = lambda forms, c: F.forall(c["words"], lambda w: F.arrays_overlap(forms, clinical.singular_forms(w)))
+    found = merged.select("_id", F.filter("likely", lambda c: holds(F.col("forms"), c)).alias("all")).where("size(all) > 0")
     if max_df is not None:
-        known = found.where("need = 1").groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") > max_df).select("concept")
-        found = found.join(known, "concept", "left_anti")
-    other = each.select(F.col("concept").alias("over"), F.col("need").alias("over_need"), "form")
-    within = each.join(other, "form").where("need < over_need").groupBy("concept", "over", "need").agg(F.count_distinct("word").alias("n")).where("n = need").select("concept", "over")
-    lesser = found.join(within, "concept").join(found.select(id_col, F.col("concept").alias("over")), [id_col, "over"], "left_semi").select(id_col, "concept").distinct()
-    return found.select(id_col, "concept").join(lesser, [id_col, "concept"], "left_anti")
+        heavy = found.select("_id", F.explode("all").alias("c")).where("size(c.words) = 1").groupBy("c.concept").agg(F.count_distinct("_id").alias("n")).where(F.col("n") > max_df)
+        single = found.select("_id", F.explode("all").alias("c")).join(heavy.select(F.col("concept").alias("_heavy")), F.col("c.concept") == F.col("_heavy"), "left_anti")
+        found = single.groupBy("_id").agg(F.collect_list("c").alias("all"))
+    lesser = lambda c: F.exists("all", lambda o: (F.size(c["words"]) < F.size(o["words"])) & F.forall(c["words"], lambda w: F.arrays_overlap(clinical.singular_forms(w), all_forms(o["words"]))))
+    kept = found.select("_id", F.explode(F.filter("all", lambda c: ~lesser(c))).alias("c"))
+    return kept.select(F.col("_id").alias(id_col), F.col("c.concept").alias("concept")).distinct()
 
 
 def corrected(store: DataFrame, fixes: DataFrame, key: str, value: str) -> DataFrame:

@@ -151,11 +151,11 @@ def choice_split(t):
 
 
 @query("short_forms", """
-SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'history of hypertension with ' WHEN 1 THEN 'rule out congestive heart failure ' ELSE 'status post appendectomy ' END || lower(c_mktsegment) AS words, c_custkey % 2 = 0 AS safe FROM customer""")
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'history of hypertension with ' WHEN 1 THEN 'rule out congestive heart failure ' WHEN 2 THEN 'follow up post void residual nausea vomiting ' ELSE 'status post myocardial infarction concern for right lower extremity ' END || lower(c_mktsegment) AS words, c_custkey % 2 = 0 AS safe FROM customer""")
 def short_forms(t):
     """Short and slashed forms written out, and commands against a list of allowed programs."""
-    k = F.col("c_custkey") % 3
-    said = F.concat(F.when(k == 0, "h/o HTN, w/ ").when(k == 1, "r/o CHF; ").otherwise("s/p appy "), "c_mktsegment")
+    k = F.col("c_custkey") % 4
+    said = F.concat(F.when(k == 0, "h/o HTN, w/").when(k == 1, "(R/O CHF); cnh ").when(k == 2, "f/u PVR n/v: ").otherwise("s/p MI c/f RLE-"), "c_mktsegment")
     command = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("grep '"), "c_name", F.lit("' notes | sort"))).otherwise(F.concat(F.lit("grep x | rm "), "c_name"))
     return t.customer.select("c_custkey", F.array_join(clinical.expanded_tokens(said), " ").alias("words"), clinical.safe_command(command, ["grep", "sort"]).alias("safe"))
 

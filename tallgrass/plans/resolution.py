@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.functions import clinical, nested
-from tallgrass.operators import graph, hierarchy, metrics, resolve
+from tallgrass.operators import graph, hierarchy, metrics, phrases, resolve
 
 from .registry import query
 from .texts import FORMS, GRAMS
@@ -31,6 +31,33 @@ def concept_match(t):
     return resolve.concepts(turns, "id", "text", inventory)
 
 
+def _phrase_tables(t):
+    """An inventory of names of one to three words of the benchmark, and patterns of which some parts are prefixes."""
+    w = F.split("text", " ")
+    name = lambda *at: F.concat_ws(" ", *[F.get(w, F.lit(i)) for i in at])
+    names = F.array(name(0), name(1, 2), name(3, 4, 5))
+    inventory = t.benchmark.select("item_id", F.posexplode(names).alias("i", "name")).select(F.concat_ws("-", "item_id", "i").alias("concept"), "name")
+    part = lambda at: F.concat(F.left(F.get(w, F.lit(at)), F.lit(4)), F.lit("*"))
+    patterns = t.benchmark.select("item_id", F.posexplode(F.array(part(6), F.concat_ws(" ", part(7), F.get(w, F.lit(8))))).alias("i", "pattern"))
+    return inventory, patterns.select(F.col("item_id").cast("string").alias("concept"), (2 * F.col("item_id") + F.col("i")).alias("number"), F.lower(F.regexp_replace("pattern", "[^A-Za-z0-9* ]", "")).alias("pattern"))
+
+
+@query("phrase_concepts")
+def phrase_concepts(t):
+    """What each turn of a conversation names by phrases and patterns."""
+    return phrases.concepts(t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text", *_phrase_tables(t))
+
+
+@query("concept_agreement")
+def concept_agreement(t):
+    """Precision, recall and F1 of the concepts of each assistant's turn against those of the user's turn before it."""
+    turns = t.conversations.select("conv_id", "turn", "role", "text")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    pairs = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"]).select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("predicted"), "reference")
+    tables = _phrase_tables(t)
+    return phrases.agreement(pairs, "id", "predicted", "reference", lambda d, i, c: phrases.concepts(d, i, c, *tables))
+
+
 @query("name_cascade", f"""
 WITH k AS (SELECT p_name AS name, min(p_brand) AS code FROM part WHERE p_size <= 25 GROUP BY 1), a AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN p_name || 's' ELSE 'qqq' || p_partkey END AS name FROM part),
 x AS (SELECT a.name, k1.code AS c1, k2.code AS c2 FROM a LEFT JOIN k k1 ON a.name = k1.name LEFT JOIN k k2 ON a.name = upper(k2.name)),
