@@ -9,10 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-#: Words that deny what follows them in a clause: fixed values.
-CUES = ("no", "not", "without", "denies", "denied", "negative for", "absence of")
-_DENIED = re.compile(r"\b(?:" + "|".join(CUES) + r")\b[^.;:,]{0,30}$")
-
 
 def ratio(a: str, b: str) -> float:
     """Share of matching characters by longest matching blocks."""
@@ -37,38 +33,6 @@ def rouge_l(reference: list[str], summary: list[str]) -> float:
     return 2 * n / (len(reference) + len(summary))
 
 
-def denied(phrase: str, text: str) -> bool:
-    """Whether the phrase occurs and every occurrence stands within 30 characters after a denying word of its clause."""
-    phrase, text = phrase.lower(), text.lower()
-    at = [m.start() for m in re.finditer(re.escape(phrase), text)] if phrase else []
-    return bool(at) and all(_DENIED.search(text[max(0, i - 50) : i]) for i in at)
-
-
-def match_codes(given: list[str], predicted: list[str], key: int = 3) -> int:
-    """Number of pairs when each given code takes an equal code, and each one left one with the same first `key` characters, every code once."""
-    left = list(predicted)
-    rest = []
-    for g in given:
-        if g in left:
-            left.remove(g)
-        else:
-            rest.append(g)
-    pairs = len(given) - len(rest)
-    for g in rest:
-        near = [p for p in left if p[:key] == g[:key]]
-        if near:
-            left.remove(max(near, key=lambda p: (sum(1 for _ in iter_common(p, g)), p)))
-            pairs += 1
-    return pairs
-
-
-def iter_common(a: str, b: str):
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            return
-        yield x
-
-
 def column(fn, kind: str):
     """A column function over two columns from a function of two values; null if either is null."""
 
@@ -118,17 +82,3 @@ def salvage_json(text: str, keys: list[str]) -> str | None:
                 done = end
                 break
     return max(found, key=len, default=None)
-
-
-#: Flags and words that tell a direction: fixed values.
-DIRECTIONS = {"high": (r"\(H\)", "elevated", "high", "increased", "raised"), "low": (r"\(L\)", "decreased", "low", "reduced")}
-_RANGE = re.compile(r"(-?\d+(?:\.\d+)?)[^\d(]*\(\s*(?:ref(?:erence)?:?\s*)?(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\s*\)")
-
-
-def value_agrees(direction: str, window: str) -> bool:
-    """Whether a text shows a value in a direction (high or low): by its reference range if there is one, else by a flag or a word."""
-    if m := _RANGE.search(window):
-        value, low, high = map(float, m.groups())
-        return value > high if direction == "high" else value < low
-    flag, *said = DIRECTIONS[direction]
-    return bool(re.search(flag, window)) or any(re.search(rf"\b{w}\b", window.lower()) for w in said)

@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .names import fresh
+from .ordered import numbered, running
 
 
-def wilcoxon(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """Signed-rank sums, normal z and Cohen's d of paired values in each group; differences of zero are left out, equal sizes share their mean rank."""
+#: Abramowitz and Stegun, 26.2.17: the upper tail of the normal distribution, to 7.5e-8; fixed values.
+_TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def normal_tail(z: Column) -> Column:
+    """The probability that a standard normal value is greater than z, for z of 0 or more."""
+    t = 1 / (1 + 0.2316419 * z)
+    series = F.lit(0.0)
+    for c in reversed(_TAIL):
+        series = (series + c) * t
+    return F.exp(-z * z / 2) / 2.5066282746310002 * series
+
+
+def rank_sum_tail(doubled: Column, most: Column) -> Column:
+    """The share of all choices of signs under which the doubled ranks (an array of ints, halves being whole) with a plus sum up to `most` at most: the number of choices of each sum is folded rank by rank."""
+    total = F.aggregate(doubled, F.lit(0), lambda a, r: a + r)
+    start = F.transform(F.sequence(F.lit(0), total), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    counts = F.aggregate(doubled, start, lambda ways, r: F.transform(ways, lambda w, s: w + F.when(s >= r, F.get(ways, s - r)).otherwise(0.0)))
+    return F.aggregate(F.slice(counts, F.lit(1), most + 1), F.lit(0.0), lambda a, w: a + w) / F.pow(F.lit(2.0), F.size(doubled))
+
+
+def wilcoxon(pairs: DataFrame, group: str, a: str, b: str, *, exact: int = 50) -> DataFrame:
+    """Signed-rank sums, normal z, two-sided p and Cohen's d of paired values in each group; differences of zero are left out, equal sizes share their mean rank.
+
+    p comes from the distribution of the rank sums themselves up to `exact` differences, with half ranks for ties, and from z beyond. Ranks are counted over ranges, so that a group of any size is spread over tasks.
+    """
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, (F.col(a) - F.col(b)).alias("d"))
     size = rows.where("d <> 0").groupBy(group, F.abs("d").alias("m")).agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
-    before = F.sum("n").over(Window.partitionBy(group).orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = size.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
-    sums = ranked.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
-    n = F.col("n")
+    ranked = running(size, [group], ["m"], F.col("n"), before="_before", total="_all").withColumn("rank", F.col("_before") + (F.col("n") + 1) / 2)
+    few = F.when(F.col("_all") <= exact, F.array_repeat((2 * F.col("rank")).cast("int"), F.col("n").cast("int")))
+    sums = ranked.groupBy(group).agg(
+        F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"),
+        F.flatten(F.collect_list(few)).alias("ranks"),
+    )
+    n, least = F.col("n"), F.least("w_plus", "w_minus")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = F.when(spread > 0, (least - n * (n + 1) / 4) / spread)
+    p = F.least(F.lit(1.0), 2 * F.when(n <= exact, rank_sum_tail(F.col("ranks"), (2 * least).cast("int"))).otherwise(normal_tail(F.abs(z))))
     d = rows.groupBy(group).agg(F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
-    return sums.join(d, group).select(
-        group, "n", "w_plus", "w_minus", F.when(spread > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / spread).alias("z"), "mean_diff", F.when(F.col("sd") > 0, F.col("mean_diff") / F.col("sd")).alias("cohen_d"),
-    )
+    return sums.join(d, group).select(group, "n", "w_plus", "w_minus", z.alias("z"), p.alias("p"), "mean_diff", F.when(F.col("sd") > 0, F.col("mean_diff") / F.col("sd")).alias("cohen_d"))
 
 
 def bootstrap_mean(df: DataFrame, group: str, item: str, value: str, *, rounds: int = 200, seed: int = 7) -> DataFrame:
@@ -37,41 +65,19 @@ def bootstrap_mean(df: DataFrame, group: str, item: str, value: str, *, rounds:
     return df.groupBy(group).agg(F.avg(value).alias("mean")).join(found, group)
 
 
-def quota_split(df: DataFrame, strata: list[str], order: list, shares: dict[str, float], out: str = "split") -> DataFrame:
-    """Deals each stratum in order into splits by cumulative shares, rounded half to even, so that what one split is short of goes to the next."""
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(*strata))
+def quota_split(df: DataFrame, strata: list[str], order: list, shares: dict[str, float], out: str = "split", *, least: int = 0) -> DataFrame:
+    """Deals each stratum in order into splits by cumulative shares, rounded half to even, so that what one split is short of goes to the next; the first split gets `least` rows of every stratum at least. Places are counted over
+    ranges, so a stratum may be of any size; order holds names and columns."""
+    names = {fresh(df, f"_order{i}"): o for i, o in enumerate(order) if not isinstance(o, str)}
     place, size = fresh(df, "_rank"), fresh(df, "_n")
-    numbered = df.withColumn(place, rank).withColumn(size, n)
+    columns = iter(names)
+    placed = numbered(df.withColumns(names) if names else df, strata, [o if isinstance(o, str) else next(columns) for o in order], number=place, size=size).drop(*names)
     column, total = None, 0.0
     for name, share in shares.items():
         total += share
-        hit = F.col(place) <= F.bround(F.col(size) * F.lit(round(total, 9)), 0)
+        most = F.bround(F.col(size) * F.lit(round(total, 9)), 0)
+        hit = F.col(place) <= (F.greatest(most, F.lit(least)) if column is None and least else most)
         column = F.when(hit, name) if column is None else column.when(hit, name)
-    return numbered.withColumn(out, column.otherwise(list(shares)[-1])).drop(place, size)
-
+    return placed.withColumn(out, column.otherwise(list(shares)[-1])).drop(place, size)
 
-def greedy_groups(df: DataFrame, part: list[str], item: str, members: str, *, most: int = 5) -> DataFrame:
-    """Greedy clusters inside each part: the item with the most neighbours (sharing a member) that is still free takes its free neighbours in order of shared members, up to `most` items.
 
-    df has item and members (an array) and the part columns. Order matters, so every part is a sequential step of its own; ties go to the smaller item. A part must be of bounded size.
-    """
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = dict(sorted((i, frozenset(m)) for i, m in zip(rows[item], rows[members], strict=True)))
-        where: dict = {}
-        for i, m in sets.items():
-            for x in m:
-                where.setdefault(x, set()).add(i)
-        near = {i: {j for x in m for j in where[x]} - {i} for i, m in sets.items()}
-        free, out = set(sets), []
-        for seed in sorted(sets, key=lambda i: (-len(near[i]), i)):
-            if seed in free:
-                taken = [seed, *sorted(near[seed] & free, key=lambda j: (-len(sets[seed] & sets[j]), j))[: most - 1]]
-                free -= set(taken)
-                out += [(*rows[part].iloc[0], i, seed) for i in taken]
-        return pd.DataFrame(out, columns=[*part, item, "cluster"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(*part).applyInPandas(run, ", ".join([*[f"`{p}` {kinds[p]}" for p in part], f"`{item}` {kinds[item]}", f"cluster {kinds[item]}"]))

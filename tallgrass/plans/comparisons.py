@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.functions import similarity, text
-from tallgrass.operators import cluster, dedup, graph, stats
+from tallgrass.functions import similarity, stemming, text, values
+from tallgrass.operators import cluster, containment, dedup, graph, selection, stats
 
 from .registry import query
 
@@ -52,20 +52,40 @@ def greedy_matching(t):
     return sides.groupBy("l_orderkey").agg(F.sum(F.least("p", "g")).cast("int").alias("n_pairs"), F.sum("p").alias("_p"), F.sum("g").alias("_g")).where("_p > 0 AND _g > 0").select("l_orderkey", "n_pairs")
 
 
-@query("wilcoxon", """
-WITH m AS (SELECT o_custkey, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS a, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS b FROM orders GROUP BY 1),
-x AS (SELECT c_mktsegment, round(a - b, 2) AS d FROM customer JOIN m ON c_custkey = o_custkey WHERE a IS NOT NULL AND b IS NOT NULL),
-z AS (SELECT c_mktsegment, abs(d) AS m, count(*) AS n, sum((d > 0)::INT) AS up FROM x WHERE d <> 0 GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY c_mktsegment ORDER BY m) - n + (n + 1) / 2.0 AS rank FROM z),
-s AS (SELECT c_mktsegment, sum(n)::BIGINT AS n, sum(rank * up)::DOUBLE AS w_plus, sum(rank * (n - up))::DOUBLE AS w_minus, sum(n ** 3 - n)::DOUBLE AS ties FROM r GROUP BY 1),
-d AS (SELECT c_mktsegment, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM x GROUP BY 1)
-SELECT c_mktsegment, n, w_plus, w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48), 6) AS z, round(mean_diff, 1) AS mean_diff, round(mean_diff / sd, 6) AS cohen_d FROM s JOIN d USING (c_mktsegment)""")
-def wilcoxon(t):
-    """Each customer segment's order prices of two statuses, paired by customer."""
+TAIL = "exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
+SIGNED_RANKS = """
+WITH RECURSIVE m AS (SELECT o_custkey, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS a, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS b FROM orders GROUP BY 1),
+x AS (SELECT GROUP AS grp, round(a - b, ROUND) AS d FROM customer JOIN m ON c_custkey = o_custkey WHERE a IS NOT NULL AND b IS NOT NULL),
+z AS (SELECT grp, abs(d) AS m, count(*) AS n, sum((d > 0)::INT) AS up FROM x WHERE d <> 0 GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY m) - n + (n + 1) / 2.0 AS rank FROM z),
+s AS (SELECT grp, sum(n)::BIGINT AS n, sum(rank * up)::DOUBLE AS w_plus, sum(rank * (n - up))::DOUBLE AS w_minus, sum(n ** 3 - n)::DOUBLE AS ties FROM r GROUP BY 1),
+e AS (SELECT grp, (2 * rank)::INT AS r, row_number() OVER (PARTITION BY grp ORDER BY rank) AS k FROM (SELECT grp, rank, unnest(range(n::BIGINT)) FROM r) JOIN s USING (grp) WHERE s.n <= EXACT),
+w AS (SELECT grp, 0::BIGINT AS k, 0 AS total, 1.0::DOUBLE AS ways FROM s WHERE n <= EXACT
+  UNION ALL SELECT grp, k, total, sum(ways) FROM (SELECT w.grp, w.k + 1 AS k, unnest([w.total, w.total + e.r]) AS total, w.ways FROM w JOIN e ON e.grp = w.grp AND e.k = w.k + 1) GROUP BY ALL),
+q AS (SELECT w.grp, sum(ways) / 2.0 ** any_value(s.n) AS tail FROM w JOIN s ON s.grp = w.grp AND w.k = s.n WHERE total <= (2 * least(w_plus, w_minus))::INT GROUP BY w.grp),
+d AS (SELECT grp, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM x GROUP BY 1),
+y AS (SELECT *, (least(w_plus, w_minus) - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48), 0) AS zz FROM s JOIN d USING (grp)),
+v AS (SELECT *, abs(zz) AS z, 1 / (1 + 0.2316419 * abs(zz)) AS t FROM y)
+SELECT v.grp AS GROUP, n, w_plus, w_minus, round(zz, 6) AS z, round(least(1.0, 2 * CASE WHEN n <= EXACT THEN tail ELSE TAIL END), 7) AS p, round(mean_diff, 1) AS mean_diff, round(mean_diff / nullif(sd, 0), 6) AS cohen_d FROM v LEFT JOIN q ON q.grp = v.grp""".replace("TAIL", TAIL)
+
+
+def _signed_ranks(t, group: str, digits: int, exact: int):
+    """Order prices of two statuses, paired by customer, in groups of customers."""
     means = t.orders.groupBy("o_custkey").agg(F.round(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), 2).alias("a"), F.round(F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))), 2).alias("b"))
-    pairs = t.customer.select("c_custkey", "c_mktsegment").join(means, F.col("c_custkey") == F.col("o_custkey"))
-    found = stats.wilcoxon(pairs.withColumn("a", F.round(F.col("a") - F.col("b"), 2)).withColumn("b", F.when(F.col("b").isNotNull(), F.lit(0.0))), "c_mktsegment", "a", "b")
-    return found.withColumns({"z": F.round("z", 6), "mean_diff": F.round("mean_diff", 1), "cohen_d": F.round("cohen_d", 6)})
+    pairs = t.customer.select("c_custkey", group).join(means, F.col("c_custkey") == F.col("o_custkey"))
+    found = stats.wilcoxon(pairs.withColumn("a", F.round(F.col("a") - F.col("b"), digits)).withColumn("b", F.when(F.col("b").isNotNull(), F.lit(0.0))), group, "a", "b", exact=exact)
+    return found.withColumns({"z": F.round("z", 6), "p": F.round("p", 7), "mean_diff": F.round("mean_diff", 1), "cohen_d": F.round("cohen_d", 6)})
+
+
+@query("wilcoxon", SIGNED_RANKS.replace("GROUP AS", "c_mktsegment AS").replace("AS GROUP", "AS c_mktsegment").replace("ROUND)", "2)").replace("EXACT", "0"))
+def wilcoxon(t):
+    return _signed_ranks(t, "c_mktsegment", 2, 0)
+
+
+@query("wilcoxon_exact", SIGNED_RANKS.replace("GROUP AS", "c_nationkey AS").replace("AS GROUP", "AS c_nationkey").replace("ROUND)", "-4)").replace("EXACT", "50"))
+def wilcoxon_exact(t):
+    """By nation, with prices rounded so that differences tie; nations of at most fifty customers get exact p-values."""
+    return _signed_ranks(t, "c_nationkey", -4, 50)
 
 
 @query("bootstrap_ci")
@@ -73,6 +93,71 @@ def bootstrap_ci(t):
     return stats.bootstrap_mean(t.events, "event_type", "event_id", "value")
 
 
+@query("hallucination_rate", r"""
+WITH p AS (SELECT a.conv_id, a.turn, a.text AS said, u.text AS source FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' AND a.role = 'assistant'),
+s AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(trim(said), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 10) AS sent, SETS(source) AS own FROM p)
+SELECT conv_id, turn, round(CASE WHEN len(sent) > 0 THEN len(list_filter(list_transform(sent, lambda x: SETS(x)), lambda k: len(list_intersect(k, own)) < 0.15 * len(k))) / len(sent) ELSE 0.0 END, 6) AS rate FROM s""".replace("SETS(source)", "list_distinct(list_filter(regexp_split_to_array(lower(source), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))").replace("SETS(x)", "list_distinct(list_filter(regexp_split_to_array(lower(x), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"))
+def hallucination_rate(t):
+    """The share of each assistant's turn whose sentences have hardly a word of the user's turn before it."""
+    turns = t.conversations
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
+    return turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"]).select("conv_id", "turn", F.round(containment.ungrounded_rate(F.col("text"), F.col("source")), 6).alias("rate"))
+
+
+SETS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
+
+
+@query("contained_passages", f"""
+WITH b AS (SELECT item_id, unnest({SETS}) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), d AS (SELECT doc_id, unnest({SETS}) AS w FROM documents)
+SELECT item_id, doc_id, round(count(*) / any_value(n), 6) AS share FROM b JOIN d USING (w) JOIN n USING (item_id) GROUP BY item_id, doc_id HAVING count(*) >= 0.6 * any_value(n) - 1e-9""")
+def contained_passages(t):
+    """Documents that have three of five words of a benchmark passage at least."""
+    sets = lambda df, key: df.select(key, containment.word_set(F.col("text")).alias("words"))
+    return containment.containment_join(sets(t.benchmark, "item_id"), "item_id", sets(t.documents, "doc_id"), "doc_id", "words", least=0.6).withColumn("share", F.round("share", 6))
+
+
+@query("omission_rate", """
+WITH w AS (SELECT DISTINCT item_id % 50 AS k, split_part(text, ' ', 3) AS f FROM benchmark), d AS (SELECT doc_id, doc_id % 50 AS k, lower(text) AS text FROM documents)
+SELECT doc_id, count(f) AS n_wanted, round(CASE WHEN count(f) > 0 THEN 1 - avg(contains(text, lower(f))::INT) END, 6) AS omitted FROM d LEFT JOIN w USING (k) GROUP BY doc_id""")
+def omission_rate(t):
+    """The share of the words that documents of a group should name, and don't."""
+    wanted = t.benchmark.select((F.col("item_id") % 50).alias("k"), F.get(F.split("text", " "), F.lit(2)).alias("f")).distinct()
+    due = t.documents.select("doc_id", (F.col("doc_id") % 50).alias("k")).join(wanted, "k").select("doc_id", "f")
+    return containment.omission_rates(t.documents.select("doc_id", "text"), due, "doc_id", "text", "f").withColumn("omitted", F.round("omitted", 6))
+
+
+@query("rouge_l_stemmed")
+def rouge_l_stemmed(t):
+    """Each assistant turn against the user's turn before it, on stems."""
+    turn = t.conversations.select("conv_id", "turn", "role", stemming.summary_words(F.col("text")).alias("w"))
+    asked = turn.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("asked"))
+    both = turn.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", F.round(similarity.column(similarity.rouge_l, "double")("asked", "w"), 6).alias("rouge_l"))
+
+
+@query("value_links", """
+WITH n AS (SELECT c_custkey, c_acctbal, floor(abs(c_acctbal) / 100)::INT AS v, c_custkey % 5 AS kind FROM customer)
+SELECT c_custkey, CASE kind WHEN 0 THEN v > 55 WHEN 1 THEN v > 55 WHEN 2 THEN true WHEN 3 THEN false ELSE v < 20 END AS agrees FROM n""")
+def value_links(t):
+    """Whether a customer's note, of five shapes, reports what a finding says: by a range after or before the value, by a word, denied, or under another name."""
+    v, kind = F.floor(F.abs("c_acctbal") / 100).cast("int").cast("string"), F.col("c_custkey") % 5
+    note = F.when(kind == 0, F.concat(F.lit("Albumin 41 g/L. Sodium "), v, F.lit(" mmol/L (ref 20 - 55), stable"))).when(kind == 1, F.concat(F.lit("na+ (20 to 55): "), v)).when(kind == 2, F.concat(F.lit("known hypertension; raised SODIUM? sodium was elevated at "), v))
+    note = note.when(kind == 3, F.concat(F.lit("no elevated sodium, ferritin high "), v)).otherwise(F.concat(F.lit("Labs: Ferritin "), v, F.lit(" ug/L, normal 20–55")))
+    finding = F.when(kind == 2, "Hypernatremia").when(kind == 4, "Decreased ferritin").otherwise("Elevated serum sodium")
+    return t.customer.select("c_custkey", values.value_agrees(finding, note).alias("agrees"))
+
+
+@query("covering_selection", """
+WITH o AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS k FROM orders GROUP BY 1), e AS (SELECT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_discount >= 0.09 GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 7)
+SELECT o_custkey, n FROM o WHERE n BETWEEN 5 AND 30 AND k = (SELECT count(DISTINCT o_orderpriority) FROM orders) AND o_custkey NOT IN (SELECT o_custkey FROM e)""")
+def covering_selection(t):
+    """Customers with 5 to 30 orders of every priority there is, but for those whom seven suppliers or more have given the highest discounts."""
+    sizes = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    fit = selection.selected(sizes, "o_custkey", "n", t.orders, "o_orderpriority", t.orders.select("o_orderpriority"), least=5, most=30)
+    results = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey", "l_discount")
+    return selection.below_ceiling(fit, "o_custkey", results, "l_suppkey", "l_discount", least=0.09, solvers=7)
+
+
 @query("quota_carry", """
 SELECT doc_id, CASE WHEN r <= round_even(n * 0.1, 0) THEN 'dev' WHEN r <= round_even(n * 0.3, 0) THEN 'test' ELSE 'train' END AS split FROM (
   SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY lang, source) AS n FROM documents)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.operators import pairs
+from tallgrass.operators import ordered, pairs, stats, tiers
 
 from .registry import query, sql
 
@@ -97,14 +97,45 @@ SELECT o_custkey, CASE WHEN points >= 5 THEN 'hard' WHEN points >= 3 THEN 'mediu
   SELECT o_custkey, CASE WHEN count(*) >= 15 THEN 3 WHEN count(*) >= 8 THEN 2 ELSE 1 END + CASE WHEN count(DISTINCT o_orderpriority) >= 4 THEN 2 ELSE 0 END + CASE WHEN max(o_totalprice) > 400000 THEN 1 ELSE 0 END AS points
   FROM {orders} GROUP BY o_custkey) x""")
 
-sql("stratified_split", """
-SELECT doc_id, CASE WHEN rn <= greatest(1, rint(n * 0.2)) THEN 'dev' ELSE 'train' END AS split FROM (
-  SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY sha2(concat('7:', doc_id), 256), doc_id) AS rn, count(*) OVER (PARTITION BY lang, source) AS n FROM {documents}) x""",
-    """SELECT doc_id, CASE WHEN rn <= greatest(1, round_even(n * 0.2, 0)) THEN 'dev' ELSE 'train' END AS split FROM (
+
+@query("stratified_split", """SELECT doc_id, CASE WHEN rn <= greatest(1, round_even(n * 0.2, 0)) THEN 'dev' ELSE 'train' END AS split FROM (
   SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(concat('7:', doc_id)), doc_id) AS rn, count(*) OVER (PARTITION BY lang, source) AS n FROM documents) x""")
+def stratified_split(t):
+    """A fifth of each language and source, one document at least, in the order of a salted hash."""
+    docs = t.documents.select("doc_id", "lang", "source")
+    return stats.quota_split(docs, ["lang", "source"], [F.sha2(F.concat(F.lit("7:"), F.col("doc_id").cast("string")), 256), "doc_id"], {"dev": 0.2, "train": 0.8}, least=1).select("doc_id", "split")
+
 
-sql("nested_tiers", """
-SELECT doc_id, CASE WHEN pr <= 0.1 THEN 'small' WHEN pr <= 0.4 THEN 'medium' ELSE 'large' END AS tier FROM (
-  SELECT doc_id, percent_rank() OVER (PARTITION BY lang, source ORDER BY sha2(concat('3:', doc_id), 256), doc_id) AS pr FROM {documents}) x""",
-    """SELECT doc_id, CASE WHEN pr <= 0.1 THEN 'small' WHEN pr <= 0.4 THEN 'medium' ELSE 'large' END AS tier FROM (
+@query("nested_tiers", """SELECT doc_id, CASE WHEN pr <= 0.1 THEN 'small' WHEN pr <= 0.4 THEN 'medium' ELSE 'large' END AS tier FROM (
   SELECT doc_id, percent_rank() OVER (PARTITION BY lang, source ORDER BY sha256(concat('3:', doc_id)), doc_id) AS pr FROM documents) x""")
+def nested_tiers(t):
+    """Tiers that hold each other, by the place of a document among those of its language and source."""
+    docs = t.documents.select("doc_id", "lang", "source", F.sha2(F.concat(F.lit("3:"), F.col("doc_id").cast("string")), 256).alias("h"))
+    placed = ordered.numbered(docs, ["lang", "source"], ["h", "doc_id"], number="k", size="n")
+    share = F.when(F.col("n") > 1, (F.col("k") - 1) / (F.col("n") - 1)).otherwise(0.0)
+    return placed.select("doc_id", F.when(share <= 0.1, "small").when(share <= 0.4, "medium").otherwise("large").alias("tier"))
+
+
+@query("field_tiers", """
+WITH o AS (SELECT DISTINCT o_custkey AS entity, l_suppkey AS finding, CAST(replace(p_brand, 'Brand#', '') AS INT) AS condition FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
+h AS (SELECT condition, field FROM (SELECT CAST(replace(p_brand, 'Brand#', '') AS INT) AS condition, p_type AS field, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS k FROM part GROUP BY p_brand, p_type) WHERE k = 1),
+f AS (SELECT DISTINCT p_type AS field FROM part), c AS (SELECT DISTINCT condition FROM h), g AS (SELECT x.condition AS a, y.condition AS b, (x.condition + y.condition) % 17 AS m FROM c x JOIN c y ON x.condition <> y.condition WHERE (x.condition + y.condition) % 17 IN (0, 1)),
+p AS (SELECT DISTINCT entity, condition FROM o), i AS (SELECT DISTINCT entity, field FROM p JOIN h USING (condition)),
+l AS (SELECT o.entity, h.field, o.finding, 0 AS tier FROM o JOIN h USING (condition) UNION ALL SELECT o.entity, h.field, o.finding, 1 + m FROM o JOIN g ON o.condition = a JOIN p ON p.entity = o.entity AND p.condition = b JOIN h ON h.condition = b),
+n AS (SELECT DISTINCT entity, finding FROM o),
+b AS (SELECT i.entity, i.field, n.finding, coalesce(min(l.tier), 3) AS tier FROM i JOIN n USING (entity) LEFT JOIN l ON l.entity = i.entity AND l.field = i.field AND l.finding = n.finding GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity, field, tier ORDER BY finding) AS rank FROM b),
+s AS (SELECT entity, field, row_number() OVER (PARTITION BY entity ORDER BY field) AS j FROM (SELECT DISTINCT entity FROM o) CROSS JOIN f WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.entity = o.entity AND i.field = f.field)),
+a AS (SELECT s.entity, s.field, n.finding, row_number() OVER (PARTITION BY s.entity, s.field ORDER BY finding) AS rank FROM s JOIN n USING (entity) WHERE j <= 2)
+SELECT entity, field, 'involved' AS involvement, ['primary', 'relevant', 'neutral', 'excluded'][tier + 1] AS tier, rank, finding FROM r WHERE rank <= CASE tier WHEN 3 THEN 15 ELSE 20 END
+UNION ALL SELECT entity, field, 'absent', 'excluded', rank, finding FROM a WHERE rank <= 15""".replace("FROM (SELECT DISTINCT entity FROM o) CROSS JOIN f WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.entity = o.entity AND i.field = f.field)", "FROM (SELECT DISTINCT entity FROM o) e CROSS JOIN f WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.entity = e.entity AND i.field = f.field)"))
+def field_tiers(t):
+    """For each customer and type of parts, the suppliers by tier: brands are the conditions, at home in their most frequent type, and linked where their numbers add up to a multiple of 17 (gold) or one more (neutral)."""
+    number = F.regexp_replace("p_brand", "Brand#", "").cast("int")
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    owners = lines.select(F.col("o_custkey").alias("entity"), F.col("l_suppkey").alias("finding"), number.alias("condition"))
+    home = t.part.groupBy(number.alias("condition"), F.col("p_type").alias("field")).agg(F.count("*").alias("n")).groupBy("condition").agg(F.min_by("field", F.struct((-F.col("n")).alias("n"), F.col("field"))).alias("field"))
+    brands = home.select("condition").distinct()
+    rest = brands.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("r", F.pmod(F.col("m") - F.col("condition"), F.lit(17)))
+    links = rest.join(brands.select(F.col("condition").alias("b"), F.pmod("condition", F.lit(17)).alias("r")), "r").where("condition <> b").select(F.col("condition").alias("a"), "b", "m")
+    return tiers.tiers(owners, home, links.where("m = 0"), links.where("m = 1"), t.part.select(F.col("p_type").alias("field")))

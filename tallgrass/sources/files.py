@@ -134,26 +134,3 @@ def _notes(path: str, content: bytes) -> list[tuple]:
         return out
     finally:
         os.unlink(f.name)
-
-
-def unread_files(found: DataFrame, done: DataFrame, key: str = "filename") -> DataFrame:
-    """Files that aren't in the list of those already read."""
-    return found.join(done, key, "left_anti")
-
-
-def outermost_boxes(boxes: DataFrame, group: str) -> DataFrame:
-    """Boxes (x0, y0, x1, y1) of a group that no other box holds; of equal boxes the one with the smallest id stays."""
-    b = boxes.select(group, *[F.col(c).alias(f"b_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-    holds = "b_x0 <= x0 AND b_y0 <= y0 AND b_x1 >= x1 AND b_y1 >= y1 AND b_id <> id AND (b_x0 < x0 OR b_y0 < y0 OR b_x1 > x1 OR b_y1 > y1 OR b_id < id)"
-    return boxes.alias("a").join(b.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & F.expr(holds), "left_anti")
-
-
-def table_text(cells: DataFrame, table: str, row: str) -> DataFrame:
-    """Text of tables given as rows of cells (array of strings): a row with an empty first cell continues the row before it; blank rows go."""
-    from tallgrass.operators.timeline import islands
-
-    live = cells.where(F.exists("cells", lambda c: F.trim(c) != ""))
-    runs = islands(live, [table], [row], F.trim(F.get("cells", F.lit(0))) != "", "_run")
-    lines = runs.withColumn("line", F.array_join(F.filter(F.transform("cells", lambda c: F.replace(F.trim(c), F.lit("\n"), F.lit("; "))), lambda c: c != ""), " | "))
-    merged = lines.groupBy(table, "_run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(row, "line"))), lambda x: x["line"]), " ").alias("line"))
-    return merged.groupBy(table).agg(F.concat(F.lit("[TABLE]\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", "line"))), lambda x: x["line"]), "\n"), F.lit("\n[/TABLE]")).alias("text"))

@@ -90,7 +90,13 @@ def test_corrections(spark):
 def test_clusters_by_rounds_equal_the_sequential_ones(spark):
     rng = np.random.default_rng(8)
     sets = {int(i): sorted({int(x) for x in rng.integers(0, 60, rng.integers(0, 5))}) for i in range(1, 81)}
-    want = {r.i: r.cluster for r in stats.greedy_groups(spark.createDataFrame([("p", i, m) for i, m in sets.items()], "p string, i int, m array<int>"), ["p"], "i", "m", most=4).collect()}
+    near = {i: {j for j in sets if j != i and set(sets[i]) & set(sets[j])} for i in sets}
+    free, want = set(sets), {}
+    for seed in sorted(sets, key=lambda i: (-len(near[i]), i)):
+        if seed in free:
+            taken = [seed, *sorted(near[seed] & free, key=lambda j: (-len(set(sets[seed]) & set(sets[j])), j))[:3]]
+            free -= set(taken)
+            want |= {i: seed for i in taken}
     links = [(a, b, len(set(sets[a]) & set(sets[b]))) for a in sets for b in sets if a != b and set(sets[a]) & set(sets[b])]
     nodes = spark.createDataFrame([(i,) for i in [*sets, 1, None]], "i int")
     got = {r.i: r.cluster for r in graph.greedy_clusters(nodes, spark.createDataFrame(links, "a int, b int, w int"), "i", most=4).collect()}

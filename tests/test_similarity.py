@@ -24,17 +24,6 @@ def test_lcs():
     assert similarity.rouge_l([], ["a"]) == 0.0
 
 
-def test_denied():
-    assert similarity.denied("fever", "Patient denies fever.") and similarity.denied("chest pain", "no chest pain")
-    assert not similarity.denied("fever", "has fever") and not similarity.denied("fever", "no fever yesterday; fever today") and not similarity.denied("", "x")
-
-
-def test_match_codes():
-    assert similarity.match_codes(["E11.9", "I10"], ["I10", "E11.2", "E11.3"]) == 2
-    assert similarity.match_codes(["E11.9", "E11.8"], ["E11.2"]) == 1
-    assert similarity.match_codes([], ["A"]) == 0
-
-
 def test_wilcoxon(spark):
     rows = [("g", a, b) for a, b in [(125, 110), (115, 122), (130, 125), (140, 120), (140, 140), (115, 124), (140, 123), (125, 137), (140, 135), (135, 145)]]
     r = stats.wilcoxon(spark.createDataFrame(rows, "g string, a int, b int"), "g", "a", "b").first()
@@ -45,9 +34,3 @@ def test_bootstrap(spark):
     rows = [("g", i, float(i % 10)) for i in range(500)]
     r = stats.bootstrap_mean(spark.createDataFrame(rows, "g string, i int, v double"), "g", "i", "v").first()
     assert r["mean"] == 4.5 and 4.0 < r.low < 4.5 < r.high < 5.0
-
-
-def test_greedy_groups(spark):
-    rows = [("p", 1, ["a", "b"]), ("p", 2, ["a"]), ("p", 3, ["b"]), ("p", 4, ["z"]), ("q", 5, ["a"])]
-    got = {r.i: r.cluster for r in stats.greedy_groups(spark.createDataFrame(rows, "p string, i int, m array<string>"), ["p"], "i", "m", most=2).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
