@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, held_out
-from .learning import class_sample
+from .learning import class_sample, seldom
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
-#: The sample that the network is fitted on: labelled documents of each language (a quarter more at most).
+#: The sample that the network is fitted on: labelled documents of each language that is a class, see learning.py (a quarter more at most).
 PER_LANGUAGE = 400
 #: Steps of training, so many passes over the sample as they make, one at least.
 STEPS, BATCH, RATE, SEED = 1500, 64, 4e-3, 11
@@ -123,7 +123,7 @@ class Predictor:
 def fit(docs: DataFrame, *, text_col: str, lang_col: str, key: list[str]) -> tuple[list[str], dict]:
     """Languages and parameters, from the rows of docs that have a text with a letter and a language. No such row: no language.
 
-    PER_LANGUAGE documents (a quarter more at most) of each language are used, each with all windows of its text.
+    PER_LANGUAGE documents (a quarter more at most) of each of the learning.CLASSES most frequent languages are used, each with all windows of its text; texts over learning.LONG bytes are drawn the less often the longer they are.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,6 +136,7 @@ def fit(docs: DataFrame, *, text_col: str, lang_col: str, key: list[str]) -> tup
 
     learn = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
     sample, bound = class_sample(learn, "lang", [f"_k{i}" for i in range(len(key))] + ["text"], per_class=PER_LANGUAGE)
+    sample = sample.where(seldom(F.col("_draw"), F.col("text")))
     rows = sample.select("lang", "text", F.col("_draw").alias("draw")).mapInPandas(cut, "lang string, windows binary, draw bigint").orderBy("draw", "lang", "windows").limit(bound).collect()
     langs = sorted({r["lang"] for r in rows})
     parts = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in rows]

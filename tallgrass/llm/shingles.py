@@ -3,9 +3,10 @@
 Texts with equal shingle sets are one node. Nodes are proposed to each other if they share a bucket: one of BANDS hashes of ROWS min-hashes each, or a group of SimHash fingerprints of the shingle
 sets that a trie has linked within the Hamming budget (see simhash.py). A pair with similarity s misses all bands with probability (1 - s^ROWS)^BANDS, whatever the edit: 7 in 100,000 at 0.8.
 
-A bucket is never taken on trust. Its members are compared with one of them first, and what is linked by then needs no further test. Of buckets that hold several components after that (one of those with the
-same members) the sets meet in a task, which counts the shingles that members of different components share, all at once as a product of matrices, and gives a spanning forest of the links. A crowded bucket is
-cut into chunks, and every two chunks are compared in a task of their own. The components are those of all proposed pairs that reach the threshold.
+A bucket is never taken on trust. HUBS times its members are compared with one of them, which then leaves the bucket; what is linked by then needs no further test, and a bucket of one component is done. What the rounds leave, members
+of buckets that still hold several components, is joined by rare shingles: with shingles in one order for all sets, the frequent ones last, a larger set x and a smaller set y that reach the threshold share a shingle among the first
+|x| - 0.8 |x| + 1 of x and the first |y| - 8/9 |y| + 1 of y, behind each of which enough shingles are left. So sets of one template whose own parts differ too much don't meet at all, and no pair that is alike is lost. Only names,
+places and sizes are joined; whole sets move for pairs that pass, and every pair is tested exactly once a round. The components are those of all proposed pairs that reach the threshold.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import fresh, shared_dir
 from .components import connected
-from .simhash import _LOWER, BROADCAST_ROWS, BUDGET, Forest, hamming_links
+from .simhash import _LOWER, BROADCAST_ROWS, BUDGET, hamming_links
 
 WIDTH = 5
 #: The threshold as a fraction, so that comparisons are exact.
 LIKE = 4, 5
 BANDS, ROWS = 24, 5
-#: Most nodes of a bucket in a task, from each of the two chunks that meet there; shingles that are counted at once.
-CHUNK, COLUMNS = 256, 4096
+#: Rounds in which every bucket compares its members with one of them; cells of the table that orders shingles by how frequent they are (4 MB, whatever the input).
+HUBS, CELLS = 4, 1 << 20
 _RNG = np.random.default_rng(42)
 _XOR, _TIMES = (_RNG.integers(0, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -103,63 +104,62 @@ def _buckets(nodes: DataFrame, budget: int) -> DataFrame:
     return members.join(wide, "bucket").distinct().checkpoint()
 
 
-def set_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between sets with different labels that reach the threshold: nodes, and for each the one that it is linked to."""
-    size = np.array([len(s) for s in sets])
-    value, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, mine = np.repeat(np.arange(len(sets)), size), (count > 1)[of]
-    owner, of = owner[mine], (np.cumsum(count > 1) - 1)[of[mine]]
-    order = np.argsort(of, kind="stable")
-    owner, of = owner[order], of[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    at = 0
-    while at < len(of):  # some thousand shingles at a time
-        end = int(np.searchsorted(of, of[at] + COLUMNS))
-        held = np.zeros((len(sets), COLUMNS), np.float32)
-        held[owner[at:end], of[at:end] - of[at]] = 1
-        both += held @ held.T
-        at = end
-    linked = (both * LIKE[1] >= LIKE[0] * (size[:, None] + size[None, :] - both)) & (label[:, None] != label[None, :])
-    forest = Forest(len(sets))
-    forest.merge(*np.nonzero(np.triu(linked, 1)))
-    root = forest.root(np.arange(len(sets)))
-    joined = np.flatnonzero(root != np.arange(len(sets)))
-    return node[joined], node[root[joined]]
-
-
-def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from rows (bucket, task, node, label, s) that come group by group."""
-    group, held = None, []
-
-    def links() -> pa.RecordBatch:
-        node, label, sets = zip(*held, strict=True)
-        a, b = set_links(np.array(node), np.array(label), [np.frombuffer(s, np.uint64) for s in sets])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        for bucket, task, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (bucket, task) != group and held:
-                yield links()
-                held = []
-            group = bucket, task
-            held.append(row)
-    if held:
-        yield links()
-
-
-def _within(named: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
-    """Links (a, b) between the nodes of each bucket that has several labels; named has rows (bucket, node, label)."""
-    mark = F.xxhash64("node")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y"))
-    mixed = mixed.where("least <> most").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != own) | (F.col("chunks") == 1)), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
-    dealt = named.join(mixed, "bucket").select("bucket", F.explode(pairs).alias("task"), "node", "label").join(sets.toDF("node", "s"), "node").select("bucket", "task", "node", "label", "s")
-    return dealt.repartition("bucket", "task").sortWithinPartitions("bucket", "task").mapInArrow(_link_buckets, "a bigint, b bigint")
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets (column s) fall into each of CELLS cells."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int32)
+        for b in batches:
+            for s in b.column(0):
+                np.add.at(total, _cells(np.frombuffer(s.as_buffer(), np.uint64)), 1)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
+
+    out = np.zeros(CELLS, np.int32)
+    for r in sets.select("s").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["cell"]] = min(r["n"], np.iinfo(np.int32).max)
+    return out
+
+
+def rare_prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, in order, of which a set that is alike and not larger has one, and how many of them a set that is alike and not smaller has one of."""
+    n = len(s)
+    first = n - -(-LIKE[0] * n // LIKE[1]) + 1
+    among = n - -(-2 * LIKE[0] * n // (LIKE[0] + LIKE[1])) + 1
+    return s[np.lexsort((s, frequency[_cells(s)]))[:first]], among
 
 
-def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = BUDGET, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, digest, node), one for each row of docs, and roots (node, root), one for each node that is linked to another."""
+def _rare_pairs(rest: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """Pairs of the rest (node, label, s) that may be alike and have different labels: a, b, la, lb."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [(*rare_prefix(s, frequency), len(s)) for s in (np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("s"))]
+            for at in range(0, len(parts), 500):
+                some = parts[at : at + 500]
+                k = [len(p) for p, _, _ in some]
+                place = np.concatenate([np.arange(n) for n in k]) if k else np.zeros(0, np.int64)
+                cols = [np.repeat(np.asarray(b.column(c))[at : at + 500], k) for c in ("node", "label")] + [np.concatenate([p for p, _, _ in some]).view(np.int64), np.repeat([n for _, _, n in some], k), place, place < np.repeat([m for _, m, _ in some], k)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["node", "label", "shingle", "size", "place", "low"])
+
+    each = rest.select("node", "label", "s").mapInArrow(prefixes, "node bigint, label bigint, shingle bigint, size int, place int, low boolean")
+    common = each.groupBy("shingle").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("shingle")
+    each = each.join(common, "shingle").checkpoint()
+    x = each.select("shingle", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("place").alias("px"))
+    y = each.where("low").select("shingle", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), F.col("place").alias("py"))
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # as many shingles at most can still be common
+    enough = left * (LIKE[0] + LIKE[1]) >= LIKE[0] * (F.col("nx") + F.col("ny"))
+    larger = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
+    met = x.join(y, "shingle").where(larger & (F.col("lx") != F.col("ly")) & (F.col("ny") * LIKE[1] >= F.col("nx") * LIKE[0]) & enough)
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("lx").alias("la"), F.col("ly").alias("lb"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
+
+
+def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = BUDGET, hubs: int = HUBS) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, digest, node), one for each row of docs, and roots (node, root), for all nodes that share a bucket with another."""
     shared_dir(docs.sparkSession)
     text = F.col(text_col)
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), sketch_udf(text).alias("s")).select("id", "digest", "s.*").checkpoint()
@@ -172,24 +172,41 @@ def near_classes(docs: DataFrame, *, id_col: str, text_col: str, budget: int = B
     one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one  # then only the texts that are asked for leave their tasks
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     sets = texts.join(one, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("digest_"))).dropDuplicates(["node_"]).select("node_", set_udf(F.col("text")).alias("s")).checkpoint()
-    sizes = F.least("size", "size_b") * LIKE[1] >= F.greatest("size", "size_b") * LIKE[0]
 
     def tested(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        return both.where(alike_udf("sa", "sb")).select("a", "b").checkpoint()
-
-    hub = F.min_by(F.struct("node", "size"), F.xxhash64("node")).alias("hub")
-    hubs = members.groupBy("bucket").agg(hub).select("bucket", F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b"))
-    roots = connected(tested(members.join(hubs, "bucket").where("node <> b").withColumnRenamed("node", "a")))
-    label = lambda df, c: df.join(roots.toDF(c, "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-    named = label(members.select("bucket", "node", F.col("node").alias("label")), "label")
-    new = _within(named, sets, chunk).checkpoint()
-    if new.isEmpty():
-        return rows, roots
-    more = connected(label(label(new, "a"), "b")).toDF("node", "over")
-    further = roots.join(more.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
-    return rows, further.union(more.join(roots, "node", "left_anti").select("node", "over"))
+        """Links (la, lb) between the labels of those pairs that are alike; each pair is compared once."""
+        likely = pairs.where(F.least("na", "nb") * LIKE[1] >= F.greatest("na", "nb") * LIKE[0])
+        both = F.array_sort(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")), F.struct(F.col("b").alias("node"), F.col("lb").alias("label"))))
+        once = likely.select(both.alias("p")).select(F.col("p")[0]["node"].alias("a"), F.col("p")[1]["node"].alias("b"), F.col("p")[0]["label"].alias("la"), F.col("p")[1]["label"].alias("lb")).dropDuplicates(["a", "b"])
+        met = once.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        return met.where(alike_udf("sa", "sb")).select("la", "lb").distinct().checkpoint()
+
+    def renamed(df: DataFrame, roots: DataFrame) -> DataFrame:
+        return df.join(roots.toDF("label", "root"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+
+    mark = F.xxhash64("node")
+    alone = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y")).groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    named = members.join(alone, "bucket").select("bucket", "node", "size", F.col("node").alias("label")).checkpoint()  # of buckets with the same members one is enough
+    labels = named.select("node", "label").distinct().checkpoint()
+    for turn in range(hubs):
+        hub = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min_by(F.struct("node", "size", "label"), F.xxhash64("node", F.lit(turn))).alias("hub")).where("l0 <> l1")
+        open_ = named.join(hub.select("bucket", F.col("hub.node").alias("b"), F.col("hub.size").alias("nb"), F.col("hub.label").alias("lb")), "bucket").where("node <> b").checkpoint()
+        if open_.isEmpty():
+            named = open_.select("bucket", "node", "size", "label")
+            break
+        links = tested(open_.where("label <> lb").select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"), "b", "nb", "lb"))
+        named = open_.select("bucket", "node", "size", "label")
+        if not links.isEmpty():
+            roots = connected(links, "la", "lb")
+            named, labels = renamed(named, roots), renamed(labels, roots).checkpoint()
+        named = named.checkpoint()
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
+    rest = named.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(sets.withColumnRenamed("node_", "node"), "node").checkpoint()
+    if not rest.isEmpty():
+        links = tested(_rare_pairs(rest, frequencies(rest)))
+        if not links.isEmpty():
+            labels = renamed(labels, connected(links, "la", "lb")).checkpoint()
+    return rows, labels.select("node", F.col("label").alias("root"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, held_out
-from .learning import class_sample
+from .learning import class_sample, seldom
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 16, (3, 4)
 #: The sample that the classifier is fitted on: labelled rows of each class (a quarter more at most).
@@ -123,12 +123,12 @@ def _learn_udf():
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_id: str = "doc_id", label_col: str = "quality") -> tuple[np.ndarray, float]:
     """Bucket weights and bias, from the documents that labels gives a 0 or 1. Without any, all weights are 0. An id that is labelled twice counts twice.
 
-    The sample is drawn from labels: PER_CLASS rows (a quarter more at most) of each class, which are then sent to where the documents are.
+    The sample is drawn from labels: PER_CLASS rows (a quarter more at most) of each class, which are then sent to where the documents are; texts over learning.LONG bytes are drawn the less often the longer they are.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("_id"), F.col(label_col).cast("int").alias("label"))
     sample, bound = class_sample(marked, "label", ["_id"], per_class=PER_CLASS)
     picked = sample.orderBy("_draw", "_id", "label").limit(bound)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").select("text", "label", F.col("_draw").alias("draw"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").where(F.col("text").isNull() | seldom(F.col("_draw"), F.col("text"))).select("text", "label", F.col("_draw").alias("draw"))
     got = rows.mapInPandas(_learn_udf(), "features binary, label int, draw bigint").orderBy("draw", "label", "features").limit(bound).collect()
     return train([tuple(np.frombuffer(r["features"], "<u4").reshape(2, -1)) for r in got], np.array([r["label"] for r in got], int))
 

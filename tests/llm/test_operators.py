@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallgrass.llm import avimedia, bestfit, bpe, bytecnn, components, hilbert, oph, queries, shingles, simhash, subword, urls, zframes
+from tallgrass.llm import avimedia, bestfit, bpe, bytecnn, components, hilbert, learning, oph, queries, shingles, simhash, subword, urls, zframes
 from tallgrass.llm.common import shared_dir
 
 #: Nulls in any column, empty, blank and very long texts, repeated rows, ties, and columns whose names clash with what operators use inside.
@@ -760,24 +760,36 @@ def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert rows(simhash.near_components(empty)) == [] and rows(simhash.one_of_each(empty)) == []
 
 
-def test_links_of_a_bucket_equal_brute_force():
+def test_rare_prefixes_lose_no_pair():
+    """Of every two sets that are alike the larger one's prefix and the smaller one's short prefix share a shingle, behind which both have enough left."""
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
-    sets = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 1 << 62, 30).astype(np.uint64)])) for n in rng.integers(220, 300, 40)] + [np.zeros(0, np.uint64)]
-    label, node = np.arange(41) // 2, np.arange(41) * 7 + 1
-    up = list(range(41))
-    for i in range(41):
-        for j in range(i):
-            if label[i] != label[j] and len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j])):
-                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
-    a, b = shingles.set_links(node, label, sets)
-    assert 5 < len(a) < 40 and sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(node[i], node[u]) for i, u in enumerate(up) if u != i]
-
-
-@pytest.mark.parametrize("chunk", [256, 3])
-def test_near_duplicates_are_those_of_exact_jaccard(spark, monkeypatch, chunk):
+    sets = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 1 << 62, rng.integers(0, 40)).astype(np.uint64)])) for n in rng.integers(1, 300, 150)] + [np.unique(base[:n]) for n in range(1, 40)]
+    frequency = np.bincount(shingles._cells(np.concatenate(sets)), minlength=shingles.CELLS)
+    pairs = 0
+    for x in sets:
+        for y in sets:
+            if x is not y and len(x) >= len(y) and shingles.alike(x, y):
+                (px, _), (py, low) = shingles.rare_prefix(x, frequency), shingles.rare_prefix(y, frequency)
+                common = [(i, int(np.flatnonzero(py[:low] == v)[0])) for i, v in enumerate(px) if v in py[:low]]
+                assert any(min(len(x) - i, len(y) - j) * 9 >= 4 * (len(x) + len(y)) for i, j in common)
+                pairs += 1
+    assert pairs > 100
+
+
+def test_template_families_do_not_meet_pairwise(spark):
+    """Pages of one template whose own parts make them unlike: no candidates are left after the hubs, whatever their number."""
+    rng = np.random.default_rng(5)
+    template = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    rows = [(i, i, np.unique(np.concatenate([template, rng.integers(0, 1 << 62, 90).astype(np.uint64)])).tobytes()) for i in range(400)]
+    rest = spark.createDataFrame(rows, "node bigint, label bigint, s binary")
+    assert shingles._rare_pairs(rest, shingles.frequencies(rest)).count() == 0
+
+
+@pytest.mark.parametrize("hubs", [4, 1, 0])
+def test_near_duplicates_are_those_of_exact_jaccard(spark, monkeypatch, hubs):
     whole = shingles.near_classes
-    monkeypatch.setattr(shingles, "near_classes", lambda docs, **names: whole(docs, chunk=chunk, **names))
+    monkeypatch.setattr(shingles, "near_classes", lambda docs, **names: whole(docs, hubs=hubs, **names))
     rng = np.random.default_rng(11)
     words = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
     texts, common = [], [f"c{i}" for i in range(60)]
@@ -795,6 +807,19 @@ def test_near_duplicates_are_those_of_exact_jaccard(spark, monkeypatch, chunk):
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(up))
 
 
+@pytest.mark.parametrize("labels", [1500, 100_000])
+def test_samples_of_many_labels(spark, labels):
+    """The most frequent labels are classes, however many there are; long texts are drawn less often."""
+    df = spark.range(labels + 3000).select((F.when(F.col("id") < 3000, F.col("id") % 3).otherwise(F.col("id"))).cast("string").alias("lang"), F.col("id"))
+    sample, bound = learning.class_sample(df, "lang", ["id"], per_class=200, classes=3)
+    got = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert set(got) == {"0", "1", "2"} and all(150 < n < 250 for n in got.values()) and bound == 750
+    every, _ = learning.class_sample(df, "lang", ["id"], per_class=200)
+    assert every.select("lang").distinct().count() == learning.CLASSES
+    long = df.select("id", F.repeat(F.lit("a"), 40).alias("text"))
+    assert 0.4 < long.where(learning.seldom(F.col("id"), F.col("text"), 20)).count() / long.count() < 0.6 and long.where(learning.seldom(F.col("id"), F.col("text"), 40)).count() == long.count()
+
+
 # pipeline
 
 def test_pipeline(spark, sf):
