@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.operators import metrics, retrieval
+from tallgrass.operators import metrics, retrieval, search
 
 from .registry import query, sql
 
@@ -143,6 +143,52 @@ def bm25_topk(t):
     return retrieval.bm25_topk(t.documents, "doc_id", t.benchmark, "item_id", k=10)
 
 
+LEXICAL = """WITH t AS (SELECT doc_id, 0 AS field, 1.0::DOUBLE AS weight, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents UNION ALL SELECT doc_id, 1, 2.0, regexp_extract_all(lower(coalesce(source, '')), '[a-z0-9]+') FROM documents),
+m AS (SELECT doc_id, field, weight, unnest(w) AS word, unnest(range(len(w))) + field * 4294967296 AS pos FROM t),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(list_aggregate(string_split(text, ' ')[2:3], 'string_agg', ' ')), '[a-z0-9]+'))) AS word FROM benchmark), n AS (SELECT item_id, count(*) AS need FROM q GROUP BY 1),
+p AS (SELECT item_id, doc_id, field, weight, word, pos FROM q JOIN m USING (word)),
+s AS (SELECT item_id, doc_id, sum(part) AS score, count(DISTINCT word) AS have FROM (SELECT item_id, doc_id, word, field, any_value(weight) * (1 + ln(count(*))) AS part FROM p GROUP BY item_id, doc_id, word, field) GROUP BY ALL),
+f AS (SELECT item_id, doc_id, score, need FROM s JOIN n USING (item_id) WHERE have = need),
+l AS (SELECT p.item_id, p.doc_id, p.pos AS r, o.word, max(o.pos) AS pos FROM f JOIN p USING (item_id, doc_id) JOIN p o ON o.item_id = p.item_id AND o.doc_id = p.doc_id AND o.pos <= p.pos GROUP BY ALL),
+w AS (SELECT item_id, doc_id, min(len) AS len FROM (SELECT item_id, doc_id, r, r - min(pos) AS len, count(*) AS c FROM l GROUP BY item_id, doc_id, r) JOIN n USING (item_id) WHERE c = need GROUP BY ALL),
+a AS (SELECT item_id, doc_id, round(score * (1 + 1 / (1 + greatest(len - need + 1, 0))), 6) AS rank FROM f JOIN w USING (item_id, doc_id)),
+x AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank DESC, doc_id)::INT AS k FROM a)
+"""
+
+
+def _lexical(t, k: int):
+    """Documents that have two words of each benchmark item, by text and source."""
+    post = search.postings(t.documents, "doc_id", {"text": 1.0, "source": 2.0}, stems=False)
+    asked = t.benchmark.select("item_id", F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("asked"))
+    return search.match_all(post, asked, "item_id", "asked", k=k, stems=False).withColumnRenamed("doc", "doc_id")
+
+
+@query("fulltext_search", LEXICAL + "SELECT item_id, doc_id, rank, k FROM x WHERE k <= 50")
+def fulltext_search(t):
+    return _lexical(t, 50)
+
+
+@query("fulltext_stems")
+def fulltext_stems(t):
+    """The same on stems."""
+    asked = t.benchmark.select("item_id", F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("asked"))
+    return search.match_all(search.postings(t.documents, "doc_id", {"text": 1.0, "source": 2.0}), asked, "item_id", "asked", k=20).withColumnRenamed("doc", "doc_id")
+
+
+@query("hybrid_ranking", LEXICAL + """,
+d AS (SELECT q.vec_id AS item_id, e.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score FROM embeddings q JOIN benchmark ON q.vec_id = item_id JOIN embeddings e ON q.vec_id <> e.vec_id),
+e AS (SELECT item_id, doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM d) WHERE k <= 20),
+u AS (SELECT item_id, doc_id, k FROM x WHERE k <= 20 UNION ALL SELECT item_id, doc_id, k FROM e),
+z AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + k)), 8) AS score FROM u GROUP BY ALL)
+SELECT item_id, doc_id, score, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM z) WHERE k <= 10""")
+def hybrid_ranking(t):
+    """The ten best documents of each benchmark item by two legs of their own: words that must all occur, and the dot product of the item's vector with all others; both rankings are fused by reciprocal ranks."""
+    asked = t.benchmark.select(F.col("item_id").alias("vec_id"), F.lit(True).alias("asked"))
+    vectors = t.embeddings.select("vec_id", "embedding").join(asked, "vec_id", "left")
+    dense = retrieval.dense_topk(vectors, "vec_id", "embedding", F.coalesce("asked", F.lit(False)), k=20).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "k")
+    return retrieval.fuse({"words": _lexical(t, 20).select("item_id", "doc_id", "k"), "vectors": dense}, "item_id", "doc_id").where("k <= 10")
+
+
 @query("dense_topk", """
 WITH r AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
 SELECT query_id, vec_id, score, CAST(k AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM r) WHERE k <= 5""")

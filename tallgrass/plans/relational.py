@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.operators import dedup
+from tallgrass.sources import sinks
 
 from .registry import query, sql
 
@@ -172,6 +173,19 @@ sql("cascade_delete_counts", """
 SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey) AS orders, count(l_orderkey) AS lines
 FROM {nation} JOIN {customer} ON n_nationkey = c_nationkey LEFT JOIN {orders} ON c_custkey = o_custkey LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY n_name""")
 
+@query("cascade_delete", """
+WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c)), l AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey IN (FROM o))
+SELECT 'customer' AS name, (SELECT count(*) FROM c) AS n_gone, (SELECT count(*) FROM customer) - (SELECT count(*) FROM c) AS n_left
+UNION ALL SELECT 'orders', (SELECT count(*) FROM o), (SELECT count(*) FROM orders) - (SELECT count(*) FROM o) UNION ALL SELECT 'lineitem', (SELECT count(*) FROM l), (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM l)""")
+def cascade_delete(t):
+    """Rows that go from each table with the customers of every fifth nation, and rows that stay."""
+    links = [("customer", "c_custkey", "orders", "o_custkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey")]
+    tables = {n: t[n] for n in ("customer", "orders", "lineitem")}
+    left, gone = sinks.cascade_delete(tables, links, t.customer.where("c_nationkey % 5 = 0").select("c_custkey"))
+    counts = [df.agg(F.count("*").alias("n_left")).select(F.lit(n).alias("name"), F.lit(gone[n]).cast("long").alias("n_gone"), "n_left") for n, df in left.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
 sql("truncate_marker", """
 SELECT doc_id, CASE WHEN length(text) > 800 THEN concat(substring(text, 1, 800), ' [cut]') ELSE text END AS observation, length(text) AS n FROM {documents}""",
     "SELECT doc_id, CASE WHEN length(text) > 800 THEN concat(substring(text, 1, 800), ' [cut]') ELSE text END AS observation, CAST(length(text) AS INT) AS n FROM documents")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.operators import dedup, timeline
+from tallgrass.streaming import limits
 
 from .registry import query, sql
 
@@ -112,6 +113,16 @@ sql("rate_limit", """
 SELECT event_id, user_id, call_number <= 50 AS allowed FROM (
   SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS call_number FROM {events}) x""")
 
+@query("session_rate_limit", """
+WITH s AS (SELECT *, epoch_ms(ts::TIMESTAMP) AS ms FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL),
+o AS (SELECT event_id, user_id, event_type, ms, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id, event_type ORDER BY ms, event_id) <= 86400000 THEN 0 ELSE 1 END AS opens FROM s),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS session FROM o)
+SELECT event_id, user_id, event_type, number, number <= 2 AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, session ORDER BY ms, event_id) AS number FROM g)""")
+def session_rate_limit(t):
+    """Two events a session of a user and kind are allowed; a day without one ends a session."""
+    return limits.session_limit_table(t.events, limit=2, idle_seconds=86_400)
+
+
 sql("idle_sessions", """
 SELECT user_id, session, count(*) AS n, min(ts) AS begins, max(ts) AS ends FROM (
   SELECT user_id, ts, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (

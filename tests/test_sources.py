@@ -88,3 +88,35 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted((r.event_id, r.user_id, r.allowed) for r in catalogue.QUERIES["rate_limit"](spark, sf).collect())
     got = stream_rows(spark, events.idle_sessions(live), "s_sessions", "complete")
     assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(folder).count()
+
+
+def test_release_copy_and_csv(spark, tmp_path):
+    df = spark.createDataFrame([(1, "5", 'say "a", b', "x"), (2, "z", None, "y"), (3, "7", "", None)], "k int, n string, t string, secret string")
+    sinks.release_copy(df, str(tmp_path / "copy"), drop=["secret"], keep=F.col("secret") != "y", types={"n": "int"})
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "copy")).collect()] == [(1, 5, 'say "a", b')]
+    sinks.release_copy(df, str(tmp_path / "all"), drop=["secret"], types={"n": "int"})
+    assert sorted((r.k, r.n) for r in spark.read.parquet(str(tmp_path / "all")).collect()) == [(1, 5), (2, None), (3, 7)]
+    sinks.csv_export(df, str(tmp_path / "csv"), order=["k"])
+    lines = sorted(line for f in (tmp_path / "csv").glob("part-*") for line in f.read_text().splitlines()[1:])
+    assert lines == ['1,5,"say ""a"", b",x', "2,z,,y", '3,7,"",']
+
+
+def test_cascade_delete(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {"p": frame([(1,), (2,), (None,)], "id int"), "c": frame([(10, 1), (11, 1), (12, 2), (13, None)], "cid int, p int"), "g": frame([(5, 10), (6, 12), (7, 11), (7, 11), (8, None)], "gid int, c int")}
+    links = [("p", "id", "c", "p"), ("c", "cid", "g", "c")]
+    left, gone = sinks.cascade_delete(tables, links, frame([(1,), (1,), (9,), (None,)], "id int"))
+    assert gone == {"p": 1, "c": 2, "g": 3}
+    assert {n: sorted(map(tuple, df.collect()), key=repr) for n, df in left.items()} == {"p": [(2,), (None,)], "c": [(12, 2), (13, None)], "g": [(6, 12), (8, None)]}
+    same, none = sinks.cascade_delete(tables, links, frame([], "id int"))
+    assert none == {"p": 0, "c": 0, "g": 0} and same["g"].count() == 5
+
+
+def test_processing_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for stage, status, n in (("a", "started", None), ("b", "started", None), ("a", "done", 7), ("c", "started", None), ("c", "failed", None)):
+        sinks.log_entry(spark, path, "r1", stage, status, n_rows=n, error="broken" if status == "failed" else None)
+    log = spark.read.parquet(path)
+    state = {r.stage: (r.status, r.n_rows, r.error, r.started_at is not None) for r in sinks.log_state(log).collect()}
+    assert state == {"a": ("done", 7, None, True), "b": ("started", None, None, True), "c": ("failed", None, "broken", True)}
+    assert sorted(r.stage for r in sinks.open_stages(log).collect()) == ["b", "c"]
