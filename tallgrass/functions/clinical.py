@@ -28,6 +28,38 @@ def sex(c: Column) -> Column:
     return F.when(word.isin("woman", "female", "girl", "she", "her"), "F").when(word != "", "M")
 
 
+#: Words for origin, and patterns of smoking and drinking in the order in which they are looked for: fixed values.
+ORIGINS = r"(?i)\b(African[\s-]?American|Caucasian|Hispanic|Latino|Latina|Asian|White|Black|Native[\s-]?American|Pacific[\s-]?Islander)\b"
+SMOKING = (
+    ("never", r"(?i)\b(?:never\s+smok|non[\s-]?smok|nonsmoker|does\s+not\s+smoke|denies\s+(?:any\s+)?(?:tobacco|smok))"), ("former", r"(?i)\b(?:quit\s+smok|former\s+smok|stopped\s+smok|ex[\s-]?smoker)"),
+    ("current", r"(?i)\b(?:smokes?\s+\d|pack[\s-]?year|packs?\s+(?:per|a)\s+day|current(?:ly)?\s+smok|active\s+smok)"),
+)
+DRINKING = (
+    ("none", r"(?i)\b(?:does\s+not\s+(?:drink|consume)\s+alcohol|denies\s+(?:any\s+)?alcohol|no\s+alcohol|teetotal|abstinent)"),
+    ("heavy", r"(?i)\b(?:heavy\s+(?:drink|alcohol)|alcohol(?:ic|ism)?|drinks?\s+\d+\s+(?:beers?|glasses?|bottles?|drinks?)\s+(?:per|a|every)\s+day|alcohol\s+(?:abuse|depend))"),
+)
+
+
+def origin(c: Column) -> Column:
+    """The first word for an origin, as it is written; null without one."""
+    return F.nullif(F.regexp_extract(c, ORIGINS, 1), F.lit(""))
+
+
+def status(c: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    """The name of the first pattern that a text has; null without one."""
+    return F.coalesce(*[F.when(c.rlike(p), name) for name, p in patterns])
+
+
+def birth_year(age: Column, now: int = 2024) -> Column:
+    """The year of birth at an age in whole years; null at age 0, which stands for an unknown one."""
+    return F.when(age > 0, now - age)
+
+
+def of_category(kind: Column, asked: str | None, categories: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a kind belongs to the category that is asked for; true for every row if none is asked for, or one that isn't in the list."""
+    return kind.isin(*categories[asked]) if asked in categories else F.lit(True)
+
+
 def answer_choices(c: Column) -> Column:
     """Choices that begin with a letter and . or ) as an array of struct<letter, text>."""
     letters = F.regexp_extract_all(c, F.lit(r"(?:^|\s)([A-H])[.)]\s"), 1)

@@ -28,8 +28,20 @@ def strip_html(html: Column) -> Column:
 
 
 def cloze_text(c: Column) -> Column:
-    """{{c1::answer::hint}} becomes answer."""
-    return F.regexp_replace(c, r"(?s)\{\{c\d+::(.*?)(::.*?)?\}\}", "$1")
+    """{{c1::answer::hint}} and [[oc1::answer::hint]] become answer."""
+    plain = F.regexp_replace(c, r"(?s)\{\{c\d+::(.*?)(::.*?)?\}\}", "$1")
+    return F.regexp_replace(plain, r"(?s)\[\[oc\d+::(.*?)(::[^\]]*?)?\]\]", "$1")
+
+
+def media_names(html: Column) -> Column:
+    """The names of the media that a fragment of HTML refers to: sounds first, then pictures, each kind in order."""
+    return F.concat(F.regexp_extract_all(html, F.lit(r"\[sound:([^\]]+)\]"), 1), F.regexp_extract_all(html, F.lit(r"(?i)<img[^>]*?\bsrc\s*=\s*[\"']?([^\"'>\s]+)"), 1))
+
+
+def title_words(c: Column, kept: tuple[str, ...] = ()) -> Column:
+    """The words of a text with a capital first letter and small others; words in kept stay as they are."""
+    capital = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))
+    return F.array_join(F.transform(words(c), lambda w: F.when(w.isin(*kept), w).otherwise(capital(w)) if kept else capital(w)), " ")
 
 
 def tokens(c: Column, least: int = 3) -> Column:

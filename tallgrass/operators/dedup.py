@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .names import fresh
 
 
+def first_seen(df: DataFrame, key: str, value: str, order: list[str], *, most: int | None = None) -> DataFrame:
+    """Rows (key, values): the distinct values of each key in the order in which they are first seen, the first `most` of them (None: all). Null values are left out; order must tell the rows of a value apart from others'.
+
+    Values are reduced to their first place before they meet, so that a key's list is as long as its distinct values.
+    """
+    first = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*order)).alias("_at"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_at", value))), lambda x: x[value])
+    return first.groupBy(key).agg((F.slice(listed, 1, most) if most is not None else listed).alias("values"))
+
+
 def pick_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row for each key: the first in the order, which must tell all rows of a key apart. Null keys are one key."""
     rank = fresh(df, "_rn")

@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from .names import fresh
 
 
-def capped_groups(df: DataFrame, group: str, item: str, least: int, most: int) -> DataFrame:
-    """Distinct (group, item) rows of the groups that have between least and most items. The cap is part of the operator: an item that nearly all groups share tells nothing."""
+def capped_groups(df: DataFrame, group: str, item: str, least: int, most: int | None) -> DataFrame:
+    """Distinct (group, item) rows of the groups that have between least and most items (None: least or more). The cap is part of the operator: an item that nearly all groups share tells nothing."""
     rows = df.select(group, item).distinct()
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n").between(least, most)).select(group)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n").between(least, F.lit(most)) if most is not None else F.col("_n") >= least).select(group)
     return rows.join(sizes, group, "left_semi")
 
 
-def item_pairs(df: DataFrame, group: str, item: str, *, least: int = 2, most: int = 40) -> DataFrame:
-    """How many groups each unordered pair of items shares: a, b (a < b), n_shared. Groups beyond `most` items are left out, so a group gives at most most^2 / 2 pairs."""
+def item_pairs(df: DataFrame, group: str, item: str, *, least: int = 2, most: int | None = 40) -> DataFrame:
+    """How many groups each unordered pair of items shares: a, b (a < b), n_shared. Groups beyond `most` items are left out, so a group gives at most most^2 / 2 pairs; None leaves none out, and a group of n gives n^2 / 2."""
     rows = capped_groups(df, group, item, least, most)
     left, right = rows.select(group, F.col(item).alias("a")), rows.select(group, F.col(item).alias("b"))
     return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
-def weighted_overlap(df: DataFrame, item: str, feature: str, weight: Column, *, most: int = 40, least_score: float = 0.2) -> DataFrame:
+def weighted_overlap(df: DataFrame, item: str, feature: str, weight: Column, *, most: int | None = 40, least_score: float = 0.2) -> DataFrame:
     """Fuzzy Jaccard of items over weighted features: sum of shared minima / (sum a + sum b - sum of shared minima).
 
-    A feature's weight for an item is its largest; features of more than `most` items don't count as shared but count in the sums.
+    A feature's weight for an item is its largest; features of more than `most` items don't count as shared but count in the sums (None: all count).
     """
     w = df.select(item, feature, weight.alias("_w")).groupBy(item, feature).agg(F.max("_w").alias("_w"))
     totals = w.groupBy(item).agg(F.sum("_w").alias("_t"))
-    rare = w.groupBy(feature).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, most)).select(feature)
+    rare = w.groupBy(feature).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, F.lit(most)) if most is not None else F.col("_n") >= 2).select(feature)
     kept = w.join(rare, feature, "left_semi")
     left = kept.select(feature, F.col(item).alias("a"), F.col("_w").alias("wa"))
     right = kept.select(feature, F.col(item).alias("b"), F.col("_w").alias("wb"))

@@ -66,7 +66,7 @@ def concepts(docs: DataFrame, id_col: str, text_col: str, inventory: DataFrame,
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
     all_forms = lambda w: F.array_distinct(F.flatten(F.transform(w, clinical.singular_forms)))
     named = inventory.select("concept", words(F.col("name")).alias("words")).where("size(words) > 0")
-    listed = named.groupBy("concept").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), F.max(F.size("words")).alias("need")).where("size(words) = need").select("concept", "words")
+    listed = named.select("concept", F.sort_array("words").alias("words")).distinct()
     texts = docs.select(F.col(id_col).alias("_id"), all_forms(words(F.col(text_col))).alias("forms")).where("size(forms) > 0")
     held = texts.select("_id", F.explode("forms").alias("form")).groupBy("_id", "form").agg(F.lit(1).alias("_one"))
     common = held.groupBy("form").agg(F.count("*").alias("n"))
@@ -86,6 +86,29 @@ def concepts(docs: DataFrame, id_col: str, text_col: str, inventory: DataFrame,
     return kept.select(F.col("_id").alias(id_col), F.col("c.concept").alias("concept")).distinct()
 
 
+def nearest_codes(codes: DataFrame, code: str, valid: DataFrame) -> DataFrame:
+    """Rows (code, nearest) for each distinct code: the longest of its beginnings of four characters or more, shorter than itself, that is a valid code and no header; else its first three characters, if they are a code of any kind; else null.
+
+    Codes are compared without dots and spaces, in upper case; one of fewer than three characters has no nearest. valid has code and is_header. Beginnings are joined by equality.
+    """
+    plain = lambda c: F.upper(F.regexp_replace(c, "[. ]", ""))
+    asked = codes.select(F.col(code).alias("_code")).where("_code IS NOT NULL").distinct().withColumn("_plain", plain(F.col("_code")))
+    known = valid.select(plain(F.col("code")).alias("_part"), F.coalesce("is_header", F.lit(False)).alias("_header")).where("_part <> ''").groupBy("_part").agg(F.min("_header").alias("_header"))
+    n = F.length("_plain")
+    parts = asked.where(n >= 3).withColumn("_n", F.explode(F.sequence(F.lit(3), F.greatest(n - 1, F.lit(3))))).withColumn("_part", F.left("_plain", F.col("_n")))
+    fit = parts.join(known, "_part").where((F.col("_n") == 3) | ~F.col("_header")).groupBy("_code").agg(F.max_by("_part", "_n").alias("nearest"))
+    return asked.join(fit, "_code", "left").select(F.col("_code").alias(code), "nearest")
+
+
+def known_ids(ids: DataFrame, column: str, known: DataFrame, *, prefixes: tuple[str, ...] = ("ees_", "fc_")) -> DataFrame:
+    """Rows (column, known_id) for each distinct id: the id itself if it is among known (its column id), else the first prefix and the id, else what follows the id's first underscore; the id as it is if none is known."""
+    own = F.col("_id")
+    forms = F.array(own, *[F.concat(F.lit(p), own) for p in prefixes], F.when(F.contains(own, F.lit("_")), F.regexp_replace(own, "^[^_]*_", "")))
+    each = ids.select(F.col(column).cast("string").alias("_id")).where("_id IS NOT NULL").distinct().select("_id", F.posexplode(forms).alias("_k", "_form"))
+    found = each.join(known.select(F.col("id").cast("string").alias("_form")).distinct(), "_form").groupBy("_id").agg(F.min_by("_form", "_k").alias("_found"))
+    return each.select("_id").distinct().join(found, "_id", "left").select(F.col("_id").alias(column), F.coalesce("_found", "_id").alias("known_id"))
+
+
 def corrected(store: DataFrame, fixes: DataFrame, key: str, value: str) -> DataFrame:
     """The store (key, value; values unique) after fixes (key, value), with status: kept, applied, or conflict where another key holds the value or a smaller key asks for it; then the old value stays."""
     asked = fixes.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias("_new"))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.functions import text
-from tallgrass.operators import dedup, retrieval
+from tallgrass.functions import clinical, text
+from tallgrass.operators import dedup, resolve, retrieval
 
 from .registry import query, sql
 
@@ -129,3 +129,61 @@ sql("resolve_cascade", """
 SELECT l_partkey, coalesce(a.p_brand, b.n_name, 'none') AS resolved, CASE WHEN a.p_brand IS NOT NULL THEN 'brand' WHEN b.n_name IS NOT NULL THEN 'nation' ELSE 'none' END AS method, count(*) AS n
 FROM {lineitem} LEFT JOIN {part} a ON l_partkey = p_partkey AND p_size <= 20 LEFT JOIN {supplier} ON l_suppkey = s_suppkey AND s_acctbal > 0 LEFT JOIN {nation} b ON s_nationkey = n_nationkey
 GROUP BY l_partkey, coalesce(a.p_brand, b.n_name, 'none'), CASE WHEN a.p_brand IS NOT NULL THEN 'brand' WHEN b.n_name IS NOT NULL THEN 'nation' ELSE 'none' END""")
+
+
+@query("nearest_codes", """
+WITH v AS (SELECT 'E' || (o_orderkey // 10) AS code, (o_orderkey // 10) % 3 = 0 AS h FROM orders UNION SELECT 'E' || left(o_orderkey::VARCHAR, 2), true FROM orders), k AS (SELECT code, min(h) AS h FROM v GROUP BY 1),
+a AS (SELECT DISTINCT 'E' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '7' ELSE '' END AS code FROM orders), p AS (SELECT code, unnest(range(3, greatest(length(code) - 1, 3) + 1)) AS n FROM a WHERE length(code) >= 3)
+SELECT a.code, max_by(left(p.code, n), n) FILTER (k.code IS NOT NULL AND (n = 3 OR NOT h)) AS nearest FROM a LEFT JOIN p ON a.code = p.code LEFT JOIN k ON k.code = left(p.code, n) GROUP BY a.code""")
+def nearest_codes(t):
+    """Codes that no list has, with the nearest that it has."""
+    key = F.col("o_orderkey").cast("string")
+    asked = t.orders.select(F.concat(F.lit("E"), key, F.when(F.col("o_orderkey") % 2 == 0, "7").otherwise("")).alias("code"))
+    tens = F.expr("o_orderkey div 10")
+    valid = t.orders.select(F.concat(F.lit("E"), tens.cast("string")).alias("code"), (tens % 3 == 0).alias("is_header")).union(t.orders.select(F.concat(F.lit("E"), F.left(key, F.lit(2))), F.lit(True)))
+    return resolve.nearest_codes(asked, "code", valid)
+
+
+@query("known_ids", """
+WITH k AS (SELECT CASE event_id % 4 WHEN 0 THEN 'ees_' || event_id WHEN 1 THEN 'fc_' || event_id ELSE event_id::VARCHAR END AS id FROM events WHERE event_id % 5 <> 0),
+a AS (SELECT DISTINCT CASE WHEN event_id % 4 = 3 THEN 'x_' || event_id WHEN event_id % 8 = 1 THEN 'fc_' || event_id ELSE event_id::VARCHAR END AS asked FROM events)
+SELECT asked, CASE WHEN asked IN (FROM k) THEN asked WHEN 'ees_' || asked IN (FROM k) THEN 'ees_' || asked WHEN 'fc_' || asked IN (FROM k) THEN 'fc_' || asked
+  WHEN contains(asked, '_') AND regexp_replace(asked, '^[^_]*_', '') IN (FROM k) THEN regexp_replace(asked, '^[^_]*_', '') ELSE asked END AS known_id FROM a""")
+def known_ids(t):
+    """Ids as they are submitted, and as the judgements have them."""
+    e, own = F.col("event_id"), F.col("event_id").cast("string")
+    known = t.events.where(e % 5 != 0).select(F.when(e % 4 == 0, F.concat(F.lit("ees_"), own)).when(e % 4 == 1, F.concat(F.lit("fc_"), own)).otherwise(own).alias("id"))
+    asked = t.events.select(F.when(e % 4 == 3, F.concat(F.lit("x_"), own)).when(e % 8 == 1, F.concat(F.lit("fc_"), own)).otherwise(own).alias("asked"))
+    return resolve.known_ids(asked, "asked", known)
+
+
+@query("category_events", """
+SELECT asked, count(*) FILTER (asked NOT IN ('sales', 'looks') OR (asked = 'sales' AND event_type IN ('purchase', 'refund')) OR (asked = 'looks' AND event_type IN ('view', 'click'))) AS n
+FROM events, (VALUES ('sales'), ('looks'), ('other')) a(asked) GROUP BY asked""")
+def category_events(t):
+    """Events of a category; one that isn't known filters nothing."""
+    kinds = {"sales": ("purchase", "refund"), "looks": ("view", "click")}
+    one = lambda asked: t.events.where(clinical.of_category(F.col("event_type"), asked, kinds)).agg(F.count("*").alias("n")).select(F.lit(asked).alias("asked"), "n")
+    return one("sales").union(one("looks")).union(one("other"))
+
+
+@query("first_seen", """
+SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY d, k) AS seen FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY d, k) AS r FROM (SELECT o_custkey, o_orderpriority, min((o_orderdate, o_orderkey))[1] AS d, min((o_orderdate, o_orderkey))[2] AS k FROM orders GROUP BY ALL)) WHERE r <= 3 GROUP BY o_custkey""")
+def first_seen(t):
+    """The first three priorities of each customer's orders, as they are first seen."""
+    return dedup.first_seen(t.orders, "o_custkey", "o_orderpriority", ["o_orderdate", "o_orderkey"], most=3).select("o_custkey", F.array_join("values", "|").alias("seen"))
+
+
+@query("habits", r"""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'never' WHEN 1 THEN 'former' WHEN 2 THEN 'current' END AS smoking, CASE c_custkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'heavy' END AS drinking,
+  CASE c_custkey % 5 WHEN 0 THEN 'African-American' WHEN 1 THEN 'asian' WHEN 2 THEN 'Pacific Islander' END AS origin, CASE WHEN floor(abs(c_acctbal) / 150) > 0 THEN 2024 - floor(abs(c_acctbal) / 150)::INT END AS born FROM customer""")
+def habits(t):
+    """What a customer's social history, written from several shapes of sentences, says of smoking, drinking, origin and age."""
+    k = F.col("c_custkey")
+    smokes = F.when(k % 4 == 0, F.when(k % 8 == 0, "Denies any tobacco use").otherwise("a non-smoker")).when(k % 4 == 1, F.when(k % 8 == 1, "quit smoking in May; 10 pack-years").otherwise("Ex smoker")).when(k % 4 == 2, F.when(k % 8 == 2, "smokes 2 cigars").otherwise("one pack a day, two packs per day before")).otherwise("no information")
+    drinks = F.when(k % 3 == 0, F.when(k % 6 == 0, "does not drink alcohol").otherwise("Teetotal")).when(k % 3 == 1, F.when(k % 6 == 1, "drinks 4 beers a day").otherwise("known alcoholism")).otherwise("drinks wine")
+    comes = F.when(k % 5 == 0, "African-American").when(k % 5 == 1, "asian").when(k % 5 == 2, "Pacific Islander").otherwise("tall")
+    note = F.concat_ws(". ", F.concat(F.lit("A "), comes, F.lit(" customer")), smokes, drinks)
+    age = F.floor(F.abs("c_acctbal") / 150).cast("int")
+    return t.customer.select("c_custkey", clinical.status(note, clinical.SMOKING).alias("smoking"), clinical.status(note, clinical.DRINKING).alias("drinking"), clinical.origin(note).alias("origin"), clinical.birth_year(age).alias("born"))

@@ -12,13 +12,20 @@ from .registry import query
 
 @query("fuzzy_match")
 def fuzzy_match(t):
-    """Each part's most similar other part name of its brand and size: candidates share a token, the ratio decides."""
+    """Each part's most similar other part of its brand and size: names that share a token are candidates, the ratio decides. Distinct names are compared, and each stands for its two smallest parts, so that parts of one name never meet."""
     part = t.part.select("p_partkey", "p_name", "p_brand", "p_size")
-    tokens = part.withColumn("token", F.explode(F.array_distinct(text.tokens(F.col("p_name")))))
-    other = tokens.select("p_brand", "p_size", "token", F.col("p_partkey").alias("b"), F.col("p_name").alias("b_name"))
-    pairs = tokens.join(other, ["p_brand", "p_size", "token"]).where("p_partkey <> b").select("p_partkey", "p_name", "b", "b_name").distinct()
+    key = ["p_brand", "p_size", "p_name"]
+    first = part.groupBy(*key).agg(F.min("p_partkey").alias("first"))
+    second = part.join(first, key).where("p_partkey <> first").groupBy(*key).agg(F.min("p_partkey").alias("second"))
+    named = first.join(second, key, "left")
+    tokens = first.withColumn("token", F.explode(F.array_distinct(text.tokens(F.col("p_name")))))
+    pairs = tokens.drop("first").join(tokens.select("p_brand", "p_size", "token", F.col("p_name").alias("b_name"), F.col("first").alias("b")), ["p_brand", "p_size", "token"]).where("p_name <> b_name").drop("token").distinct()
     scored = pairs.withColumn("ratio", F.round(similarity.column(similarity.ratio, "double")("p_name", "b_name"), 6)).where("ratio >= 0.7")
-    return dedup.pick_first(scored, ["p_partkey"], [F.desc("ratio"), "b"])
+    near = dedup.pick_first(scored, key, [F.desc("ratio"), "b"])
+    same = part.join(named, key).withColumn("b", F.when(F.col("p_partkey") == F.col("first"), F.col("second")).otherwise(F.col("first"))).select("p_partkey", *key, "b")
+    own = same.where((F.col("b").isNotNull()) & (F.size(text.tokens(F.col("p_name"))) > 0)).select("p_partkey", "p_name", "b", F.col("p_name").alias("b_name"), F.lit(1.0).alias("ratio"))
+    other = part.join(own.select("p_partkey"), "p_partkey", "left_anti").join(near, key).select("p_partkey", "p_name", "b", "b_name", "ratio")
+    return own.union(other)
 
 
 @query("rouge_l")

@@ -72,6 +72,10 @@ def abstention(t):
     return t.conversations.where("role = 'assistant'").select("conv_id", "turn", text.abstains(F.col("text")).alias("abstains"))
 
 
+#: Distinct n-grams that are broadcast, of 8 bytes each; with more of them both sides are shuffled.
+BROADCAST_GRAMS = 500_000
+
+
 @query("ngram_leakage", r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
@@ -81,7 +85,8 @@ SELECT doc_id, count(*) AS n_grams, count(bg.g) AS n_shared, count(bg.g) / count
 def ngram_leakage(t):
     """Share of each document's distinct 12-grams that occur in the benchmark. Only hashes of the n-grams travel."""
     grams = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(F.transform(text.ngrams(text.words(F.lower("text")), 12), lambda g: F.xxhash64(g)))).alias("g"))
-    source = grams(t.benchmark).distinct().withColumn("hit", F.lit(1))
+    source = grams(t.benchmark).distinct().withColumn("hit", F.lit(1)).persist()
+    source = F.broadcast(source) if source.count() <= BROADCAST_GRAMS else source  # then no n-gram of a document leaves its task
     counted = grams(t.documents, "doc_id").join(source, "g", "left").groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.count("hit").alias("n_shared"))
     return counted.withColumn("flagged", F.col("n_shared") / F.col("n_grams") >= 0.02)
 

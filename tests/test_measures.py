@@ -151,3 +151,29 @@ def test_selection(spark):
     scores = spark.createDataFrame([(1, f"m{i}", 0.5 if i < 3 else 0.1) for i in range(9)], "e int, m string, s double")
     assert sorted(r.e for r in selection.below_ceiling(sizes, "e", scores, "m", "s", solvers=3).collect()) == [2, 3, 4]
     assert selection.below_ceiling(sizes, "e", scores, "m", "s", solvers=4).count() == 4
+
+
+def test_small_text_functions(spark):
+    from tallgrass.functions import clinical, text
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(text.cloze_text(F.lit("{{c1::a::h}} [[oc2::Normal pressure::(most likely)]] [[oc3::b]] [[x]]"))) == "a Normal pressure b [[x]]"
+    assert one(text.media_names(F.lit('<img src="b.png"> [sound:a.mp3] <IMG alt=x src=\'c.jpg\'>[sound:d.ogg]'))) == ["a.mp3", "d.ogg", "b.png", "c.jpg"]
+    assert one(text.title_words(F.lit("GI  BLEED & copd"), ("GI",))) == "GI Bleed & Copd"
+    assert one(clinical.birth_year(F.lit(0))) is None and one(clinical.birth_year(F.lit(30))) == 1994
+    assert one(clinical.status(F.lit("Former smoker, 20 pack-years"), clinical.SMOKING)) == "former" and one(clinical.status(F.lit("drinks 3 beers per day"), clinical.DRINKING)) == "heavy"
+    assert one(clinical.origin(F.lit("a native american man"))) == "native american" and one(clinical.origin(F.lit("a man"))) is None
+
+
+def test_codes_ids_and_first_seen(spark):
+    from tallgrass.operators import dedup, resolve
+
+    valid = spark.createDataFrame([("E11.9", False), ("E11", True), ("E119.8", True), ("I10", False)], "code string, is_header boolean")
+    codes = spark.createDataFrame([("E11.98",), ("e11 9",), ("E1198",), ("I109",), ("Z99",), ("E1",), (None,), ("I10",)], "c string")
+    got = {r.c: r.nearest for r in resolve.nearest_codes(codes, "c", valid).collect()}
+    assert got == {"E11.98": "E119", "e11 9": "E11", "E1198": "E119", "I109": "I10", "Z99": None, "E1": None, "I10": "I10"}
+    known = spark.createDataFrame([("ees_1",), ("fc_2",), ("3",), ("ees_3",)], "id string")
+    ids = spark.createDataFrame([("1",), ("2",), ("3",), ("x_3",), ("9",), ("x_8",), (None,)], "i string")
+    assert {r.i: r.known_id for r in resolve.known_ids(ids, "i", known).collect()} == {"1": "ees_1", "2": "fc_2", "3": "3", "x_3": "3", "9": "9", "x_8": "x_8"}
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (1, "b", 5), (1, None, 0), (1, "c", 1), (2, "a", 1)], "k int, v string, t int")
+    assert {r.k: r["values"] for r in dedup.first_seen(rows, "k", "v", ["t"], most=2).collect()} == {1: ["c", "b"], 2: ["a"]}
