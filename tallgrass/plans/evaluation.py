@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.operators import metrics, retrieval, search
+from tallgrass.operators import metrics, problems, retrieval, search
 
 from .registry import query, sql
 
@@ -194,3 +194,35 @@ WITH r AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embed
 SELECT query_id, vec_id, score, CAST(k AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM r) WHERE k <= 5""")
 def dense_topk(t):
     return retrieval.dense_topk(t.embeddings, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=5)
+
+
+def _lists(t):
+    """Codes of the parts that a customer returned (right) and of those that were accepted (given), with courses by quantity."""
+    code = F.concat(F.element_at(F.array(*[F.lit(x) for x in "AEIKST"]), (F.col("l_partkey") % 6 + 1).cast("int")), F.lpad((F.col("l_partkey") % 47).cast("string"), 2, "0"), F.lit("."), (F.col("l_partkey") % 10).cast("string"))
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_custkey").alias("item"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), code.alias("code"), F.when(F.col("l_quantity") > 25, "acute").otherwise("stable").alias("course"), "l_returnflag")
+    return lines.where("l_returnflag = 'R'").drop("l_returnflag"), lines.where("l_returnflag = 'A'").drop("l_returnflag")
+
+
+PROBLEMS = """
+WITH l AS (SELECT o_custkey AS item, l_returnflag AS f, ['A', 'E', 'I', 'K', 'S', 'T'][l_partkey % 6 + 1] || lpad((l_partkey % 47)::VARCHAR, 2, '0') || (l_partkey % 10) AS code FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+x AS (SELECT item, code, count(*) FILTER (f = 'R') AS t, count(*) FILTER (f = 'A') AS g FROM l GROUP BY ALL),
+y AS (SELECT item, CASE WHEN left(code, 1) IN ('S', 'T') THEN code ELSE left(code, 3) END AS key, left(code, 3) AS category, sum(t) AS t, sum(g) AS g FROM x GROUP BY ALL),
+m AS (SELECT item, sum(t) AS n_true, sum(g) AS n_given, sum(least(t, g)) AS n_matched, sum(CASE WHEN category IN ('K05', 'E11', 'S04') THEN greatest(g - t, 0) ELSE 0 END) AS n_neutral FROM y GROUP BY 1 HAVING sum(g) > 0)
+"""
+
+
+@query("problem_list_scores", PROBLEMS + """SELECT item, n_true::BIGINT AS n_true, n_given::BIGINT AS n_given, n_matched::BIGINT AS n_matched, round(CASE WHEN n_true > 0 THEN n_matched / n_true ELSE 1.0 END, 6) AS recall, round(n_matched / n_given, 6) AS precision_,
+  n_neutral::BIGINT AS n_neutral, round(n_matched / nullif(n_given - n_neutral, 0), 6) AS precision_neutral FROM m""")
+def problem_list_scores(t):
+    """Each customer's codes against the right ones, with three categories that are no mistake."""
+    right, given = _lists(t)
+    neutral = given.select("item").distinct().withColumn("category", F.explode(F.array(F.lit("K05"), F.lit("E11"), F.lit("S04"))))
+    each = problems.scores(right, given, "item", neutral=neutral)
+    return each.select("item", "n_true", "n_given", "n_matched", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision_"), "n_neutral", F.round("precision_neutral", 6).alias("precision_neutral"))
+
+
+@query("problem_list_summary")
+def problem_list_summary(t):
+    """One row of all means, severity-weighted and by course."""
+    return problems.summary(problems.scores(*_lists(t), "item"))
