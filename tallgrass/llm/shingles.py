@@ -119,9 +119,9 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
 
+    found = sets.select("s").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     out = np.zeros(CELLS, np.int32)
-    for r in sets.select("s").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["cell"]] = min(r["n"], np.iinfo(np.int32).max)
+    out[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
     return out
 
 
