@@ -271,8 +271,9 @@ def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, di
     return float((z.sum() - gold) / n), {k: v.astype(np.float32) for k, v in g.items()}
 
 
-def train(snippets: list[str], seed: int = SEED, steps: int = STEPS) -> dict[str, np.ndarray]:
+def train(snippets: list[str], seed: int = SEED, steps: int | None = None) -> dict[str, np.ndarray]:
     """Fits the network by Adam; examples are drawn from the snippets anew for every step, so a rerun over the same snippets gives the same model."""
+    steps = STEPS if steps is None else steps
     rng, draw = np.random.default_rng(seed), random.Random(seed)
     p = fresh_parameters(rng)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
