@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallgrass.operators import metrics, problems, retrieval, search
+from tallgrass.operators import errors, metrics, problems, retrieval, search
 
 from .registry import query, sql
 
@@ -199,8 +200,9 @@ def dense_topk(t):
 def _lists(t):
     """Codes of the parts that a customer returned (right) and of those that were accepted (given), with courses by quantity."""
     code = F.concat(F.element_at(F.array(*[F.lit(x) for x in "AEIKST"]), (F.col("l_partkey") % 6 + 1).cast("int")), F.lpad((F.col("l_partkey") % 47).cast("string"), 2, "0"), F.lit("."), (F.col("l_partkey") % 10).cast("string"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
     lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").alias("item"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), code.alias("code"), F.when(F.col("l_quantity") > 25, "acute").otherwise("stable").alias("course"), "l_returnflag")
+        F.col("o_custkey").alias("item"), place.alias("place"), code.alias("code"), F.when(F.col("l_quantity") > 25, "acute").otherwise("stable").alias("course"), "l_returnflag")
     return lines.where("l_returnflag = 'R'").drop("l_returnflag"), lines.where("l_returnflag = 'A'").drop("l_returnflag")
 
 
@@ -226,3 +228,27 @@ def problem_list_scores(t):
 def problem_list_summary(t):
     """One row of all means, severity-weighted and by course."""
     return problems.summary(problems.scores(*_lists(t), "item"))
+
+
+@query("grade_errors", """
+WITH r AS (SELECT o_custkey AS item, l_orderkey * 8 + l_linenumber AS place, l_partkey AS passage, l_linenumber % 5 AS grade FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+j AS (SELECT o_custkey AS item, l_partkey AS passage, max(CASE WHEN l_discount > 0.07 THEN 3 WHEN l_discount > 0.04 THEN 1 ELSE 0 END) AS worth FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'N' GROUP BY ALL),
+x AS (SELECT r.*, worth FROM r LEFT JOIN j USING (item, passage) WHERE item IN (SELECT item FROM j)),
+e AS (SELECT item, place, 'schema_mismatch' AS category, 'wrong_key_name' AS subtype, passage FROM x WHERE worth IS NULL UNION ALL
+  SELECT item, place, 'reasoning_error', CASE WHEN grade >= 3 THEN 'grade_inflation' ELSE 'grade_deflation' END, passage FROM x WHERE (grade >= 3 AND coalesce(worth, 0) <= 0) OR (grade <= 0 AND worth >= 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY item, subtype ORDER BY place, passage::VARCHAR) AS number, count(*) OVER (PARTITION BY item, subtype) AS n_all FROM e)
+SELECT item, category, subtype, number::INT AS number, passage::VARCHAR AS detail, n_all FROM n WHERE number <= CASE subtype WHEN 'wrong_key_name' THEN 3 ELSE 5 END""")
+def grade_errors(t):
+    """Lines of a customer's orders as graded passages, against grades by discount of those that were returned or accepted."""
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("item"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), F.col("l_partkey").alias("passage"), "l_linenumber", "l_discount", "l_returnflag")
+    worth = F.when(F.col("l_discount") > 0.07, 3).when(F.col("l_discount") > 0.04, 1).otherwise(0)
+    return errors.grades(lines.select("item", "place", "passage", (F.col("l_linenumber") % 5).alias("grade")), lines.where("l_returnflag <> 'N'").select("item", "passage", worth.alias("grade")))
+
+
+@query("problem_list_errors")
+def problem_list_errors(t):
+    """What is wrong with each customer's codes; only codes of even parts exist."""
+    right, given = _lists(t)
+    valid = right.union(given).where(F.substring("code", 5, 1).isin("0", "2", "4", "6", "8")).select("code", F.lower("code").alias("name")).distinct()
+    texts = t.customer.select(F.col("c_custkey").alias("item"), F.concat_ws(" ", "c_name", F.lit("e11.2 k05.4")).alias("text"))
+    return errors.problem_lists(given, right, valid, texts)
