@@ -88,3 +88,25 @@ def value_agrees(finding: Column, text: Column) -> Column:
     patterns = F.create_map(*[F.lit(x) for name, names in ANALYTES.items() for x in (name, _any_of(names))])
     agrees = lambda asked: F.array_contains(reported(text, F.try_element_at(patterns, asked["analyte"])), asked["direction"])
     return F.coalesce(bound(expected(finding), agrees), F.lit(False))
+
+
+#: Characters before a mention that may deny it, and what ends a clause: fixed values.
+DENIED_WITHIN, CLAUSE_END = 30, r"(?s)^.*(?: but | however |;|\. )"
+
+
+def only_denied(finding: Column, text: Column) -> Column:
+    """Whether a text holds a finding, in whatever case, and each mention follows a denial within DENIED_WITHIN characters of its clause; false without a mention."""
+
+    def mentions(phrase: Column) -> Column:
+        quoted = F.concat(F.lit(r"\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+        def judged(parts: Column) -> Column:
+            # As each piece and mention has a character at least, so many pieces cover what stands before a mention.
+            first = lambda i: F.greatest(i - DENIED_WITHIN, F.lit(1))
+            before = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.right(F.call_function("array_join", F.slice(parts, first(i), i - first(i) + 1), phrase), F.lit(DENIED_WITHIN)))
+            denied = lambda p: bound(F.regexp_replace(p, CLAUSE_END, ""), lambda q: reduce(lambda a, d: a | F.contains(q, F.lit(d)), DENIALS, F.lit(False)))
+            return (F.size(parts) > 1) & F.forall(before, denied)
+
+        return (phrase != "") & bound(F.split(F.lower(F.coalesce(text, F.lit(""))), quoted), judged)
+
+    return F.coalesce(bound(F.lower(F.trim(finding)), mentions), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,11 @@ def ranking_metrics(ranked: DataFrame, item: str, *, k: int = 10, relevant: int
     )
 
 
+def latency_adjusted(score: Column, mean_ms: Column) -> Column:
+    """A score divided by log2(1 + the mean latency in seconds); the score itself where no latency is known or it is 0."""
+    return F.coalesce(score / F.nullif(F.log2(1 + mean_ms / 1000.0), F.lit(0.0)), score)
+
+
 def conditioned(items: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
     """One row of recall, leakage and abstention over items (item, involved, abstained), gold findings (item, tier, critical, finding) and found ones (item, finding).
 
