@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import assessment, chart, comparisons, episodes, evaluation, graphs, notes, relational, resolution, texts, timelines, traces, visits  # noqa: F401  they register their queries
+from . import assessment, chart, comparisons, episodes, evaluation, graphs, notes, records, relational, resolution, texts, timelines, traces, visits  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
