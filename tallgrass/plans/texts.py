@@ -44,6 +44,10 @@ def inverted_index(t):
     return postings.groupBy("token").agg(F.count("*").alias("df"), F.min("p_partkey").alias("first_part"))
 
 
+#: Pairs of distinct names that are broadcast with their similarity; with more of them both sides are shuffled.
+BROADCAST_NAMES = 100_000
+
+
 @query("similarity_pairs", f"""
 WITH p AS (SELECT p_partkey, p_brand, p_type, p_size, p_name, list_distinct({TOKENS.format(c='p_name')}) AS k, {GRAMS.format(c='p_name')} AS g FROM part),
 j AS (SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.k, y.k)) AS i, len(x.k) AS nx, len(y.k) AS ny, len(list_intersect(x.g, y.g)) AS gi, len(x.g) AS gx, len(y.g) AS gy,
@@ -52,10 +56,15 @@ j AS (SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.k, y.k)) A
 SELECT a, b, round(least(1.0, 0.55 * CASE WHEN nx + ny - i > 0 THEN i / (nx + ny - i) ELSE 0 END + 0.30 * CASE WHEN least(nx, ny) > 0 THEN i / least(nx, ny) ELSE 0 END
        + 0.15 * gi / (gx + gy - gi) + CASE WHEN h THEN 0.10 ELSE 0 END), 6) AS similarity FROM j""")
 def similarity_pairs(t):
-    part = t.part.select("p_partkey", "p_brand", "p_type", "p_size", "p_name")
-    other = part.select("p_brand", "p_type", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("b_name"))
-    both = part.join(other, ["p_brand", "p_type", "p_size"]).where("p_partkey < b")
-    return both.select(F.col("p_partkey").alias("a"), "b", F.round(text.similarity(F.col("p_name"), F.col("b_name")), 6).alias("similarity"))
+    """Pairs of parts of one brand, type and size. Every two names that meet are compared once, however many parts have them, and pairs of parts take the result."""
+    key = ["p_brand", "p_type", "p_size"]
+    named = t.part.groupBy(*key, F.struct("p_name").alias("n")).agg(F.collect_list("p_partkey").alias("parts"))  # in a struct, as then a null equals another
+    side = lambda n, parts: named.select(*key, F.col("n").alias(n), F.col("parts").alias(parts))
+    both = side("n", "xs").join(side("m", "ys"), key).where("n <= m")
+    scored = both.select("n", "m").distinct().withColumn("similarity", F.round(text.similarity(F.col("n.p_name"), F.col("m.p_name")), 6)).persist()
+    met = both.join(F.broadcast(scored) if scored.count() <= BROADCAST_NAMES else scored, ["n", "m"])
+    pairs = met.withColumn("x", F.explode("xs")).select("n", "m", "x", "similarity", F.explode("ys").alias("y")).where("n < m OR x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 sql("sentence_split", r"""
