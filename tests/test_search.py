@@ -6,11 +6,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions.stemming import porter
-from tallgrass.operators.search import FIELD, match_all, postings
+from tallgrass.operators.search import FIELD, asked_words, match_all, postings, stretches
 
 
 def scan(docs: list[tuple], queries: list[tuple], weights: list[float], stem) -> dict:
@@ -53,3 +54,24 @@ def test_adjacent_words_rank_first(spark):
     found = match_all(postings(docs, "i", {"t": 1.0}), spark.createDataFrame([(1, "Kidney stones")], "q int, t string"), "q", "t").orderBy("k").collect()
     assert [(r.doc, r.k) for r in found] == [(2, 1), (3, 2), (1, 3)]
     assert match_all(postings(docs.limit(0), "i", {"t": 1.0}), spark.createDataFrame([(1, "x")], "q int, t string"), "q", "t").count() == 0
+
+
+@pytest.mark.parametrize("stems", [False, True])
+def test_postings_of_asked_words_find_the_same(spark, stems):
+    """Only words that are asked for are grouped, and the search finds what it finds in all postings."""
+    docs = spark.createDataFrame([(i, f"runs running {'stone ' * (i % 3)}kidney kidneys w{i} relation relational", "web" if i % 2 else None) for i in range(40)], "i int, t string, s string")
+    queries = spark.createDataFrame([(1, "kidney run"), (2, "stones kidney web"), (3, "relation w7"), (4, "none")], "q int, t string")
+    fields = {"t": 1.0, "s": 2.0}
+    few = postings(docs, "i", fields, stems=stems, only=asked_words(queries, "q", "t", stems=stems))
+    assert not [r for r in few.select("word").distinct().collect() if r.word.startswith("w") and r.word not in ("w7", "web")]
+    rows = lambda post: sorted(map(tuple, match_all(post, queries, "q", "t", stems=stems).collect()))
+    assert rows(few) == rows(postings(docs, "i", fields, stems=stems)) != []
+
+
+def test_stretches_equal_all_stretches():
+    rng = random.Random(3)
+    rows = [[sorted(rng.sample(range(60), rng.randint(1, 6))) for _ in range(rng.randint(1, 4))] for _ in range(80)]
+    got = stretches(np.array([p for r in rows for x in r for p in x]), np.array([len(x) for r in rows for x in r]), np.array([len(r) for r in rows]))
+    for r, n in zip(rows, got, strict=True):
+        ends = sorted({p for x in r for p in x})
+        assert n == min(b - a for a in ends for b in ends if b >= a and all(any(a <= p <= b for p in x) for x in r))
