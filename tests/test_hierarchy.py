@@ -62,6 +62,18 @@ def test_intervals_equal_walks(spark, edges):
     assert sorted(map(tuple, under)) == sorted((t, i) for t in tops for i in items if t in up.get(i, {}))
 
 
+def test_large_tables_are_not_broadcast(spark):
+    """Millions of short rows look small to Spark; nothing that grows with the nodes may be collected on the driver, and a parent's leaves take no part in the rounds."""
+    edges = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("c"), F.explode(F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("g"), F.col("id") % 7))).alias("p")).cache()
+    tree = Hierarchy(edges, "c", "p")
+    label = tree.label(edges, "c", "x", "y")
+    assert "Broadcast" not in label._jdf.queryExecution().executedPlan().toString() and label.count() == 9000 and label.where("y = x + 1").count() == 9000
+    assert tree.nodes.agg(F.min("low"), F.max("high"), F.count("*")).first()[:] == (1, 2 * 3009, 3009)
+    under = tree.under(edges.select(F.col("c").alias("item")), "item", edges.select(F.col("p").alias("top")), "top")
+    assert sorted(map(tuple, under.collect())) == sorted((r.p, r.c) for r in edges.distinct().collect())
+    edges.unpersist()
+
+
 def test_cycles_raise(spark):
     for edges in ([(1, 2), (2, 1)], [(1, 0), (2, 1), (1, 2)]):
         with pytest.raises(ValueError, match="cycle"):
