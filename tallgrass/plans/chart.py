@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import clinical, text
 from tallgrass.operators import dedup, resolve, retrieval
+from tallgrass.sources.tables import checkpoint_folder
 
 from .registry import query, sql
 
@@ -90,9 +91,13 @@ def submission_upsert(t):
 @query("hybrid_search")
 def hybrid_search(t):
     """Documents for each benchmark item: the best by words, ranked again by the Jaccard similarity of their tokens, both rankings fused by reciprocal ranks."""
-    lexical = retrieval.bm25_topk(t.documents, "doc_id", t.benchmark, "item_id", k=50)
-    found = lexical.join(t.documents.select("doc_id", "text"), "doc_id").join(t.benchmark.select("item_id", F.col("text").alias("asked")), "item_id")
-    grams = found.select("item_id", "doc_id", F.round(text.jaccard(F.array_distinct(text.tokens(F.col("asked"))), F.array_distinct(text.tokens(F.col("text")))), 6).alias("score"))
+    checkpoint_folder(t.spark)
+    lexical = retrieval.bm25_topk(t.documents, "doc_id", t.benchmark, "item_id", k=50).checkpoint()
+    known = lambda c: F.array_distinct(text.tokens(F.col(c)))
+    # sets of tokens are made once for each text that was found, then compared
+    texts = t.documents.join(lexical.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", known("text").alias("held"))
+    found = lexical.select("item_id", "doc_id").join(texts, "doc_id").join(t.benchmark.select("item_id", known("text").alias("asked")), "item_id")
+    grams = found.select("item_id", "doc_id", F.round(text.jaccard(F.col("asked"), F.col("held")), 6).alias("score"))
     return retrieval.fuse({"words": lexical.select("item_id", "doc_id", "k"), "tokens": retrieval._top(grams, "item_id", "doc_id", 50).select("item_id", "doc_id", "k")}, "item_id", "doc_id").where("k <= 10")
 
 
