@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entities that are resolved, in this order (so that &amp;lt; becomes <): fixed values.
@@ -96,6 +96,20 @@ def phrase_in(phrase: Column, text: Column, text_tokens: Column | None = None, l
     return F.contains(F.lower(text), F.lower(phrase)) | ((F.size(p) > 0) & (F.size(F.array_intersect(p, t)) >= least * F.size(p)))
 
 
+def phrase_counts(docs: DataFrame, doc_id: str, text_col: str, phrases: DataFrame, phrase: str, *, least: float = 0.7, block: int = 500) -> DataFrame:
+    """Rows (doc_id, n): how many of the phrases (distinct) each document holds, as phrase_in says. Phrases come in blocks of about so many, which every document meets in turn.
+
+    A text is lower-cased and split once, and phrases are compared with those of its tokens alone that some phrase of the block has.
+    """
+    about = F.struct(F.lower(phrase).alias("low"), F.array_distinct(tokens(F.col(phrase))).alias("k"))
+    blocks = phrases.groupBy(F.pmod(F.xxhash64(phrase), F.lit(phrases.count() // block + 1)).alias("_block")).agg(F.collect_list(about).alias("_phrases"))
+    blocks = blocks.select("_phrases", F.array_distinct(F.flatten("_phrases.k")).alias("_vocabulary"))
+    each = docs.select(doc_id, F.lower(text_col).alias("_low"), F.array_distinct(tokens(F.col(text_col))).alias("_tokens"))
+    held = lambda known: lambda p: F.contains("_low", p["low"]) | ((F.size(p["k"]) > 0) & (F.size(F.array_intersect(p["k"], known)) >= least * F.size(p["k"])))
+    n = bound(F.array_intersect("_tokens", "_vocabulary"), lambda known: F.size(F.filter("_phrases", held(known))))
+    return each.crossJoin(blocks).groupBy(doc_id).agg(F.sum(n).alias("n"))
+
+
 def sentences(c: Column, longer_than: int = 10) -> Column:
     """Split after . ! ? and white space; sentences of at most longer_than characters go."""
     return F.filter(F.split(F.trim(c), r"(?<=[.!?])\s+"), lambda s: F.length(s) > longer_than)

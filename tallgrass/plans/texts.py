@@ -122,10 +122,7 @@ SELECT doc_id, count_if(contains(lower(text), lower(p_name)) OR (len(n.k) > 0 AN
 def phrase_in_text(t):
     """How many of a stated list of phrases, here the distinct names of the smallest parts, each document holds. The list comes in blocks of about 500, which every document meets in turn."""
     phrases = t.part.where("p_size = 1").select("p_name").distinct()
-    blocks = phrases.groupBy(F.pmod(F.xxhash64("p_name"), F.lit(phrases.count() // 500 + 1)).alias("block")).agg(F.collect_list("p_name").alias("phrases"))
-    docs = t.documents.select("doc_id", "text", F.array_distinct(text.tokens(F.col("text"))).alias("tokens"))
-    hits = F.filter("phrases", lambda p: text.phrase_in(p, F.col("text"), F.col("tokens")))
-    return docs.crossJoin(blocks).groupBy("doc_id").agg(F.sum(F.size(hits)).alias("n_phrases"))
+    return text.phrase_counts(t.documents, "doc_id", "text", phrases, "p_name").select("doc_id", F.col("n").alias("n_phrases"))
 
 
 @query("glob_filter", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%' OR p_name LIKE '%r_ng'")

@@ -71,3 +71,13 @@ def test_ranking_metrics(spark):
 def test_weighted_overlap(spark):
     df = spark.createDataFrame([("a", "f", 1.0), ("a", "g", 2.0), ("b", "f", 2.0), ("b", "h", 1.0)], "i string, f string, w double")
     assert pairs.weighted_overlap(df, "i", "f", F.col("w")).collect() == [("a", "b", 1.0 / 5.0)]
+
+
+def test_phrase_counts_equal_phrase_in(spark):
+    docs = spark.createDataFrame([(1, "Large RING, hot bolt"), (2, "largering of bolts"), (3, None), (4, ""), (5, "ring ring large x9y")], "id int, body string")
+    phrases = spark.createDataFrame([("large ring",), ("hot bolt",), ("",), ("x9",), ("Ring of large bolts",)], "p string")
+    each = docs.crossJoin(phrases).groupBy("id").agg(F.sum(F.when(text.phrase_in(F.col("p"), F.col("body")), 1).otherwise(0)).alias("n"))
+    for block in (1, 500):
+        got = text.phrase_counts(docs, "id", "body", phrases, "p", block=block)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, each.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+") == 2
