@@ -63,9 +63,14 @@ def current_visit_means(each: DataFrame, keys: list[str] | None = None) -> DataF
 
 def found_in(texts: DataFrame, gold: DataFrame) -> DataFrame:
     """Rows (item, finding, how): the distinct findings of gold (item, finding) that the item's text (texts: item, text) names, by phrase or by value, as metrics.conditioned takes them. Findings of an item with several texts may be in any."""
-    written = texts.select("item", F.coalesce("text", F.lit("")).alias("text")).withColumn("known", F.array_distinct(tokens(F.col("text"))))
-    asked = gold.select("item", "finding").where(F.trim("finding") != "").distinct()
-    return asked.join(written, "item").select("item", "finding", how_named(F.col("finding"), F.col("text"), F.col("known")).alias("how")).where("how IS NOT NULL").groupBy("item", "finding").agg(F.min("how").alias("how"))
+    # short rows that take long to judge: as many tasks as a shuffle has, which adaptive execution doesn't join into few
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    written = texts.select("item", F.coalesce("text", F.lit("")).alias("text")).repartition(tasks, "item").withColumn("known", F.array_distinct(tokens(F.col("text"))))
+    asked = gold.select("item", "finding").where(F.trim("finding") != "").repartition(tasks, "item").distinct()
+    how = how_named(F.col("finding"), F.col("text"), F.col("known"))
+    # nulls are dropped after the groups are made, as a filter before would judge every row twice
+    judged = asked.join(written.hint("merge"), "item").select("item", "finding", how.alias("how"))
+    return judged.groupBy("item", "finding").agg(F.min("how").alias("how")).where("how IS NOT NULL")
 
 
 def token_f1(a: Column, b: Column) -> Column:
