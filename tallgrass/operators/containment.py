@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.text import bound, sentences, words
+from tallgrass.sources.tables import checkpoint_folder
 
 
 def word_set(c: Column) -> Column:
@@ -17,13 +18,18 @@ def containment_join(held: DataFrame, held_id: str, holders: DataFrame, holder_i
     """Rows (held_id, holder_id, share): every pair in which the holder has a share of at least `least` (over 0) of the other set's items. items is an array in both tables; null and repeated items count once or not at all, an empty set is held by none.
 
     A holder with that share of a set of n has one of any n - ceil(least n) + 1 of its items, so a set meets holders by so many of its rarest items only, by equality; frequent items are never joined on unless a set has no others.
-    Pairs are then counted on the sets. Ids must be unique; both may clash with other columns, which are ignored.
+    Pairs are then counted on the sets. Ids must be unique; both may clash with other columns, which are ignored. What holders have of the held sets' items is written to the checkpoint folder.
     """
-    sets = lambda df, key, name: df.select(F.col(key).alias(name), F.array_distinct(F.array_compact(items)).alias(f"{name}_set")).where(F.size(f"{name}_set") > 0)
-    small, large = sets(held, held_id, "x"), sets(holders, holder_id, "y")
+    checkpoint_folder(holders.sparkSession)
+    of = F.array_distinct(F.array_compact(items))
+    small = held.select(F.col(held_id).alias("x"), of.alias("x_set")).where(F.size("x_set") > 0)
+    asked = small.select("x", F.explode("x_set").alias("item"))
+    # holders' sets are made once; items that no held set has are dropped where they are read, before anything is shuffled
+    listed = holders.where(F.col(holder_id).isNotNull()).select(F.col(holder_id).alias("y"), F.explode(of).alias("item")).join(asked.select("item").distinct(), "item", "left_semi")
+    large = listed.groupBy("y").agg(F.collect_list("item").alias("y_set")).checkpoint()
     each = large.select("y", F.explode("y_set").alias("item"))
     common = each.groupBy("item").agg(F.count("*").alias("n"))
-    ranked = small.select("x", F.explode("x_set").alias("item")).join(common, "item", "left").groupBy("x").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item"))).alias("r"))
+    ranked = asked.join(common, "item", "left").groupBy("x").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item"))).alias("r"))
     first = F.size("r") - F.ceil(F.size("r") * F.lit(least) - 1e-9).cast("int") + 1
     prefix = ranked.select("x", F.explode(F.filter(F.slice("r", F.lit(1), first), lambda e: e["n"] > 0)).alias("e")).select("x", "e.item")
     likely = prefix.join(each, "item").select("x", "y").distinct()

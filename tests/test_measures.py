@@ -204,3 +204,13 @@ def test_codes_ids_and_first_seen(spark):
     assert {r.i: r.known_id for r in resolve.known_ids(ids, "i", known).collect()} == {"1": "ees_1", "2": "fc_2", "3": "3", "x_3": "3", "9": "9", "x_8": "x_8"}
     rows = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (1, "b", 5), (1, None, 0), (1, "c", 1), (2, "a", 1)], "k int, v string, t int")
     assert {r.k: r["values"] for r in dedup.first_seen(rows, "k", "v", ["t"], most=2).collect()} == {1: ["c", "b"], 2: ["a"]}
+
+
+def test_holders_sets_are_made_once(spark):
+    from tallgrass.operators import containment
+
+    held = spark.createDataFrame([(1, ["a", "b", "c", None, "a"]), (2, []), (3, None), (4, ["z"])], "x int, items array<string>")
+    holders = spark.createDataFrame([(1, "a b q r"), (2, "c b a a"), (3, None), (4, ""), (None, "a b c")], "y int, line string").select("y", F.split("line", " ").alias("items"))
+    found = containment.containment_join(held, "x", holders, "y", "items", least=0.6)
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.x, r.y, round(r.share, 6)) for r in found.collect()) == [(1, 1, 0.666667), (1, 2, 1.0)]
