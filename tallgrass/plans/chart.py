@@ -13,6 +13,9 @@ from tallgrass.sources.tables import checkpoint_folder
 
 from .registry import query, sql
 
+#: Rows that one task of condition_search groups.
+ROWS = 500_000
+
 
 def search(df: DataFrame, *conditions: Column | None) -> DataFrame:
     """The rows that meet all conditions that are given."""
@@ -44,7 +47,9 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(D
 def condition_search(t):
     """Parts that a customer ordered at least twice, with a status."""
     both = t.orders.select("o_orderkey", "o_custkey").join(t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag"), F.col("o_orderkey") == F.col("l_orderkey"))
-    found = both.groupBy("o_custkey", "l_partkey").agg(F.min("o_orderkey").alias("first_order"), F.when(F.bool_or(F.col("l_returnflag") == "R"), "active").otherwise("resolved").alias("status"), F.count_distinct("o_orderkey").alias("n_orders"))
+    # the groups' rows meet before any hash table is made, in tasks of about ROWS rows at any size of the table
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.lineitem.count() // ROWS + 1)
+    found = both.repartition(tasks, "o_custkey", "l_partkey").groupBy("o_custkey", "l_partkey").agg(F.min("o_orderkey").alias("first_order"), F.when(F.bool_or(F.col("l_returnflag") == "R"), "active").otherwise("resolved").alias("status"), F.count_distinct("o_orderkey").alias("n_orders"))
     return found.where("n_orders >= 2")
 
 

@@ -67,3 +67,13 @@ def test_observations(spark):
     findings = spark.createDataFrame([("f", "lab", 0), ("g", "sign", 0)], "finding string, kind string, mention int")
     assert sorted(map(tuple, chart.observations(e, mentions, findings).select("patient", "finding", "mention", "kind").collect())) == [("p", "f", 1, "lab"), ("p", "g", 3, "sign")]
     assert [r["finding"] for r in chart.observations(e, mentions, findings, kinds=F.col("kind") == "sign").collect()] == ["g"]
+
+
+def test_condition_search_groups_in_bounded_tasks(spark, sf, monkeypatch):
+    from tallgrass.plans import catalogue, chart
+
+    monkeypatch.setattr(chart, "ROWS", 1000)
+    plan = catalogue.QUERIES["condition_search"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1000 + 1
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning(o_custkey" in line]
+    assert n > 4 and len(exchanges) == 1 and f", {n})" in exchanges[0] and "REPARTITION_BY_NUM" in exchanges[0]
