@@ -54,23 +54,26 @@ def greedy_clusters(nodes: DataFrame, pairs: DataFrame, item: str, *, most: int
     """Rows (item, cluster). Greedy clusters: the item with the most neighbours that is still free takes its free neighbours in order of weight (ties: the smaller item), up to `most` items, and so on.
 
     pairs has a, b, w for every two neighbours, in both directions. An item that comes first among all free items within two links would be the next of them to choose, whatever happens elsewhere,
-    so all such items choose at once, round by round. Null items are left out. Rounds are written to the checkpoint folder.
+    so all such items choose at once, round by round: each item names the first of itself and its free neighbours, and whom all of them name chooses. Only links between free items go into the next round, with their items' ranks,
+    which never change; items that no link is left to are clusters of their own at the end. Null items are left out. Rounds are written to the checkpoint folder.
     """
     checkpoint_folder(nodes.sparkSession)
-    edges = pairs.select("a", "b", "w").checkpoint()
-    size = edges.groupBy(F.col("a").alias("item")).agg(F.count("*").alias("n"))
-    rank = F.struct(F.col("n"), (-F.col("item")).alias("first"))
-    free = nodes.select(F.col(item).alias("item")).where("item IS NOT NULL").distinct().join(size, "item", "left").na.fill(0, ["n"]).select("item", rank.alias("rank")).checkpoint()
+    edges = pairs.where("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")).checkpoint()
+    there = nodes.select(F.col(item).alias("item")).where("item IS NOT NULL").distinct().checkpoint()
+    size = there.join(edges.groupBy(F.col("a").alias("item")).agg(F.count("*").alias("n")), "item")
+    live = edges.join(size.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b").checkpoint()
+    order = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
+    rank = lambda n, i: F.struct(F.col(n).alias("n"), (-F.col(i)).alias("first"), F.col(i).alias("item"))
     done = None
-    while not free.isEmpty():
-        live = edges.join(free.select(F.col("item").alias("a"), F.col("rank").alias("ra")), "a").join(free.select(F.col("item").alias("b"), F.col("rank").alias("rb")), "b").checkpoint()
-        near = live.groupBy("a").agg(F.max(F.greatest("ra", "rb")).alias("best"))
-        far = live.join(near.withColumnRenamed("a", "b"), "b").groupBy(F.col("a").alias("item")).agg(F.max("best").alias("best"))
-        seeds = free.join(far, "item", "left").where(F.coalesce("best", "rank") == F.col("rank")).select("item")
-        order = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
+    while not live.isEmpty():
+        named = live.groupBy("a").agg(F.count("*").alias("n"), F.max(F.greatest(rank("na", "a"), rank("nb", "b"))).alias("best")).select("a", F.col("best.item").alias("item"), F.when(F.col("a") == F.col("best.item"), F.col("n") + 1).alias("need"))
+        seeds = named.groupBy("item").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n = need").select("item")
         taken = live.join(seeds.withColumnRenamed("item", "a"), "a", "left_semi").withColumn("_k", order).where(F.col("_k") < most).select(F.col("b").alias("item"), F.col("a").alias("cluster"))
         new = seeds.select("item", F.col("item").alias("cluster")).union(taken).checkpoint()
+        if new.isEmpty():
+            raise ValueError("pairs must have each pair in both directions")
         done = new if done is None else done.union(new)
-        free = free.join(new, "item", "left_anti").checkpoint()
-    none = nodes.select(F.col(item).alias("item"), F.col(item).alias("cluster")).limit(0)
-    return (none if done is None else done).withColumnRenamed("item", item)
+        live = live.join(new.select(F.col("item").alias("b")), "b", "left_anti").join(new.select(F.col("item").alias("a")), "a", "left_anti").checkpoint()
+    alone = there if done is None else there.join(done.select("item"), "item", "left_anti")
+    single = alone.select("item", F.col("item").alias("cluster"))
+    return (single if done is None else done.union(single)).withColumnRenamed("item", item)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import similarity, stemming, text, values
 from tallgrass.operators import cluster, containment, dedup, graph, selection, stats
+from tallgrass.sources.tables import checkpoint_folder
 
 from .registry import query
 
@@ -178,6 +179,8 @@ def greedy_cluster(t):
     """Customers of one nation and segment that share parts, in clusters of five at most."""
     items = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
     people = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").join(items, F.col("c_custkey") == F.col("o_custkey")).drop("o_custkey")
+    checkpoint_folder(t.spark)
+    people = people.checkpoint()
     key = ["c_nationkey", "c_mktsegment", "l_partkey"]
     pairs = people.select(*key, F.col("c_custkey").alias("a")).join(people.select(*key, F.col("c_custkey").alias("b")), key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
     return graph.greedy_clusters(people, pairs, "c_custkey")

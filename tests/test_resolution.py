@@ -123,3 +123,16 @@ def test_conditioned_metrics(spark):
     absent = [(1, False, True), (2, False, False)]
     r = conditioned(spark, absent, [(1, "excluded", False, "af"), (2, "excluded", False, "af")], [(2, "af")])
     assert (r.n_involved, r.n_absent, r.abstention_accuracy, r.absent_leakage_rate) == (0, 2, 0.5, 0.5)
+
+
+def test_clusters_hold_an_item_once_and_links_of_the_free_alone(spark, monkeypatch):
+    links = [(a, a + 1, 1) for a in range(1, 12)] + [(1, 1, 5), (4, 4, 2), (2, 3, 1)]
+    pairs = spark.createDataFrame(links + [(b, a, w) for a, b, w in links if a != b], "a int, b int, w int")
+    kept, checkpoint = [], type(pairs).checkpoint
+    monkeypatch.setattr(type(pairs), "checkpoint", lambda df, *a: kept.append(checkpoint(df, *a)) or kept[-1])
+    rows = graph.greedy_clusters(spark.range(1, 15).withColumnRenamed("id", "i"), pairs, "i", most=2).collect()
+    assert sorted(r.i for r in rows) == list(range(1, 15))
+    n_rounds = sum(df.columns == ["item", "cluster"] for df in kept)
+    assert n_rounds > 1 and len(kept) == 3 + 2 * n_rounds
+    sizes = [df.count() for df in kept if {"a", "b", "na"} <= set(df.columns)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 0
