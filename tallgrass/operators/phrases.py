@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import clinical
 from tallgrass.functions.text import bound
+from tallgrass.sources.tables import checkpoint_folder
 
 from . import resolve
 
@@ -36,28 +37,37 @@ def near(tokens: Column, words: Column) -> Column:
     anchor = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     first = lambda i: F.greatest(i - reach, F.lit(0))
     around = lambda i: F.slice(tokens, first(i) + 1, i + reach + 1 - first(i))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.get(tokens, i) == anchor)
+    places = bound(anchor, lambda a: F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.get(tokens, i) == a))
     return F.when(F.size(words) == 1, F.array_contains(tokens, F.element_at(words, 1))).otherwise(F.exists(places, lambda i: F.size(F.array_except(words, around(i))) == 0))
 
 
 def pattern_hits(texts: DataFrame, key: str, tokens: str, patterns: DataFrame) -> DataFrame:
     """Rows (key, concept, evidence): the concepts one of whose patterns a text has, with the words that show the first such pattern: for each part the first word that fits.
 
-    patterns has concept, number (their order) and pattern: parts with spaces between, of which one with * at its end fits words that begin with its shortest singular form, any other words with a singular form in common.
+    patterns has concept, number (their order) and pattern: parts with spaces between, of which one with * at its end fits words that begin with its shortest singular form, any other words with a singular form in common. Keys are unique in texts.
     """
     parts = patterns.select("concept", "number", F.filter(F.split("pattern", " +"), lambda p: p != "").alias("p")).where("size(p) > 0").select("concept", "number", F.size("p").alias("need"), F.posexplode("p").alias("part", "text"))
     loose = F.endswith("text", F.lit("*"))
     exact = parts.where(~loose).withColumn("form", F.explode(clinical.singular_forms(F.col("text")))).select("concept", "number", "need", "part", "form")
     prefix = parts.where(loose).withColumn("form", clinical.stem(F.regexp_replace("text", r"\*$", ""))).select("concept", "number", "need", "part", "form")
-    held = texts.select(key, F.posexplode(tokens).alias("at", "word")).groupBy(key, "word").agg(F.min("at").alias("at"))
+    # of a word's places the first counts, and distinct words keep the order of these, so that nothing is grouped before words meet parts
+    each = texts.select(key, F.array_distinct(tokens).alias("_w"))
+    held = each.select(key, F.posexplode("_w").alias("at", "word"))
     vocabulary = held.select("word").distinct()
     whole = vocabulary.withColumn("form", F.explode(clinical.singular_forms(F.col("word")))).join(exact, "form")
     begun = vocabulary.withColumn("form", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.left("word", n)))).join(prefix, "form")
     fitting = whole.unionByName(begun).drop("form").distinct()
-    shown = held.join(fitting, "word").groupBy(key, "concept", "number", "need", "part").agg(F.min(F.struct("at", "word")).alias("m"))
-    found = shown.groupBy(key, "concept", "number", "need").agg(F.count("*").alias("n"), F.collect_set("m.word").alias("evidence")).where("n = need")
-    first = found.groupBy(key, "concept").agg(F.min_by("evidence", "number").alias("evidence"))
-    return first.select(key, "concept", "evidence")
+    # both groups' keys begin with the text's, so rows are dealt out once
+    met = held.join(fitting, "word").select(key, "concept", "number", "need", "part", "at").repartition(key)
+    shown = met.groupBy(key, "concept", "number", "need", "part").agg(F.min("at").alias("at"))
+    lists = shown.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("concept", "number", "need", "part", "at"))).alias("_p")).join(each, key)
+    # parts of a pattern lie side by side: it is whole if the last one stands where it should
+    same = lambda x, y: x["concept"].eqNullSafe(y["concept"]) & x["number"].eqNullSafe(y["number"]) & (x["need"] == y["need"])
+    ends = F.transform("_p", lambda x, i: F.when((x["part"] == 0) & F.coalesce(same(x, F.get("_p", i + x["need"] - 1)), F.lit(False)), F.struct(x["concept"].alias("concept"), i.alias("i"), x["need"].alias("need"))))
+    first = bound(F.filter(ends, lambda x: x.isNotNull()), lambda w: F.filter(w, lambda x, j: (j == 0) | ~F.get(w, j - 1)["concept"].eqNullSafe(x["concept"])))
+    words = lambda x: F.array_distinct(F.transform(F.slice("_p", x["i"] + 1, x["need"]), lambda p: F.get("_w", p["at"])))
+    found = lists.select(key, F.explode(F.transform(first, lambda x: F.struct(x["concept"].alias("concept"), words(x).alias("evidence")))).alias("x"))
+    return found.select(key, "x.concept", "x.evidence")
 
 
 def name_forms(inventory: DataFrame, words: Callable[[Column], Column], *, most: int | None = 60, longest: int = 6) -> DataFrame:
@@ -81,8 +91,9 @@ def concepts(
     those whose words a curated one has too. With snap, words of six letters or more that no name has become the most similar name's word (see resolve.snapped). Null texts and texts without content words name nothing; rows
     with one id are judged one by one.
     """
-    named = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("tokens")).where("size(tokens) > 0").distinct()
-    texts = named.withColumn("_key", F.md5(F.concat_ws("\x00", F.col("_id").cast("string"), F.array_join("tokens", " "))))
+    checkpoint_folder(docs.sparkSession)
+    # words are made once, and kept: each use would make them again, and once more for every condition on them
+    texts = docs.select(F.monotonically_increasing_id().alias("_key"), F.col(id_col).alias("_id"), words(F.col(text_col)).alias("tokens")).checkpoint().where("size(tokens) > 0")
     all_forms = name_forms(inventory, words, most=None).select(F.col("concept").cast("string").alias("concept"), "words").withColumn("_form", F.md5(F.array_join("words", " ")))
     shown = pattern_hits(all_forms.select("_form", "words"), "_form", "words", patterns.where(~F.col("concept").isin(generic)) if generic else patterns)
     single = shown.groupBy("_form").agg(F.count("*").alias("n"), F.min("concept").alias("curated")).where("n = 1").select("_form", F.concat(F.lit(CURATED), "curated").alias("curated"))
@@ -90,21 +101,20 @@ def concepts(
     forms = name_forms(inventory, words, most=most).select(F.col("concept").cast("string").alias("concept"), "words")
     if snap:
         texts = _snapped(texts, forms)
-    texts = texts.select("_id", "_key", "tokens")
     held = texts.select("_key", F.explode(F.array_distinct("tokens")).alias("w"))
     common = held.groupBy("w").agg(F.count("*").alias("n"))
     rarest = forms.select("concept", "words", F.explode("words").alias("w")).join(common, "w", "left").groupBy("concept", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("r"))
     likely = held.join(rarest.select("concept", "words", F.col("r.w").alias("w")), "w").groupBy("_key").agg(F.collect_list(F.struct("concept", "words")).alias("likely"))
-    names = texts.dropDuplicates(["_key"]).join(likely, "_key").select("_key", F.explode(bound(F.col("tokens"), lambda t: F.filter("likely", lambda f: near(t, f["words"])))).alias("f"))
+    names = texts.select("_key", "tokens").join(likely, "_key").select("_key", F.explode(bound(F.col("tokens"), lambda t: F.filter("likely", lambda f: F.forall(f["words"], lambda w: F.array_contains(t, w)) & near(t, f["words"])))).alias("f"))
     found = names.select("_key", F.col("f.concept").alias("concept"), F.col("f.words").alias("evidence")).join(absorbed, "concept", "left").select("_key", F.coalesce("curated", "concept").alias("concept"), "evidence")
     shown = pattern_hits(texts, "_key", "tokens", patterns).withColumn("concept", F.concat(F.lit(CURATED), "concept"))
     sets = found.unionByName(shown).groupBy("_key", "concept").agg(F.array_distinct(F.flatten(F.collect_list("evidence"))).alias("e"))
     every = sets.groupBy("_key").agg(F.collect_list(F.struct("concept", "e")).alias("all"))
     curated = lambda x: F.startswith(x["concept"], F.lit(CURATED))
-    within = lambda x, y: F.size(F.array_except(x["e"], y["e"])) == 0
-    lesser = lambda x: F.exists("all", lambda y: within(x, y) & (curated(y) | (F.size(x["e"]) < F.size(y["e"]))))
+    within = lambda x, y: F.forall(x["e"], lambda w: F.array_contains(y["e"], w))
+    lesser = lambda x: F.exists("all", lambda y: ((F.size(x["e"]) < F.size(y["e"])) | (curated(y) & (F.size(x["e"]) == F.size(y["e"])))) & within(x, y))
     kept = every.select("_key", F.explode(F.filter("all", lambda x: curated(x) | ~lesser(x))).alias("x")).select("_key", F.col("x.concept").alias("concept"))
-    return texts.select("_id", "_key").distinct().join(kept, "_key").select(F.col("_id").alias(id_col), "concept").distinct()
+    return texts.select("_id", "_key").join(kept, "_key").select(F.col("_id").alias(id_col), "concept").distinct()
 
 
 def _snapped(texts: DataFrame, forms: DataFrame) -> DataFrame:
