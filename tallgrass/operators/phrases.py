@@ -126,9 +126,12 @@ def _snapped(texts: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def agreement(pairs: DataFrame, id_col: str, predicted: str, reference: str, find: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
-    """Rows (id_col, n_pred, n_ref, precision, recall, f1) of each pair of texts (unique ids), on the sets of concepts that find(docs, id, text) gives; an empty set's share is 0."""
-    side = lambda text, name: find(pairs.select(id_col, F.col(text).alias("_text")), id_col, "_text").select(id_col, "concept", F.lit(1).alias(name))
-    both = side(predicted, "p").join(side(reference, "r"), [id_col, "concept"], "full").groupBy(id_col).agg(F.count("p").alias("n_pred"), F.count("r").alias("n_ref"), F.count(F.col("p") + F.col("r")).alias("n"))
+    """Rows (id_col, n_pred, n_ref, precision, recall, f1) of each pair of texts (unique ids), on the sets of concepts that find(docs, id, text) gives; an empty set's share is 0. find is asked once for all texts
+    of both sides, whose ids are structs."""
+    side = lambda name, text: F.struct(F.struct(F.col(id_col).alias("id"), F.lit(name).alias("side")).alias("_of"), F.col(text).alias("_text"))
+    docs = pairs.select(F.explode(F.array(side("p", predicted), side("r", reference))).alias("x")).select("x.*")
+    sides = find(docs, "_of", "_text").groupBy(F.col("_of.id").alias(id_col), "concept").agg(*[F.max(F.when(F.col("_of.side") == n, 1)).alias(n) for n in ("p", "r")])
+    both = sides.groupBy(id_col).agg(F.count("p").alias("n_pred"), F.count("r").alias("n_ref"), F.count(F.col("p") + F.col("r")).alias("n"))
     share = lambda of: F.when(F.coalesce(of, F.lit(0)) > 0, F.col("n") / of).otherwise(0.0)
     rated = pairs.select(id_col).join(both, id_col, "left").select(id_col, F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("n_ref", F.lit(0)).alias("n_ref"), share(F.col("n_pred")).alias("precision"), share(F.col("n_ref")).alias("recall"))
     total = F.col("precision") + F.col("recall")
