@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import clinical, nested
 from tallgrass.operators import graph, hierarchy, metrics, phrases, resolve
+from tallgrass.sources.tables import tasks_for
 
 from .registry import query
 from .texts import FORMS, GRAMS
@@ -219,5 +220,5 @@ def conditioned_metrics(t):
     gold = t.lineitem.select(F.col("l_orderkey").alias("item"), tier.alias("tier"), (F.col("l_quantity") > 25).alias("critical"), F.col("l_partkey").alias("finding"))
     found = t.lineitem.where("l_discount >= 0.04").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("finding"))
     items = t.orders.select(F.col("o_orderkey").alias("item"), (F.col("o_orderstatus") == "P").alias("involved"), (F.col("o_totalprice") < 100000).alias("abstained"))
-    out = metrics.conditioned(items, gold, found)
+    out = metrics.conditioned(items, gold, found, tasks=tasks_for(t.lineitem))
     return out.select(*[c if c.startswith("n_") else F.round(c, 6).alias(c) for c in out.columns])
