@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallgrass.operators import errors, metrics, problems, retrieval, search
+from tallgrass.sources.tables import tasks_for
 
 from .registry import query, sql
 
@@ -15,8 +16,11 @@ RANKED = """SELECT o_custkey AS item, l_partkey AS passage, row_number() OVER (P
 
 
 def ranked(t):
-    lines = t.orders.select("o_orderkey", "o_custkey").join(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag"), F.col("o_orderkey") == F.col("l_orderkey"))
-    scored = lines.groupBy(F.col("o_custkey").alias("item"), F.col("l_partkey").alias("passage")).agg(
+    # a customer's rows meet once, before any hash table is made: groups and ranks need no further shuffle
+    tasks = tasks_for(t.lineitem)
+    orders = t.orders.select("o_orderkey", "o_custkey").repartition(tasks, "o_orderkey")
+    lines = orders.join(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag").repartition(tasks, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    scored = lines.drop("o_orderkey", "l_orderkey").repartition(tasks, "o_custkey").groupBy(F.col("o_custkey").alias("item"), F.col("l_partkey").alias("passage")).agg(
         F.sum("l_quantity").alias("score"), F.max(F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("grade"))
     return metrics.rank_by_score(scored, "item", "score", "passage")
 
