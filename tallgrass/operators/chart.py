@@ -46,6 +46,22 @@ def resources(encounters: DataFrame, sections: DataFrame, resource: str, *, may:
     return dated.join(shown.select("section", "encounter", "kind", "place", "text"), "encounter")
 
 
+def all_resources(encounters: DataFrame, sections: DataFrame, *, may: Column | None = None, categories: dict[str, str] | None = None) -> DataFrame:
+    """The sections that make each of RESOURCES, with its name as resource, as `resources` gives them one by one (categories: by resource), but sections meet encounters once, however many resources they make."""
+    asked, names = categories or {}, []
+    for name, (kinds, limited, known) in RESOURCES.items():
+        fits = F.lit(True) if kinds is None else F.col("kind").isin(*kinds)
+        if limited and may is not None:
+            fits &= may
+        if category := asked.get(name):
+            fits &= F.col("kind") == known.get(category, category)
+        names.append(F.when(fits, F.lit(name)))
+    shown = sections.withColumn("_resources", F.array_compact(F.array(*names))).where("size(_resources) > 0")
+    dated = encounters.where("patient IS NOT NULL").select("encounter", "patient", "date")
+    found = dated.join(shown.select("section", "encounter", "kind", "place", "text", "_resources"), "encounter")
+    return found.select(F.explode("_resources").alias("resource"), *[c for c in found.columns if c != "_resources"])
+
+
 def results(encounters: DataFrame, sections: DataFrame, kind: str, *, orders: DataFrame | None = None) -> DataFrame:
     """The sections of a kind with patient and date, whoever reads; with orders (encounter) also has_order, whether the encounter has one. A section counts once, however many orders there are."""
     found = encounters.where("patient IS NOT NULL").select("encounter", "patient", "date").join(sections.where(F.col("kind") == kind).select("section", "encounter", "text"), "encounter")

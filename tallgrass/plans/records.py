@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import access, clinical
 from tallgrass.operators import chart
+from tallgrass.sources.tables import tasks_for
 
 from .registry import query
 
@@ -17,10 +18,10 @@ def encounters(t):
     return t.orders.select(F.col("o_orderkey").alias("encounter"), F.col("o_custkey").alias("patient"), F.col("o_orderdate").alias("date"), F.col("o_orderstatus").alias("status"))
 
 
-def sections(t):
-    """Lines of an order, parts of one number being one section."""
+def sections(t, lines=None):
+    """Lines of an order, parts of one number being one section; lines are those of lineitem, dealt out in some way (None: as they are)."""
     text = F.concat(F.lit(" part "), F.min("l_partkey").cast("string"), F.lit("\n\n"), F.count("*").cast("string"), F.lit(" in all \n"))
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("encounter"), F.col("l_linenumber").alias("place")).agg(text.alias("text")).select(
+    return (t.lineitem if lines is None else lines).groupBy(F.col("l_orderkey").alias("encounter"), F.col("l_linenumber").alias("place")).agg(text.alias("text")).select(
         (F.col("encounter") * 8 + F.col("place")).alias("section"), "encounter", F.get(F.lit(KINDS), F.col("place") % len(KINDS)).alias("kind"), "place", "text")
 
 
@@ -65,10 +66,9 @@ WITH {CHART}, r AS (SELECT 'DiagnosticReport' AS resource, e.*, section, kind FR
 n AS (SELECT resource, patient, section, kind, row_number() OVER (PARTITION BY resource, patient ORDER BY section)::INT AS number, count(*) OVER (PARTITION BY resource, patient) AS total FROM r) SELECT * FROM n WHERE number BETWEEN 3 AND 6""")
 def report_pages(t):
     """The second page, of four rows after the first two, of each customer's resources of every kind, as a radiologist sees them; of reports only those from the laboratory."""
-    every = None
-    for name in chart.RESOURCES:
-        found = chart.resources(encounters(t), sections(t), name, may=access.may_read("radiologist", F.col("kind"), ACCESS), category="LAB" if name == "DiagnosticReport" else None).select(F.lit(name).alias("resource"), "patient", "section", "kind")
-        every = found if every is None else every.unionByName(found)
+    # an order's lines meet once, before any hash table is made
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").repartition(tasks_for(t.lineitem), "l_orderkey")
+    every = chart.all_resources(encounters(t), sections(t, lines), may=access.may_read("radiologist", F.col("kind"), ACCESS), categories={"DiagnosticReport": "LAB"}).select("resource", "patient", "section", "kind")
     return chart.page(every, ["resource", "patient"], ["section"], offset=2, count=4)
 
 

@@ -10,7 +10,7 @@ import __spark_entry__
 from tallgrass.sources import tables
 
 
-@pytest.mark.parametrize(("query", "key", "shuffles"), [("ranking_metrics", "o_custkey", 3), ("conditioned_metrics", "item", 2)])
+@pytest.mark.parametrize(("query", "key", "shuffles"), [("ranking_metrics", "o_custkey", 3), ("report_pages", "l_orderkey", 6), ("conditioned_metrics", "item", 2)])
 def test_tasks_follow_the_rows(spark, sf, monkeypatch, query, key, shuffles):
     monkeypatch.setattr(tables, "ROWS", 500)
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
